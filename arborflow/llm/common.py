@@ -240,3 +240,14 @@ def decide(sent: DataFrame, f, schema: str) -> DataFrame:
 
 def table_of(schema: pa.Schema, rows: dict) -> pa.Table:
     return pa.table({f.name: pa.array(rows[f.name], f.type) if not isinstance(rows[f.name], pa.Array) else rows[f.name].cast(f.type) for f in schema}, schema=schema)
+
+
+def portions(batches, column: str = "text", most: int = 2 << 20):
+    """The record batches in slices of about most bytes of text; a longer text is a slice of its own."""
+    for batch in batches:
+        offsets = Texts(batch.column(column)).offsets
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+            yield batch.slice(at, min(end, batch.num_rows) - at)
+            at = end

@@ -4,15 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .decontaminate import decontaminate
 from .line_dedup import line_dedup
+from .maxent_lm import maxent_scores
+from .mixing import Mix
+from .quality_rules import quality_rules
+from .sharding import shard_plan
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
+from .toxicity import toxicity
+from .warc import warc_round_trip
 
 
 def _docs(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
+def _fold(key, n):
+    """crc32 of the id as text, modulo n."""
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n))
+
+
 def _sha256(c):
     return F.sha2(F.col(c).cast("binary"), 256)
 
@@ -22,17 +34,50 @@ def op1_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", _sha256("kept").alias("kept_sha256"))
 
 
+def op2_warc(spark, sf_dir):
+    return warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), least=0)
+
+
 def op3_line_dedup(spark, sf_dir):
     out = line_dedup(_docs(spark, sf_dir), least=10)
     return out.select("doc_id", "n_lines", "n_dropped", _sha256("kept").alias("kept_sha256"))
 
 
+def op4_toxicity(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_fold("doc_id", 4) != 2)
+    out = toxicity(_docs(spark, sf_dir), labels)
+    return out.select("doc_id", F.coalesce(_fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_decontaminate(spark, sf_dir):
+    return decontaminate(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_quality_rules(spark, sf_dir):
+    out = quality_rules(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op7_lm_scores(spark, sf_dir):
+    out = maxent_scores(_docs(spark, sf_dir), _fold("doc_id", 7) != 2)
+    return out.select("doc_id", F.coalesce(_fold("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_mixing(spark, sf_dir):
+    return Mix(_docs(spark, sf_dir)).taken()
+
+
 def op9_simhash(spark, sf_dir):
     out = simhash_components(_docs(spark, sf_dir), shingle=3, distance=3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_line_dedup, op9_simhash)}
+def op10_sharding(spark, sf_dir):
+    out = shard_plan(_docs(spark, sf_dir), n_shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_line_dedup, op4_toxicity, op5_decontaminate, op6_quality_rules, op7_lm_scores, op8_mixing, op9_simhash, op10_sharding)}
 
 _SPACE = r"\x20\x09-\x0D"
 
@@ -47,6 +92,13 @@ r AS (SELECT doc_id, list(i) AS gone FROM h GROUP BY doc_id)
 SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
   sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(gone, x)), lambda x: w[x]) END, ' ')) AS kept_sha256
 FROM t LEFT JOIN r USING (doc_id)""",
+    "op2_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS n, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS best FROM p)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(s, CAST(5 * (k // 4) + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (k % 4) AS INT)) & 31) + 1 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
+FROM d""",
     "op3_line_dedup": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 k AS (SELECT doc_id, line, i, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
