@@ -25,7 +25,7 @@ from .tables import saved
 
 WEIGHTS, TOTAL, MAX_EPOCHS = (3.0, 1.0, 2.0), 1.5, 2
 #: Rows of a hash bucket of a source, slots of a chunk, slots aimed at on small inputs, and most words of a block.
-BUCKET_ROWS, CHUNK, SLOTS, BLOCK_WORDS = 20_000, 8192, 1 << 16, 1 << 20
+BUCKET_ROWS, CHUNK, SLOTS, BLOCK_WORDS = 512, 8192, 1 << 16, 1 << 20
 PHI = (math.sqrt(5) - 1) / 2
 
 
