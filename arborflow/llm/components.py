@@ -23,7 +23,6 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of edges can reach.  The edges are written to the shared
     folder after each round; rounds grow with the logarithm of a component's length."""
-    spark = edges.sparkSession
     edges = saved(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     mark = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64(F.greatest("a", "b"), F.least("a", "b")).cast("decimal(38,0)")).alias("h")).first()
     was = mark(edges)
@@ -33,7 +32,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == was:
             break
         was = now
-    both = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component"))
-    nodes = both.groupBy("node").agg(F.min("component").alias("component"))
-    del spark
-    return nodes
+    links = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component"))
+    roots = links.select(F.col("component").alias("node"), "component")
+    return links.union(roots).groupBy("node").agg(F.min("component").alias("component"))
