@@ -189,11 +189,16 @@ def sizes(column, width: int) -> np.ndarray:
     return np.array([len(x.as_buffer()) // width for x in column], np.int64)
 
 
+def runs(order_by: np.ndarray):
+    """(from, to) of the runs of equal values in a sorted array; none of an empty one."""
+    at = groups(order_by).tolist()
+    return zip(at, [*at[1:], len(order_by)] if at else [], strict=True)
+
+
 def buckets_of(sorted_bucket: np.ndarray):
     """(bucket, from, to) for each run in a sorted array of bucket numbers."""
-    at = groups(sorted_bucket)
-    for i, j in zip(at, [*at[1:], len(sorted_bucket)], strict=True):
-        yield int(sorted_bucket[i]), int(i), int(j)
+    for i, j in runs(sorted_bucket):
+        yield int(sorted_bucket[i]), i, j
 
 
 def ids(table) -> np.ndarray:
@@ -242,7 +247,7 @@ def table_of(schema: pa.Schema, rows: dict) -> pa.Table:
     return pa.table({f.name: pa.array(rows[f.name], f.type) if not isinstance(rows[f.name], pa.Array) else rows[f.name].cast(f.type) for f in schema}, schema=schema)
 
 
-def portions(batches, column: str = "text", most: int = 2 << 20):
+def portions(batches, column: str = "text", most: int = 1 << 20):
     """The record batches in slices of about most bytes of text; a longer text is a slice of its own."""
     for batch in batches:
         offsets = Texts(batch.column(column)).offsets
