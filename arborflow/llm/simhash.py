@@ -170,6 +170,15 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", key: str
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(sign(shingle), "doc_id long, fp long")
 
 
+def named_components(signed: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id for the rows of signed (doc_id, fp), from nodes (fp, least) and links a - b of fps."""
+    member = components(edges)
+    of_fp = nodes.join(member, nodes.fp == member.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = of_fp.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_fp = of_fp.join(named, "component").select("fp", "component_id")
+    return signed.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach, itself included) for each row of docs.
     A null doc_id gets the component of its fingerprint and never names one, unless it is alone (then null)."""
@@ -179,8 +188,4 @@ def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 3, tex
     buckets = max(1, -(-nodes.count() * per_fp // BUCKET_PROBES))
     sent = nodes.select("fp").mapInArrow(send_keys(distance, buckets), "bucket int, fp binary, code binary")
     edges = C.decide(sent, link(distance), "a long, b long")
-    member = components(edges)
-    of_fp = nodes.join(member, nodes.fp == member.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = of_fp.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = of_fp.join(named, "component").select("fp", "component_id")
-    return signed.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return named_components(signed, nodes, edges)

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from arborflow.llm.decontaminate import leaks
 from arborflow.llm.mixing import mixed
+from arborflow.llm.near_copies import near_copies
 from arborflow.llm.quality_rules import quality_rules
 from arborflow.llm.sharding import sharded, size_of
-from arborflow.llm.simhash import simhash_components
 from arborflow.llm.tables import saved
 
 N_SHARDS = 24
@@ -26,8 +26,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
-    first = simhash_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    """The document with the smallest doc_id of each group of near copies: five-word shingles, a similarity of 0.8."""
+    first = near_copies(docs, shingle=5, similarity=0.8).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(first, F.expr("doc_id <=> _id"), "left_semi")
 
 

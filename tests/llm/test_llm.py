@@ -15,6 +15,7 @@ from arborflow.llm.components import components
 from arborflow.llm.line_dedup import line_dedup
 from arborflow.llm.maxent_lm import maxent_scores
 from arborflow.llm.mixing import Mix, mixed
+from arborflow.llm.near_copies import chains, differing, near_copies
 from arborflow.llm.quality_rules import quality_rules, statistics
 from arborflow.llm.sharding import shard_plan, sharded, size_of
 from arborflow.llm.simhash import fingerprint, simhash_components
@@ -121,6 +122,43 @@ def test_simhash(spark):
     assert simhash_components(df.limit(0)).count() == 0
 
 
+def near_sets(t, size=5):
+    w = (t or "").encode().lower().split()
+    return frozenset(tuple(w[j : j + size]) for j in range(max(1, len(w) - size + 1))) if w else frozenset()
+
+
+def test_near_copies(spark):
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(2000)]
+    bases = [[r.choice(words) for _ in range(r.randrange(60, 400))] for _ in range(60)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(bases)]
+    for i, b in enumerate(bases):  # J of about 0.95, 0.9 and 0.85: one word in each stretch changed
+        for k, step in enumerate((200, 95, 62)):
+            rows.append((1000 + 10 * i + k, " ".join("changed" if j % step == step // 2 else w for j, w in enumerate(b))))
+    rows += [(5000, None), (5001, ""), (5002, " \n"), (5003, "One two"), (5004, "one  TWO"), (5005, "one two three"), (None, "no id here at all, alone"), (None, rows[0][1])]
+    rows += [(6000 + i, " ".join(bases[0][:30] + [r.choice(words) for _ in range(60)])) for i in range(20)]  # share a passage
+    rows += [(7000 + i, " ".join("z" if r.random() < 0.01 else w for w in bases[1])) for i in range(300)]  # a large group
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, fp string")
+    got = near_copies(df).collect()
+    assert len(got) == len(rows)
+    of = {x.doc_id: x.component_id for x in got if x.doc_id is not None}
+    assert sorted([x.component_id for x in got if x.doc_id is None], key=lambda x: x is None) == [0, None]
+    assert [of[d] for d in range(5000, 5006)] == [5000, 5000, 5000, 5003, 5003, 5005]
+    sets = {d: near_sets(t) for d, t in rows if d is not None and d < 5000}
+    for i in range(60):
+        for k in range(3):
+            a, b = sets[i], sets[1000 + 10 * i + k]
+            if len(a & b) / len(a | b) >= 0.85:
+                assert of[1000 + 10 * i + k] == of[i] == i
+    assert all(of[6000 + i] == 6000 + i for i in range(20))
+    assert sum(of[7000 + i] == 1 for i in range(300)) >= 295
+    assert near_copies(df.limit(0)).count() == 0
+
+
+def test_chain_count():
+    assert all(k <= 24 and 1 - (1 - (1 - differing(0.8)) ** k) ** n >= 0.97 for k, n in (chains(x, 0.8) for x in (0, 1, 10**4, 10**7, 10**11)))
+
+
 def test_simhash_links(spark):
     """Random fingerprints with planted distances of up to 3 bits, in chains and clusters."""
     import numpy as np
@@ -278,6 +316,8 @@ def test_sharding(spark):
     assert all(sorted(v) == list(range(len(v))) for v in per.values())
     assert max(map(len, per.values())) - min(map(len, per.values())) <= 1 and set(per) <= set(range(24))
     assert shard_plan(df.limit(0), 24).count() == 0
+    again = shard_plan(df.repartition(7, "text"), 24).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, out))
     whole = sharded(df, 5, size_of(F.col("text")))
     assert whole.columns == [*df.columns, "shard", "slot"] and sorted(map(str, whole.select(*df.columns).collect())) == sorted(map(str, df.collect()))
 
