@@ -41,6 +41,8 @@ SLACK = 0.03
 BUCKET_ENTRIES = 500_000
 #: Keys with more entries are linked by a forest, others pair by pair.
 SMALL = 8
+#: Pairs that a forest compares at once.
+BLOCK = 4096
 GOLDEN = U(0x9E3779B97F4A7C15)
 SIGNED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sign", pa.binary())])
 SENT = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("node", pa.binary()), ("check", pa.binary())])
@@ -119,14 +121,12 @@ def send_chains(k: int, n_chains: int, buckets: int):
 def near(x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
     """Whether signatures pass the pigeonring filter and then the whole Hamming check."""
     apart = np.bitwise_count(x ^ y).astype(np.int32)
-    ring = np.concatenate([np.zeros((len(apart), 1), np.int32), np.cumsum(np.concatenate([apart, apart], axis=1), axis=1)], axis=1)
-    passes = np.zeros(len(apart), bool)
-    for start in range(CHECK):
-        ok = np.ones(len(apart), bool)
-        for n in range(1, CHECK + 1):
-            ok &= ring[:, start + n] - ring[:, start] <= n * limit // CHECK
-        passes |= ok
-    return passes & (ring[:, CHECK] <= limit)
+    ring = np.zeros((len(apart), 2 * CHECK + 1), np.int32)
+    np.cumsum(np.concatenate([apart, apart], axis=1), axis=1, out=ring[:, 1:])
+    passes = np.ones((len(apart), CHECK), bool)  # from each segment on
+    for n in range(1, CHECK + 1):
+        passes &= ring[:, n : n + CHECK] - ring[:, :CHECK] <= n * limit // CHECK
+    return passes.any(axis=1) & (ring[:, CHECK] <= limit)
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -143,17 +143,19 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _forest(check: np.ndarray, at: int, end: int, limit: int, out: list) -> None:
     """Links of a spanning forest of one key's near pairs, through a frontier: each entry is taken up once and compared
-    with those not reached yet."""
+    with those not reached yet, several at a time where few are left."""
     left = np.arange(at, end)
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
-            x = queue.pop()
-            hit = near(check[left], check[x], limit)
-            if hit.any():
-                out.append(np.stack([np.full(int(hit.sum()), x), left[hit]]))
-                queue.extend(left[hit])
-                left = left[~hit]
+            n = min(len(queue), max(1, BLOCK // len(left)))
+            x, queue = np.array(queue[-n:]), queue[:-n]
+            hit = near(np.tile(check[left], (n, 1)), np.repeat(check[x], len(left), axis=0), limit).reshape(n, -1)
+            got = hit.any(axis=0)
+            if got.any():
+                out.append(np.stack([x[hit.argmax(axis=0)[got]], left[got]]))
+                queue.extend(left[got])
+                left = left[~got]
 
 
 def link(limit: int):
