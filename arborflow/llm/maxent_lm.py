@@ -1,21 +1,27 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-Words (lower-case A-Z) and one end a text are tokens.  A token's class is the band of its count in the training texts
-(class 0: not seen) and its slot a hash within the class.  The model is
+Words (lower-case A-Z) and one end a text are tokens.  A token's class is the band of its rank by count in the training
+texts (class 0: not seen, class 1: seen once), each band of twice as many words as those before it, and its slot a hash
+within the class.  The model is
 P(token) = P(class | context) * P(slot | class, context) * count / (counts of the slot), the first two factors
-softmaxes over hashed features of the context: bias, the last word, the last two, and skips over one or two words.
+softmaxes over hashed features of the words before: bias, the last word, the last two, and skips over one or two words.
+A word seen once at most is the same unknown word in a context.
 While it trains, a token counts as seen once less than it was, so single occurrences teach what unseen words look like.
 
 Counts cover all training texts and reach the documents through hash buckets.  Training takes ``ROUNDS`` rounds over
 disjoint shares of all training texts; in a round each task makes Adagrad steps from the round's weights over its own
 texts, and the weights' changes are averaged, weighted by tokens.  Scoring is batched over tokens in numpy.
-The model's size is fixed: ``ROWS`` hashed rows for each factor.
+The model grows with the input: classes with the logarithm of the vocabulary, so that a band's words do not depend on
+the size of the counts, and hashed rows of each factor with the square root of the tokens (2**16 at 0.5 GB).
 
 A null or empty text has one token, its end.  Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,24 +31,49 @@ from . import common as C
 from .tables import saved
 
 U = np.uint64
-CLASSES = SLOTS = 16
-LEAVES, ROWS, FEATURES = CLASSES * SLOTS, 4096, 5
-#: Stands for the place before a text.
-START = LEAVES
-ROUNDS, LEAST_STEP, STEP_TOKENS, RATE, SLICES, TREE = 2, 256, 8192, 0.1, 16, 32
+#: Slots of a class, words of the first band, and fewest hashed rows.
+SLOTS, FIRST_BAND, LEAST_ROWS = 16, 16, 4096
+#: Bins of counts, BIN_STEPS for each doubling, from which ranks are read.
+BINS, BIN_STEPS = 512, 8
+#: Stand for the place before a text and for a word seen once at most.
+START, UNKNOWN = np.uint32(0), np.uint32(1)
+ROUNDS, LEAST_STEP, STEP_TOKENS, RATE, SLICES, TREE = 2, 256, 8192, 0.1, 16, 8
 END = U(0xE0D0E0D0E0D0E0D1)
 SENT = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("h", pa.binary()), ("c", pa.binary())])
 COUNTED = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("c", pa.binary()), ("mass", pa.list_(pa.float64()))])
-CODED = pa.schema([("doc_id", pa.list_(pa.int64())), ("train", pa.binary()), ("n", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("inner", pa.binary()), ("leaf", pa.binary()), ("less", pa.binary())])
-CODED_DDL = "doc_id array<long>, train binary, n binary, known binary, base binary, inner binary, leaf binary, less binary"
+CODED_DDL = "doc_id array<long>, train binary, n binary, known binary, base binary, inner binary, number binary, word binary, leaf binary, less binary"
+CODED = pa.schema([("doc_id", pa.list_(pa.int64())), *((x, pa.binary()) for x in ("train", "n", "known", "base", "inner", "number", "word", "leaf", "less"))])
 CHANGE = pa.schema([("slice", pa.int32()), ("branch", pa.int32()), ("n", pa.float64()), ("w", pa.binary())])
 OUT = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
 
-def class_of(counts: np.ndarray) -> np.ndarray:
-    """0 for 0, 1 for 1, then bands whose ends grow by 2 ** (4 / 3)."""
-    c = np.maximum(counts, 1)
-    return np.where(counts <= 0, 0, np.minimum(1 + np.ceil(np.log2(c) * 0.75), CLASSES - 1)).astype(np.uint8)
+class Shape(NamedTuple):
+    """The class of each bin of counts, and the model's numbers of classes and rows."""
+
+    bands: np.ndarray
+    classes: int
+    rows: int
+
+    def factors(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Views of the weights: rows by classes, rows by slots."""
+        cut = self.rows * self.classes
+        return weights[:cut].reshape(self.rows, self.classes), weights[cut:].reshape(self.rows, SLOTS)
+
+
+def bin_of(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.floor(np.log2(np.maximum(counts, 1)) * BIN_STEPS + 1e-9), BINS - 1).astype(np.int64)
+
+
+def shape_of(words: np.ndarray, n: float) -> Shape:
+    """words: training words by bin of their count; n: training tokens.  A bin's rank is that of its last word."""
+    rank = np.cumsum(words[::-1])[::-1]
+    bands = 2 + np.ceil(np.log2(np.maximum(rank, FIRST_BAND) / FIRST_BAND)).astype(np.int64)
+    bands[0] = 1
+    return Shape(bands, int(bands[1:].max()) + 1, max(LEAST_ROWS, 1 << round(math.log2(max(n, 2)) / 2 + 3)))
+
+
+def class_of(counts: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    return np.where(counts <= 0, 0, bands[bin_of(counts)])
 
 
 def tokens(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +109,8 @@ def send_counts(buckets: int):
 
 
 def add_counts(sent: pa.Table) -> pa.Table:
-    """Total counts for each batch in the order it asked, and a row with the counts of the bucket by leaf (and,
-    behind them, its tokens and its distinct ones)."""
+    """Total counts for each batch in the order it asked, and a row with the counts of the bucket by bin and slot
+    (and, behind them, its distinct tokens by bin)."""
     n = C.sizes(sent.column("h"), 8)
     h, c = C.joined(sent.column("h"), U), C.joined(sent.column("c"), np.int64)
     order = np.argsort(h, kind="stable")
@@ -87,22 +118,33 @@ def add_counts(sent: pa.Table) -> pa.Table:
     total = np.add.reduceat(c[order], at)
     each = np.empty_like(c)
     each[order] = np.repeat(total, np.diff(np.append(at, len(h))))
-    mass = np.bincount(leaf_of(h[order][at], total), weights=total, minlength=LEAVES)
+    bins, ok = bin_of(total), total > 0
+    mass = np.bincount(bins * SLOTS + slot_of(h[order][at]), weights=total, minlength=BINS * SLOTS)
+    words = np.bincount(bins[ok], minlength=BINS)
     rows = {x: [] for x in COUNTED.names}
     for batch, bucket, i, m in zip(sent.column("batch").to_pylist(), sent.column("bucket").to_pylist(), np.cumsum(n) - n, n, strict=True):
         for x, v in zip(COUNTED.names, (batch, bucket, each[i : i + m].tobytes(), None), strict=True):
             rows[x].append(v)
-    for x, v in zip(COUNTED.names, (-1, sent.column("bucket")[0].as_py(), None, [*mass.tolist(), float(total.sum()), float((total > 0).sum())]), strict=True):
+    for x, v in zip(COUNTED.names, (-1, sent.column("bucket")[0].as_py(), None, [*mass.tolist(), *words.astype(float).tolist()]), strict=True):
         rows[x].append(v)
     return C.table_of(COUNTED, rows)
 
 
-def leaf_of(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    k = class_of(counts)
-    return np.where(k == 0, 0, k * SLOTS + (C.mix(h) % U(SLOTS)).astype(np.uint8)).astype(np.uint8)
+def slot_of(h: np.ndarray) -> np.ndarray:
+    return (C.mix(h) % U(SLOTS)).astype(np.int64)
+
+
+def leaf_of(h: np.ndarray, counts: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    k = class_of(counts, bands)
+    return np.where(k == 0, 0, k * SLOTS + slot_of(h)).astype(np.uint16)
+
+
+def word_of(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A token in a context: 32 bits of its hash."""
+    return np.where(counts > 1, np.maximum(C.mix(h) >> U(32), U(2)), U(UNKNOWN)).astype(np.uint32)
 
 
-def code(buckets: int):
+def code(buckets: int, bands: np.ndarray):
     def f(docs: pa.Table, counted: pa.Table) -> pa.Table:
         key, bucket, number, first = _unique(docs, buckets)
         by = np.argsort(counted.column("bucket").to_numpy(), kind="stable")
@@ -112,12 +154,14 @@ def code(buckets: int):
         train = docs.column("train").to_numpy().astype(bool)
         n, starts = np.diff(first), first[:-1]
         total = lambda v: np.add.reduceat(v[number], starts)  # noqa: E731  a document has a token at least
-        leaf, less = leaf_of(key, c), leaf_of(key, c - 1)
+        word, leaf, less = word_of(key, c), leaf_of(key, c, bands), leaf_of(key, c - 1, bands)
         rows = {"n": n, "known": total((c > 0).astype(np.int64)), "base": total(np.log10(c + 1.0)), "inner": total(np.log10(np.maximum(c, 1)))}
         out = {x: [] for x in CODED.names}
         for i, j in _spans(n, 1 << 17):
             a, b = first[i], first[j]
-            row = {"doc_id": docs.column("doc_id")[i:j].to_pylist(), "train": train[i:j].tobytes(), "leaf": leaf[number[a:b]].tobytes(), "less": less[number[a:b]].tobytes()}
+            used, at = np.unique(number[a:b], return_inverse=True)  # each token of the span once, and numbers into them
+            row = {"doc_id": docs.column("doc_id")[i:j].to_pylist(), "train": train[i:j].tobytes(), "number": at.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes()}
+            row |= {"word": word[used].tobytes(), "leaf": leaf[used].tobytes(), "less": less[used].tobytes()}
             row |= {k: v[i:j].astype(np.float64 if k in ("base", "inner") else np.int64).tobytes() for k, v in rows.items()}
             for x in CODED.names:
                 out[x].append(row[x])
@@ -135,27 +179,29 @@ def _spans(n: np.ndarray, most: int):
         at = to
 
 
-def contexts(leaf: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The last three leaves before each token, START before a text's first: shape (3, tokens)."""
-    place = np.arange(len(leaf)) - np.repeat(np.cumsum(n) - n, n)
-    out = np.full((3, len(leaf)), START, np.uint32)
+def contexts(word: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The last three words before each token, START before a text's first: shape (3, tokens)."""
+    place = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+    out = np.full((3, len(word)), START, np.uint32)
     for k in (1, 2, 3):
-        out[k - 1, k:] = leaf[:-k] if len(leaf) > k else leaf[: len(leaf) - k]
+        out[k - 1, k:] = word[:-k] if len(word) > k else word[: len(word) - k]
         out[k - 1, place < k] = START
     return out
 
 
-def features(ctx: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
-    """Rows of the weights for each token, shape (tokens, FEATURES); kind is 0, or 1 + the token's class."""
+def features(ctx: np.ndarray, kind: np.ndarray | int, shape: Shape) -> np.ndarray:
+    """Rows of the weights for each token, shape (tokens, features); kind is 0, or 1 + the token's class."""
     p1, p2, p3 = ctx
     kind = np.atleast_1d(np.asarray(kind, np.uint32))
     salt = np.uint32(0x9E3779B1) * (kind + np.uint32(1))
-    out = [np.broadcast_to(kind, p1.shape)]  # the bias has a row of its own for each kind
+    own = np.uint32(shape.classes + 1)  # the bias has a row of its own for each kind
+    out = [np.broadcast_to(kind, p1.shape)]
     zero = np.zeros(1, np.uint32)
-    for k, (a, b) in enumerate(((p1 + 1, zero), (p1 + 1, p2 + 1), (p2 + 1, zero), (p1 + 1, p3 + 1))):
-        h = (salt + np.uint32(k + 1)) * np.uint32(0x85EBCA6B) + a.astype(np.uint32) * np.uint32(0xC2B2AE35) + b.astype(np.uint32) * np.uint32(0x27D4EB2F)
+    for k, (a, b) in enumerate(((p1, zero), (p1, p2), (p2, zero), (p1, p3))):
+        h = (salt + np.uint32(k + 1)) * np.uint32(0x85EBCA6B) + a * np.uint32(0xC2B2AE35)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x27D4EB2F) + b * np.uint32(0x165667B1)
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        out.append(np.broadcast_to(np.uint32(CLASSES + 1) + (h ^ (h >> np.uint32(13))) % np.uint32(ROWS - CLASSES - 1), p1.shape))
+        out.append(np.broadcast_to(own + (h ^ (h >> np.uint32(13))) % (np.uint32(shape.rows) - own), p1.shape))
     return np.stack(out, axis=1).astype(np.int64)
 
 
@@ -168,33 +214,41 @@ def log_softmax(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def step(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, y: np.ndarray) -> None:
-    """One Adagrad step on a batch of tokens: features rows, outcomes y."""
+    """One Adagrad step on a batch of tokens: features rows, outcomes y; only rows that occur are touched."""
     g = np.exp(log_softmax(w, rows))
     g[np.arange(len(y)), y] -= 1
-    at = (rows[:, :, None] * w.shape[1] + np.arange(w.shape[1])).reshape(-1)
-    grad = np.bincount(at, weights=np.repeat(g[:, None, :], rows.shape[1], axis=1).reshape(-1), minlength=w.size).reshape(w.shape)
-    seen += grad * grad
-    w -= (RATE * grad / np.sqrt(seen + 1e-6)).astype(np.float32)
+    flat = rows.ravel()
+    order = np.argsort(flat)
+    flat = flat[order]
+    at = C.groups(flat)
+    grad, at = np.add.reduceat(g[order // rows.shape[1]], at, axis=0), flat[at]
+    total = seen[at] + grad * grad
+    seen[at] = total
+    w[at] -= RATE * grad / np.sqrt(total + 1e-6)
 
 
 def coded(batch):
     """Rows of a batch of the coded table, as arrays."""
     for r in range(batch.num_rows):
         get = lambda c, t: np.frombuffer(batch.column(c)[r].as_buffer(), t)  # noqa: B023, E731
-        yield batch.column("doc_id")[r].values, get("train", bool), *(get(c, t) for c, t in (("n", np.int64), ("known", np.int64), ("base", np.float64), ("inner", np.float64), ("leaf", np.uint8), ("less", np.uint8)))
+        word = get("word", np.uint32)
+        at = get("number", np.uint16 if len(word) <= 1 << 16 else np.uint32)
+        per_doc = (get(c, t) for c, t in (("n", np.int64), ("known", np.int64), ("base", np.float64), ("inner", np.float64)))
+        yield batch.column("doc_id")[r].values, get("train", bool), *per_doc, word[at], get("leaf", np.uint16)[at], get("less", np.uint16)[at]
 
 
-def train_round(weights: np.ndarray, turn: int):
+def train_round(weights: np.ndarray, shape: Shape, turn: int):
     def f(batches):
         from pyspark import TaskContext
 
-        w, seen, tokens_seen = weights.copy(), np.zeros(weights.shape), 0
+        w, seen, tokens_seen = weights.copy(), np.zeros_like(weights), 0
+        (w0, w1), (seen0, seen1) = shape.factors(w), shape.factors(seen)
         for batch in batches:
-            for doc_ids, train, n, _, _, _, leaf, less in coded(batch):
+            for doc_ids, train, n, _, _, _, word, _, less in coded(batch):
                 ids = doc_ids.fill_null(C.NO_ID).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
                 mine = np.repeat(train & (C.mix(ids) % U(ROUNDS) == U(turn)), n)
                 at = np.flatnonzero(mine)
-                ctx = contexts(leaf, n)[:, at]
+                ctx = contexts(word, n)[:, at]
                 y = less[at].astype(np.int64)
                 i = 0
                 while i < len(at):
@@ -203,10 +257,10 @@ def train_round(weights: np.ndarray, turn: int):
                     x, t = ctx[:, i : i + size], y[i : i + size]
                     i += size
                     k = t // SLOTS
-                    step(w[0], seen[0], features(x, 0), k)
+                    step(w0, seen0, features(x, 0, shape), k)
                     known = k > 0
                     if known.any():
-                        step(w[1], seen[1], features(x[:, known], k[known] + 1), t[known] % SLOTS)
+                        step(w1, seen1, features(x[:, known], k[known] + 1, shape), t[known] % SLOTS)
                 tokens_seen += len(at)
         if tokens_seen:
             change = ((w - weights) * tokens_seen).reshape(SLICES, -1).astype(np.float32)
@@ -224,23 +278,24 @@ def add_changes(rows: pa.Table) -> pa.Table:
     return pa.table([rows.column("slice").combine_chunks()[:1], pa.array([0], pa.int32()), pa.array([sum(rows.column("n").to_pylist())]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], schema=CHANGE)
 
 
-def start_weights(mass: np.ndarray) -> np.ndarray:
-    """Weights without context: biases from the counts by leaf.  Class 0 starts with what single occurrences take."""
-    by_class = mass.reshape(CLASSES, SLOTS)
-    weights = np.zeros((2, ROWS, CLASSES), np.float32)
-    share = by_class.sum(axis=1) + 0.5
-    share[0] = by_class[1].sum() + 0.5
-    weights[0, 0] = np.log(share / share.sum())
-    leaf = by_class + 0.5
-    weights[1, 1 : CLASSES + 1] = np.log(leaf / leaf.sum(axis=1, keepdims=True))
+def start_weights(mass: np.ndarray, shape: Shape) -> np.ndarray:
+    """Weights without context: biases from the counts by class and slot.  Class 0 starts with what single occurrences
+    take."""
+    weights = np.zeros(shape.rows * (shape.classes + SLOTS), np.float32)
+    w0, w1 = shape.factors(weights)
+    share = mass.sum(axis=1) + 0.5
+    share[0] = mass[1].sum() + 0.5
+    w0[0] = np.log(share / share.sum())
+    leaf = mass + 0.5
+    w1[1 : shape.classes + 1] = np.log(leaf / leaf.sum(axis=1, keepdims=True))
     return weights
 
 
-def train(coded_docs: DataFrame, weights: np.ndarray) -> np.ndarray:
-    """The weights, shape (2, ROWS, CLASSES): the driver receives SLICES rows a round, of fixed size."""
+def train(coded_docs: DataFrame, weights: np.ndarray, shape: Shape) -> np.ndarray:
+    """The weights: the driver receives SLICES rows a round, of the model's size in all."""
     ddl = "slice int, branch int, n double, w binary"
     for turn in range(ROUNDS):
-        changes = coded_docs.mapInArrow(train_round(weights, turn), ddl)
+        changes = coded_docs.mapInArrow(train_round(weights, shape, turn), ddl)
         summed = changes.groupBy("slice", "branch").applyInArrow(add_changes, ddl).groupBy("slice").applyInArrow(add_changes, ddl)
         got = {r.slice: np.frombuffer(r.w, np.float32) / max(r.n, 1.0) for r in summed.collect()}
         if got:
@@ -248,19 +303,20 @@ def train(coded_docs: DataFrame, weights: np.ndarray) -> np.ndarray:
     return weights
 
 
-def score_all(weights: np.ndarray, log_mass: np.ndarray):
+def score_all(weights: np.ndarray, shape: Shape, log_mass: np.ndarray):
     def f(batches):
+        w0, w1 = shape.factors(weights)
         for batch in batches:
-            for doc_ids, train_, n, known, base, inner, leaf, _ in coded(batch):
+            for doc_ids, train_, n, known, base, inner, word, leaf, _ in coded(batch):
                 p = np.zeros(len(leaf))
-                ctx = contexts(leaf, n)
+                ctx = contexts(word, n)
                 for i in range(0, len(leaf), 1 << 15):
                     x, t = ctx[:, i : i + (1 << 15)], leaf[i : i + (1 << 15)].astype(np.int64)
                     k = t // SLOTS
-                    out = log_softmax(weights[0], features(x, 0))[np.arange(len(t)), k].astype(np.float64)
+                    out = log_softmax(w0, features(x, 0, shape))[np.arange(len(t)), k].astype(np.float64)
                     seen = np.flatnonzero(k)
                     if len(seen):
-                        out[seen] += log_softmax(weights[1], features(x[:, seen], k[seen] + 1))[np.arange(len(seen)), t[seen] % SLOTS]
+                        out[seen] += log_softmax(w1, features(x[:, seen], k[seen] + 1, shape))[np.arange(len(seen)), t[seen] % SLOTS]
                     p[i : i + (1 << 15)] = out / np.log(10) - np.where(k > 0, log_mass[t], 0.0)
                 score = np.add.reduceat(p, np.cumsum(n) - n) + inner
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(train_), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], schema=OUT)
@@ -276,11 +332,16 @@ def maxent_scores(docs: DataFrame, train_rows, key: str = "doc_id", text: str =
     buckets = plan.buckets(1 / 20)
     sent = plan.emit(send_counts(buckets), "batch int, bucket int, h binary, c binary")
     counted = saved(C.decide(sent, add_counts, "batch int, bucket int, c binary, mass array<double>"), "counts")
-    sums = {r.i: r.x for r in counted.where("batch = -1").select(F.posexplode("mass").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()}  # a row a leaf
-    n, v = sums.get(LEAVES, 0.0), sums.get(LEAVES + 1, 0.0)
-    log_mass = np.log10(np.maximum([sums.get(i, 0.0) for i in range(LEAVES)], 1.0))
-    coded_docs = saved(plan.answer(counted.where("batch >= 0").select("batch", "bucket", "c"), code(buckets), CODED_DDL), "coded")
-    weights = train(coded_docs, start_weights(np.array([sums.get(i, 0.0) for i in range(LEAVES)])))
-    out = coded_docs.mapInArrow(score_all(weights, log_mass), "doc_id long, train boolean, n_tokens long, n_known long, base double, score double")
+    sums = {r.i: r.x for r in counted.where("batch = -1").select(F.posexplode("mass").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).where("x <> 0").collect()}  # a row a bin and slot
+    by_bin = np.array([sums.get(i, 0.0) for i in range(BINS * SLOTS)]).reshape(BINS, SLOTS)
+    words = np.array([sums.get(BINS * SLOTS + i, 0.0) for i in range(BINS)])
+    n, v = float(by_bin.sum()), float(words.sum())
+    shape = shape_of(words, n)
+    mass = np.zeros((shape.classes, SLOTS))
+    np.add.at(mass, shape.bands, by_bin)
+    coded_docs = saved(plan.answer(counted.where("batch >= 0").select("batch", "bucket", "c"), code(buckets, shape.bands), CODED_DDL), "coded")
+    weights = train(coded_docs, start_weights(mass, shape), shape)
+    log_mass = np.log10(np.maximum(mass.ravel(), 1.0))
+    out = coded_docs.mapInArrow(score_all(weights, shape, log_mass), "doc_id long, train boolean, n_tokens long, n_known long, base double, score double")
     base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(n + v + 1))
     return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -389,6 +389,30 @@ def test_lm(spark):
     assert sum(got[d].score for d in held) > sum(got[d].base_score for d in held)
 
 
+def test_lm_classes_do_not_depend_on_the_size_of_the_counts():
+    import numpy as np
+
+    from arborflow.llm.maxent_lm import BINS, bin_of, class_of, shape_of
+
+    counts = np.maximum(40_000 // np.arange(1, 20_001), 2)
+    at = [class_of(counts * x, shape_of(np.bincount(bin_of(counts * x), minlength=BINS), float(counts.sum() * x)).bands) for x in (1, 1 << 10, 1 << 16)]
+    assert (at[0] == at[1]).all() and (at[0] == at[2]).all()
+    assert max(np.bincount(at[2], weights=counts)) < 0.35 * counts.sum()
+    shapes = [shape_of(np.bincount(bin_of(np.full(v, 9)), minlength=BINS), 9.0 * v) for v in (10**3, 10**5, 10**7)]
+    assert shapes[0].classes < shapes[1].classes < shapes[2].classes and shapes[0].rows < shapes[1].rows < shapes[2].rows
+
+
+def test_lm_tells_context_words_apart(spark):
+    """200 words of one class, each followed by a word of its own."""
+    r = random.Random(8)
+    def say(shift):
+        return " ".join(f"a{i} b{(i + shift) % 200}" for i in (r.randrange(200) for _ in range(10)))
+
+    rows = [(i, say(0)) for i in range(4000)] + [(10_000 + i, say(0)) for i in range(200)] + [(20_000 + i, say(77)) for i in range(200)]
+    got = {x.doc_id: x.score for x in maxent_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 10_000).collect()}
+    assert sum(got[10_000 + i] - got[20_000 + i] for i in range(200)) / 2000 > 0.8  # log10 for each pair
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
