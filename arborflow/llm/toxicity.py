@@ -1,19 +1,17 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine.
-
-Terms are words in lower case (A-Z) and the words' first 4, 5 and 6 bytes.  A bounded sample of labelled rows picks the
-terms: those found (almost) only in toxic rows, taken greedily while they cover rows that no term taken so far
-covers.  Document frequencies of these terms are counted over all documents.  The labelled rows of the sample are the
-examples; their unit vectors sit in an inverted index cut into blocks of similar examples, with each term's largest
-weight in a block.  A query visits blocks in the order of their upper bounds and stops when the bound of the next is
-below its k-th cosine, so its k nearest are exact (ties: the smaller example number).
-Neighbours vote with their cosine squared against a prior; examples without any term set the score of documents that
+"""Toxicity by nearest labelled examples under exact TF-IDF cosine over all words.
+
+Terms are all words in lower case (A-Z), hashed into ``TERMS`` numbers.  Their document frequencies are counted over
+all documents.  The labelled rows of a bounded sample are the examples.  A term's weight is its inverse document
+frequency times ``FLOOR`` plus the square of its smoothed log odds between toxic and clean examples, so that neighbours
+share what tells the labels apart before they share a topic; no term's weight is 0.  The examples' unit vectors sit in
+an inverted index, dense rows for the terms of many examples and lists for the others.  A query adds up all its terms, so
+its k nearest are exact (ties: the smaller example number).
+Neighbours vote with their cosine squared against a prior; examples without any word set the score of documents that
 have no neighbour.  A null or empty text has no term and gets that score.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,133 +21,103 @@ from . import common as C
 from .tables import saved
 
 U = np.uint64
-PREFIXES = (4, 5, 6)
-#: Most labelled rows in the sample that learning sees, in the order of a hash of their id, and most terms taken.
-SAMPLE, TERMS = 16_000, 192
-#: A term is found in so many toxic rows of the sample at least, and so many of its rows are toxic.
-LEAST_ROWS, LEAST_SHARE = 6, 0.97
-#: A term must cover this share of the toxic rows, or LEAST_ROWS, that no earlier term covers.
-LEAST_NEW = 0.002
-K, BLOCK, PRIOR_WEIGHT = 15, 64, 0.5
+#: Most labelled rows in the sample that learning sees, in the order of a hash of their id, and numbers for terms.
+SAMPLE, TERMS = 16_000, 1 << 18
+#: Examples that a term's log odds are smoothed by, and the least factor of a term.
+SMOOTH, FLOOR = 10.0, 0.01
+#: A term of more than this share of the examples has a dense row, DENSE at most; so many queries meet them at once.
+COMMON, DENSE, TOGETHER = 1 / 32, 512, 64
+K, PRIOR_WEIGHT = 15, 0.5
 OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("neighbours", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64()))])
 
 
-def term_hashes(texts: C.Texts) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashes of the words and of their prefixes, one array each, aligned by word; first word of each document."""
-    words, first, heads = texts.words(lower=True, prefixes=PREFIXES)
-    return [words, *heads], first
-
-
-def distinct_terms(batches):
-    """(term, row, toxic) for the distinct terms of the sample's rows, hashed."""
-    for batch in C.portions(batches):
-        arrays, first = term_hashes(C.Texts(batch.column("text")))
-        docs = C.doc_of(first)
-        pairs = []
-        for a in arrays:
-            ok = a != 0
-            pairs.append(np.stack([docs[ok].astype(U), a[ok]]))
-        p = np.concatenate(pairs, axis=1)
-        p = p[:, np.lexsort(p)]
-        p = p[:, np.concatenate([[True], (p[:, 1:] != p[:, :-1]).any(axis=0)])[: p.shape[1]]]
-        d = p[0].astype(np.int64)
-        ids, toxic = batch.column("doc_id").to_numpy(), batch.column("toxic").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(p[1].view(np.int64)), pa.array(ids[d]), pa.array(toxic[d])], names=["term", "doc_id", "toxic"])
-
-
-def pick_terms(sample: DataFrame) -> tuple[np.ndarray, int]:
-    """The terms taken (hashes), and the number of toxic rows."""
-    found = sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(distinct_terms, "term long, doc_id long, toxic int")
-    counted = found.groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"), F.collect_list(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("rows"))
-    # the sample bounds what is collected: terms of nearly only toxic rows, with the rows' ids
-    terms = counted.where(f"t >= {LEAST_ROWS} AND t >= {LEAST_SHARE} * n").orderBy(F.desc("t"), "term").limit(20_000).collect()
-    n_toxic = sample.where("toxic = 1").count()
-    least, left, taken = max(LEAST_ROWS, LEAST_NEW * n_toxic), [(set(r.rows), r.term) for r in terms], []
-    while left and len(taken) < TERMS:
-        best = max(left, key=lambda x: (len(x[0]), -x[1]))
-        if len(best[0]) < least:
-            break
-        taken.append(best[1])
-        left = [(rows - best[0], t) for rows, t in left if len(rows) >= least]
-        left = [(rows, t) for rows, t in left if rows]
-    return np.sort(np.array(taken, np.int64).view(U)), n_toxic
-
-
-def term_counts(texts: C.Texts, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def term_counts(texts: C.Texts, n_terms: int = TERMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, term number, count), in order of document and term."""
-    arrays, first = term_hashes(texts)
-    docs, keys = C.doc_of(first), []
-    for a in arrays:
-        hit, at = C.found(a, terms)
-        keys.append(docs[hit] * len(terms) + at[hit])
-    key, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
-    return key // max(len(terms), 1), key % max(len(terms), 1), n
+    words, first = texts.words(lower=True)
+    key, n = np.unique(C.doc_of(first) * n_terms + (words % U(n_terms)).astype(np.int64), return_counts=True)
+    return key // n_terms, key % n_terms, n
 
 
-def frequencies(terms: np.ndarray):
-    def f(batches):
-        total, rows = Counter(), 0
-        for batch in C.portions(batches):
-            _, t, _ = term_counts(C.Texts(batch.column("text")), terms)
-            total.update(t.tolist())
-            rows += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *total], pa.int32()), pa.array([rows, *total.values()], pa.int64())], names=["term", "n"])
-
-    return f
+def frequencies(batches):
+    total, rows = np.zeros(TERMS, np.int64), 0
+    for batch in C.portions(batches):
+        total += np.bincount(term_counts(C.Texts(batch.column("text")))[1], minlength=TERMS)
+        rows += batch.num_rows
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], rows), pa.int64())], names=["term", "n"])
 
 
 class Index:
-    """A block-max inverted index of unit vectors, and their labels."""
-
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, vectors: list[tuple[int, dict[int, int], int]], k: int = K):
-        """vectors: (example id, counts by term, label)."""
-        self.terms, self.idf, self.k = terms, idf, k
-        zero = [v for v in vectors if not v[1]]
-        all_y = [v[2] for v in vectors]
-        base = (sum(all_y) + 1) / (len(all_y) + 2)
+    """An inverted index of unit vectors, and their labels."""
+
+    def __init__(self, terms: np.ndarray, idf: np.ndarray, vectors: list, k: int = K):
+        """terms: the names of the terms; vectors: (example id, counts by term or arrays of terms and counts, label)."""
+        self.k, n_terms = k, len(terms)
+        vectors = [(i, *(c if isinstance(c, tuple) else (np.array(sorted(c), np.int64), np.array([c[x] for x in sorted(c)]))), y) for i, c, y in vectors]
+        labels = np.array([v[3] for v in vectors], np.float64)
+        base = (labels.sum() + 1) / (len(labels) + 2)
+        zero = [v[3] for v in vectors if not len(v[1])]
         #: Score of a document without neighbours: the share of toxic ones among such examples.
-        self.prior = (sum(v[2] for v in zero) + base) / (len(zero) + 1)
-        full = []
-        for i, counts, y in vectors:
-            if counts:
-                t = np.array(sorted(counts), np.int64)
-                full.append((i, t, self.weigh(t, np.array([counts[x] for x in t.tolist()])), y))
-        full.sort(key=lambda v: (int(v[1][v[2].argmax()]), v[3], v[0]))  # similar examples share a block
+        self.prior = (sum(zero) + base) / (len(zero) + 1)
+        full = [v for v in vectors if len(v[1])]
         self.ids, self.y = np.array([v[0] for v in full], np.int64), np.array([v[3] for v in full], np.float64)
-        n_blocks = -(-len(full) // BLOCK)
-        self.top = np.zeros((n_blocks, len(terms)))
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for b in range(n_blocks):
-            lists: dict[int, tuple[list, list]] = {}
-            for j, (_, t, w, _) in enumerate(full[b * BLOCK : (b + 1) * BLOCK]):
-                for x, z in zip(t.tolist(), w.tolist(), strict=True):
-                    lists.setdefault(x, ([], []))
-                    lists[x][0].append(j)
-                    lists[x][1].append(z)
-                    self.top[b, x] = max(self.top[b, x], z)
-            self.postings.append({x: (np.array(a), np.array(z)) for x, (a, z) in lists.items()})
+        term = np.concatenate([v[1] for v in full]) if full else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(full)), [len(v[1]) for v in full])
+        held = np.bincount(term, minlength=n_terms)
+        toxic = np.bincount(term, weights=self.y[row], minlength=n_terms)
+        odds = np.log((toxic + SMOOTH * base) / (held - toxic + SMOOTH * (1 - base))) - np.log(base / (1 - base))
+        self.weight = idf * (FLOOR + odds * odds)
+        count = np.concatenate([v[2] for v in full]) if full else np.zeros(0, np.int64)
+        x = (1 + np.log(count)) * self.weight[term]
+        self.norm = np.sqrt(np.bincount(row, weights=x * x, minlength=len(full)))
+        order = np.argsort(term, kind="stable")
+        self.row, self.count = row[order].astype(np.uint16 if len(full) <= 1 << 16 else np.int32), count[order].astype(np.int32)
+        self.start = np.concatenate([[0], np.cumsum(held)])
+        often = np.argsort(-held, kind="stable")[:DENSE]
+        self.often = often[held[often] > COMMON * len(full)]
+        self._fill()
+
+    def _fill(self) -> None:
+        """What follows from the counts and does not travel to the tasks."""
+        self.value = (1 + np.log(self.count)) * np.repeat(self.weight, np.diff(self.start)) / self.norm[self.row]
+        self.dense, self.at = np.zeros((len(self.often), len(self.ids))), np.full(len(self.weight), -1, np.int32)
+        self.at[self.often] = np.arange(len(self.often))
+        for j, x in enumerate(self.often.tolist()):
+            i = slice(self.start[x], self.start[x + 1])
+            self.dense[j, self.row[i]] = self.value[i]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("value", "dense", "at")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._fill()
 
     def weigh(self, t: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[t]
+        w = (1 + np.log(counts)) * self.weight[t]
         return w / np.sqrt((w * w).sum())
 
-    def nearest(self, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples with a cosine above 0, nearest first."""
-        bound = self.top[:, t] @ w
-        cos, at, least = np.zeros(0), np.zeros(0, np.int64), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(cos) == self.k and bound[b] < least - 1e-12):
-                break
-            c = np.zeros(min(BLOCK, len(self.ids) - b * BLOCK))
-            for x, z in zip(t.tolist(), w.tolist(), strict=True):
-                if (p := self.postings[b].get(x)) is not None:
-                    c[p[0]] += z * p[1]
-            hit = np.flatnonzero(c)
-            cos, at = np.concatenate([cos, c[hit]]), np.concatenate([at, hit + b * BLOCK])
-            order = np.lexsort((self.ids[at], -np.round(cos, 12)))[: self.k]
-            cos, at = cos[order], at[order]
-            least = cos[-1] if len(cos) else 0.0
-        return at, cos
+    def common(self, queries: list) -> np.ndarray:
+        """What the terms with dense rows add to the cosines of (terms, weights)."""
+        q = np.zeros((len(queries), len(self.dense)))
+        for i, (t, w) in enumerate(queries):
+            at = self.at[t]
+            q[i, at[at >= 0]] = w[at >= 0]
+        return q @ self.dense
+
+    def nearest(self, t: np.ndarray, w: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and cosines of the k nearest examples with a cosine above 0, nearest first; c: see common."""
+        c = self.common([(t, w)])[0] if c is None else c
+        rare = self.at[t] < 0
+        t = t[rare]
+        for i, j, z in zip(self.start[t].tolist(), self.start[t + 1].tolist(), w[rare].tolist(), strict=True):
+            if i < j:
+                c[self.row[i:j]] += z * self.value[i:j]
+        at = np.flatnonzero(c > 0)
+        if len(at) > self.k:
+            at = at[c[at] >= np.partition(c[at], -self.k)[-self.k] - 1e-12]
+        at = at[np.lexsort((self.ids[at], -np.round(c[at], 12)))[: self.k]]
+        return at, c[at]
 
     def score(self, at: np.ndarray, cos: np.ndarray) -> float:
         v = cos * cos
@@ -158,24 +126,30 @@ class Index:
 
 def score_all(index: Index):
     def f(batches):
-        memo: dict = {}
         for batch in C.portions(batches):
             n = batch.num_rows
             scores, near, cosines = np.full(n, index.prior), [[] for _ in range(n)], [[] for _ in range(n)]
-            d, t, c = term_counts(C.Texts(batch.column("text")), index.terms)
-            for i, j in C.runs(d):
-                key = (t[i:j].tobytes(), c[i:j].tobytes())
-                if key not in memo:
-                    if len(memo) > 5_000:
-                        memo.clear()
-                    p, cos = index.nearest(t[i:j], index.weigh(t[i:j], c[i:j]))
-                    memo[key] = (index.score(p, cos), index.ids[p].tolist(), cos.tolist())
-                scores[d[i]], near[d[i]], cosines[d[i]] = memo[key]
+            d, t, c = term_counts(C.Texts(batch.column("text")))
+            rows = [(d[i], t[i:j], index.weigh(t[i:j], c[i:j])) for i, j in C.runs(d)]
+            for at in range(0, len(rows), TOGETHER):
+                part = rows[at : at + TOGETHER]
+                for (i, x, w), common in zip(part, index.common([r[1:] for r in part]), strict=True):
+                    p, cos = index.nearest(x, w, common)
+                    scores[i], near[i], cosines[i] = index.score(p, cos), index.ids[p].tolist(), cos.tolist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array(near, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], schema=OUT)
 
     return f
 
 
+def vectors(batches):
+    for batch in C.portions(batches):
+        n = batch.num_rows
+        d, t, c = term_counts(C.Texts(batch.column("text")))
+        at = np.searchsorted(d, np.arange(n + 1))
+        blobs = [pa.array([x[i:j].astype(np.int32).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary()) for x in (t, c)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *blobs], names=["doc_id", "toxic", "terms", "counts"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = K) -> Index:
     """The index, from rows of labels (doc_id, toxic) that docs has; a doc_id with several labels counts as toxic if
     one of them says so, and texts that are equal count once."""
@@ -185,22 +159,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = K) ->
     rows = texts.join(F.broadcast(few), F.expr("doc_id = _id")).select("doc_id", "text", "toxic")  # bounded by sample
     first = rows.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.min("doc_id").alias("_id")).select("_id")
     rows = saved(rows.join(F.broadcast(first), F.expr("doc_id = _id")).select("doc_id", "text", "toxic"), "sample")
-    terms, _ = pick_terms(rows)
-    counts = {r.term: r.n for r in texts.select("text").mapInArrow(frequencies(terms), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row a term
-    n = counts.get(-1, 0)
-    idf = np.log((1 + n) / (1 + np.array([counts.get(i, 0) for i in range(len(terms))]))) + 1
-
-    def vectors(batches):
-        for batch in C.portions(batches):
-            d, t, c = term_counts(C.Texts(batch.column("text")), terms)
-            ids, y = batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist()
-            got = [[] for _ in ids]
-            for i, x, m in zip(d.tolist(), t.tolist(), c.tolist(), strict=True):
-                got[i].append((x, m))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(y, pa.int32()), pa.array([[x for x, _ in g] for g in got], pa.list_(pa.int32())), pa.array([[m for _, m in g] for g in got], pa.list_(pa.int64()))], names=["doc_id", "toxic", "terms", "counts"])
-
-    examples = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<long>")
-    return Index(terms, idf, [(r.doc_id, dict(zip(r.terms, r["counts"], strict=True)), r.toxic) for r in sorted(examples.collect(), key=lambda r: r.doc_id)], k)
+    # a row a term number
+    found = texts.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = found.column("term").to_numpy(), found.column("n").to_numpy()
+    held = np.zeros(TERMS)
+    held[term[term >= 0]] = n[term >= 0]
+    idf = np.log((1 + n[term < 0].sum()) / (1 + held)) + 1
+    # the sample bounds what is collected
+    got = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(vectors, "doc_id long, toxic int, terms binary, counts binary").toArrow().sort_by("doc_id")
+    arrays = lambda x: [np.frombuffer(b.as_buffer(), np.int32).astype(np.int64) for b in got.column(x)]
+    examples = zip(got.column("doc_id").to_pylist(), zip(arrays("terms"), arrays("counts"), strict=True), got.column("toxic").to_pylist(), strict=True)
+    return Index(np.arange(TERMS), idf, list(examples), k)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = K) -> DataFrame:

@@ -368,6 +368,17 @@ def test_toxicity_is_exact_and_finds_held_out(spark):
         np.testing.assert_allclose(cos, np.sort(dense @ dense[i])[::-1][:15], atol=1e-12)
 
 
+def test_toxicity_sees_all_words(spark):
+    """A toxic word that only ever occurred beside another one, and clean examples, have neighbours too."""
+    r = random.Random(12)
+    say = lambda: " ".join(r.choice(WORDS) + str(r.randrange(30)) for _ in range(12))
+    rows = [(i, say() + (" badword vileword" if i % 10 == 0 else " badword" if i % 10 == 1 else "")) for i in range(400)]
+    df = spark.createDataFrame(rows + [(1000 + i, say() + " vileword") for i in range(20)] + [(2000 + i, say()) for i in range(20)], "doc_id long, text string")
+    got = {x.doc_id: x for x in toxicity(df, spark.createDataFrame([(i, int(i % 10 < 2)) for i in range(400)], "doc_id long, toxic int")).collect()}
+    assert all(got[1000 + i].neighbours and got[1000 + i].score >= 0.3 for i in range(20))
+    assert all(got[2000 + i].neighbours and got[2000 + i].score < 0.3 for i in range(20))
+
+
 def test_lm(spark):
     import math
 
