@@ -1,4 +1,4 @@
-"""SimHash near copies at a similarity of word shingles, by chains of equal segments and the pigeonring filter.
+"""Near copies at a similarity of word shingles: SimHash chains and the pigeonring filter find candidates, sets decide.
 
 Two texts whose sets of shingles have the Jaccard similarity s differ in a share p = acos(2s / (1 + s)) / pi of the bits
 of a SimHash (for sets of about one size).  At s = 0.8 that is 0.15 of the bits, too many for a 64-bit fingerprint with
@@ -6,11 +6,13 @@ a small Hamming limit, so here a signature has two parts:
 
 - chains of ``k`` bits, k by the logarithm of the number of documents.  A pair at the similarity agrees in a whole chain
   with probability (1 - p)**k, and there are as many disjoint chains as make a pair meet with probability ``RECALL``;
-- ``CHECK`` words that decide a meeting pair: first the pigeonring filter (from some segment on, every run of l segments
+- ``CHECK`` words that filter a meeting pair: first the pigeonring filter (from some segment on, every run of l segments
   differs in at most l shares of the limit), then the whole Hamming distance, at most p + ``SLACK`` of the bits.
 
-Texts that meet under a key are linked by a spanning forest; a bucket of keys sends one forest on, so a large group of
-near copies costs links in proportion to its size.  Equal signatures (equal words among others) are one node throughout.
+Texts that pass are joined by a spanning forest; a bucket of keys sends one forest on, so a large group of near copies
+costs links in proportion to its size.  The components of these links only say which texts may be copies: in each one the
+texts' sets of different shingles are compared, and only pairs whose exact Jaccard similarity reaches the limit are linked.
+A component's shingles are held by one task.  Equal signatures (equal words among others) are one node throughout.
 
 A null text has no words; texts without words are copies of each other, and a text of fewer words than a shingle is one
 shingle.  Repeats of a shingle count once.  Letters A-Z are lower-cased.  Shingles and signatures are told apart by 64-bit
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .components import components
 from .simhash import named_components
 from .tables import saved
 
@@ -34,9 +37,9 @@ U = np.uint64
 #: Words of 64 bits, and ring segments, that check a pair.
 CHECK = 8
 #: Probability that a pair at the similarity meets under some key.
-RECALL = 0.97
-#: Share of differing bits allowed over the expected one: 1.9 standard deviations of it at a similarity of 0.8.
-SLACK = 0.03
+RECALL = 0.99
+#: Share of differing bits allowed over the expected one: 4 standard deviations of it at a similarity of 0.8.
+SLACK = 0.0625
 #: Entries of a key bucket on average.
 BUCKET_ENTRIES = 500_000
 #: Keys with more entries are linked by a forest, others pair by pair.
@@ -44,7 +47,7 @@ SMALL = 8
 #: Pairs that a forest compares at once.
 BLOCK = 4096
 GOLDEN = U(0x9E3779B97F4A7C15)
-SIGNED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sign", pa.binary())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sign", pa.binary()), ("text", pa.string())])
 SENT = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("node", pa.binary()), ("check", pa.binary())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -88,7 +91,7 @@ def sign(shingle: int, n_words: int):
             for x in signs.T:
                 fp = C.mix(fp * GOLDEN + x)
             blobs = pa.array([s.tobytes() for s in signs], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64)), blobs], schema=SIGNED)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64)), blobs, part.column("text")], schema=SIGNED)
 
     return f
 
@@ -185,6 +188,54 @@ def link(limit: int):
     return f
 
 
+def exact_links(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links of a spanning forest of the pairs of sets (sorted, distinct) with at least the Jaccard similarity.  Such a
+    pair shares one of the rarest elements of each, so only sets that meet there are compared."""
+    size = np.array([len(x) for x in sets], np.int64)
+    every, number, held = np.unique(np.concatenate(sets) if sets else np.zeros(0, U), return_inverse=True, return_counts=True)
+    ends = np.cumsum(size)
+    prefix = []
+    for end, n in zip(ends.tolist(), size.tolist(), strict=True):
+        e = number[end - n : end]
+        prefix.append(e[np.lexsort((e, held[e]))[: n - math.ceil(similarity * n - 1e-9) + 1]])
+    element = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
+    order = np.argsort(element, kind="stable")
+    member = np.repeat(np.arange(len(sets)), [len(x) for x in prefix])[order]
+    start = np.searchsorted(element[order], np.arange(len(every) + 1))
+    left, a, b = np.ones(len(sets), bool), [], []
+    for first in range(len(sets)):
+        if not left[first]:
+            continue
+        left[first] = False
+        queue = [first]
+        while queue:
+            x = queue.pop()
+            if not size[x]:
+                continue
+            other = np.unique(np.concatenate([member[start[e] : start[e + 1]] for e in prefix[x].tolist()]))
+            other = other[left[other] & (size[other] >= similarity * size[x] - 1e-9) & (size[x] >= similarity * size[other] - 1e-9)]
+            for i in range(0, len(other), BLOCK):
+                y = other[i : i + BLOCK]
+                hit = C.found(np.concatenate([sets[j] for j in y.tolist()]), sets[x])[0]
+                common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[y]) - size[y])
+                y = y[common * (1 + similarity) >= similarity * (size[x] + size[y]) - 1e-9].tolist()
+                left[y] = False
+                queue += y
+                a += [x] * len(y)
+                b += y
+    return a, b
+
+
+def confirm(shingle: int, similarity: float):
+    def f(texts: pa.Table) -> pa.Table:
+        words, first = C.Texts(texts.column("text")).words(lower=True)
+        a, b = exact_links([shingles(words[i:j], shingle) for i, j in zip(first[:-1], first[1:], strict=True)], similarity)
+        fp = texts.column("fp").to_numpy()
+        return pa.table({"a": fp[a], "b": fp[b]}, schema=EDGES)
+
+    return f
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, fp (a 64-bit name of the signature) and component_id (the smallest doc_id that links reach, itself
     included) for each row of docs.  A null doc_id gets the component of its signature and never names one, unless it is
@@ -193,9 +244,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     n_words = CHECK + math.ceil(k * n_chains / 64)
     limit = math.floor((differing(similarity) + SLACK) * 64 * CHECK)
     texts = docs.selectExpr(f"cast(`{key}` AS long) AS doc_id", f"cast(`{text}` AS string) AS text")
-    signed = saved(texts.mapInArrow(sign(shingle, n_words), "doc_id long, fp long, sign binary"), "signatures")
+    signed = saved(texts.mapInArrow(sign(shingle, n_words), "doc_id long, fp long, sign binary, text string"), "signatures")
     nodes = saved(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("sign").alias("sign")), "nodes")
     buckets = max(1, -(-nodes.count() * n_chains // BUCKET_ENTRIES))
     sent = nodes.select("fp", "sign").mapInArrow(send_chains(k, n_chains, buckets), "bucket int, key binary, node binary, check binary")
-    edges = C.decide(sent, link(limit), "a long, b long")
+    maybe = components(C.decide(sent, link(limit), "a long, b long"))
+    texts = signed.join(maybe, signed.fp == maybe.node).groupBy("component", "fp").agg(F.min("text").alias("text"))
+    edges = texts.groupBy("component").applyInArrow(confirm(shingle, similarity), "a long, b long")
     return named_components(signed.select("doc_id", "fp"), nodes.select("fp", "least"), edges)
