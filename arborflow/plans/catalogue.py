@@ -303,9 +303,9 @@ def position_ids_from_mask(spark, d):
 
 
 def decode_loop(spark, d):
-    c = _read(spark, d, "conversations").where("turn < 2")
-    r = c.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("branch_id"), F.transform(F.slice(F.split("text", " "), 1, 6), lambda w: F.length(w) % 64).alias("ids"))
-    return decode_requests(r, TREE, max_steps=4)
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    r = _read(spark, d, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("branch_id"), F.transform(words, lambda w: F.length(w) % 64).alias("ids"))
+    return decode_requests(r, TREE)
 
 
 FUNCTIONS = (skeleton_prompt, outline_points, point_prompts, shared_prefix, skeleton_normalised, tree_dispatch, slice_sequences, stage_range_join, layer_split, manifest_last_wins, tree_nodes, tree_ancestors, tree_paths, depth_histogram, tree_mask_semijoin, topk_per_head, argmax_token, softmax, entropy_threshold, typical_mask, nucleus_mask, sample_token, candidates_cart, accept_greedy, accept_typical, accept_nucleus, accept_message, kv_append, kv_compact, shared_prefix_union, round_robin, beam_reorder, eos_stop, causal_attention, gqa_repeat, rmsnorm, rope, silu, cross_entropy, shifted_loss, mse, bce_logits, last_nonpad_pool, position_ids_from_mask, decode_loop)

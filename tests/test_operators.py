@@ -121,3 +121,19 @@ def _norm(df):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_oracle(spark, duck, name):
     assert _norm(QUERIES[name](spark, DATA).toPandas()) == _norm(duck.sql(ORACLE[name]).df())
+
+
+def test_decode_loop_takes_every_turn_and_word(spark, tmp_path):
+    from arborflow.plans.catalogue import QUERIES
+
+    rows = [(1, t, "user", " ".join("x" * (1 + (i * i + 5 * t) % 13) for i in range(9 + t))) for t in range(4)] + [(2, 0, "user", "one"), (3, 5, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.request_id, r.branch_id): r for r in QUERIES["decode_loop"](spark, str(tmp_path)).collect()}
+    assert {k: r.n_steps for k, r in got.items()} == {(1, 0): 25, (1, 1): 25, (1, 2): 25, (1, 3): 25, (2, 0): 100, (3, 5): 100}
+    model = TinyDecoder()
+    for c, t, _, text in rows:
+        ids = [len(w) % 64 for w in (text or "").split(" ")]
+        start = len(ids)
+        while len(ids) - start < len(got[c, t].ids):
+            ids.append(int(model.logits(np.array(ids))[0][-1].argmax()))
+        assert ids[start:] == got[c, t].ids
