@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 #: Entries a bucket receives on average.
 BUCKET_ENTRIES = 4_000_000
-#: Text bytes hashed at once; bounds the working arrays for very long texts.
+#: Text bytes looked at at once; bounds the working arrays for very long texts.
 PIECE_BYTES = 1 << 19
 
 #: Pattern of a word, as Spark and Java read it.
@@ -31,13 +32,12 @@ WHITE = b" \t\n\r\x0b\x0c"
 NO_ID = (1 << 63) - 1
 
 U = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240229))
-TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-LOWER_TABLE = TABLE.copy()
-LOWER_TABLE[65:91] = TABLE[97:123]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+GOLDEN = U(0x9E3779B97F4A7C15)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+WORD_BASE = 0xD6E8FEB86659FD93
 
 
 @lru_cache(maxsize=8)
@@ -90,53 +90,64 @@ class Texts:
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
-    def pieces(self):
-        """(first, last, breaks) byte ranges of about PIECE_BYTES that cut no word."""
-        n = len(self.data)
-        starts = np.zeros(n + 1, bool)
-        starts[self.offsets] = True
-        at = 0
+    def spans(self, separators: np.ndarray | None = None):
+        """(starts, ends) of the words, a piece of PIECE_BYTES at a time, so a word of any length costs no more memory
+        than others.  separators replaces white space.  A word ends with its text."""
+        space, n, at = IS_SPACE if separators is None else separators, len(self.data), 0
+        opened, inside = np.zeros(0, np.int64), False
         while at < n:
             end = min(at + PIECE_BYTES, n)
-            while end < n:
-                look = IS_SPACE[self.data[end : end + 4096]] | starts[end : end + 4096][: n - end]
-                if look.any():
-                    end += int(look.argmax())
-                    break
-                end = min(end + 4096, n)
-            yield at, end, starts[at:end]
-            at = end
-
-    def words(self, lower: bool = False, prefixes: tuple[int, ...] = (), separators: np.ndarray | None = None):
-        """Hash of each word, index of each document's first word (one more at the end), and hashes of the words'
-        first bytes for each of prefixes (0 where the word is not longer).  separators replaces white space."""
-        table, space = LOWER_TABLE if lower else TABLE, IS_SPACE if separators is None else separators
-        hashes, heads, firsts = [], [[] for _ in prefixes], []
-        for at, end, starts in self.pieces():
-            b = self.data[at:end]
-            gap = space[b]
-            begin = ~gap
-            begin[1:] &= gap[:-1] | starts[1:]
-            s = np.flatnonzero(begin)
-            last = ~gap
-            last[:-1] &= gap[1:] | starts[1:]
-            e = np.flatnonzero(last)
-            up, down = powers(BYTE_BASE, len(b) + 1)
-            term = table[b] * up[: len(b)]
-            total = np.cumsum(term)
-            before = total[s] - term[s]
-            hashes.append(mix((total[e] - before) * down[s]))
-            for k, size in enumerate(prefixes):
-                long = e - s >= size
-                h = mix((total[np.minimum(s + size - 1, len(b) - 1)] - before) * down[s]) ^ U(size)
-                heads[k].append(np.where(long, h, U(0)))
-            firsts.append(s + at)
-        where = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
-        first = np.searchsorted(where, self.offsets)
-        out = np.concatenate(hashes) if hashes else np.zeros(0, U)
-        if prefixes:
-            return out, first, [np.concatenate(h) if h else np.zeros(0, U) for h in heads]
-        return out, first
+            word = ~space[self.data[at:end]]
+            new_text = np.zeros(end - at, bool)
+            lo, hi = np.searchsorted(self.offsets, [at, end])
+            new_text[self.offsets[lo:hi] - at] = True
+            before = np.empty_like(word)
+            before[0], before[1:] = inside, word[:-1]
+            starts = np.concatenate([opened, np.flatnonzero(word & (~before | new_text)) + at])
+            ends = np.flatnonzero(before & (~word | new_text)) + at
+            inside, at = bool(word[-1]), end
+            if at == n and inside:
+                ends = np.append(ends, n)
+            opened = starts[len(ends) :]
+            yield starts[: len(ends)], ends
+
+    def words(self, lower: bool = False, separators: np.ndarray | None = None):
+        """Hash of each word, and index of each text's first word (one more at the end)."""
+        hashes, starts = [], []
+        reader = _Eights(self.data, lower)
+        for s, e in self.spans(separators):
+            hashes.append(reader.hashes(s, e))
+            starts.append(s)
+        where = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        return np.concatenate(hashes) if hashes else np.zeros(0, U), np.searchsorted(where, self.offsets)
+
+
+class _Eights:
+    """Hashes of byte ranges.  Up to SHORT bytes they are read eight at a time, each eight mixed into a chain of
+    bijections that starts from the length (so ranges of at most eight bytes never collide); longer ranges take XXH3."""
+
+    SHORT = 64
+
+    def __init__(self, data: np.ndarray, lower: bool):
+        self.data = LOWER[data] if lower else data
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        self.at = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+
+    def hashes(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        n = e - s
+        h = mix(n.astype(U) * GOLDEN)
+        left, who = np.minimum(n, self.SHORT), np.arange(len(n))
+        for k in range(0, self.SHORT, 8):
+            if k:
+                who = who[left[who] > k]
+            if not len(who):
+                break
+            some = self.at[s[who] + k]
+            cut = np.maximum(8 - (left[who] - k), 0).astype(U) * U(8)
+            h[who] = mix(h[who] ^ mix((some << cut) + U(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))))
+        for i in np.flatnonzero(n > self.SHORT).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(memoryview(self.data)[s[i] : e[i]])
+        return h
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:

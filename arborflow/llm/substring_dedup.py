@@ -1,12 +1,18 @@
 """Substring dedup by fixed-block anchors.
 
 A window of ``window`` words holds a whole block of ``window // 2 + 1`` words at a multiple of that length, so the
-index of non-overlapping blocks, probed with every rolling window of a block's length, misses no repeat.  Anchored
-stretches are then extended: the full windows around a hit are compared by their own hash, and runs of windows that
-repeat a document with a smaller id join to maximal spans.
+index of non-overlapping blocks, probed with every rolling window of a block's length, misses no repeat.  The full
+windows around a hit name their first place: the smallest document (and place in it) of equal windows.  Neighbouring
+windows with neighbouring first places make a hit, which is then extended word by word in both directions to a maximal
+repeat: each hit's words go to the document that it names, once a batch however many documents have it, and are
+compared there.  Only words of repeats confirmed in that way go.
+
+A stretch of repeated windows is sent with each hit, ``REACH`` words to either side of the hit at most; a longer
+extension is covered by the hits of the stretch beyond.
 
 Nulls and empty texts have no words; a null doc_id counts as larger than all others; rows with equal doc_id do not
-repeat each other.  Windows are told apart by 64-bit hashes, of which both the block's and the window's must agree.
+repeat each other.  Candidates are found by 64-bit hashes; the words themselves decide, so a collision can only leave a
+repeat in.  Very long texts are read in pieces; a batch holds the hashes of its words.
 """
 
 from __future__ import annotations
@@ -15,16 +21,25 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from . import common as C
 
 U = np.uint64
+#: Words beyond a hit that are sent for its extension.
+REACH = 256
 SENT = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("fp", pa.binary()), ("anchor", pa.binary()), ("many", pa.binary())])
 LIVE = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("fp", pa.binary())])
-FULL = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("h", pa.binary()), ("doc", pa.binary())])
-FIRST = pa.schema([("batch", pa.int32()), ("h", pa.binary()), ("doc", pa.binary())])
-OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+FULL = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("h", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("ids", pa.binary())])
+FIRST = pa.schema([("batch", pa.int32()), ("h", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("source", pa.binary())])
+ASKED = pa.schema([("batch", pa.int32()), ("sender", pa.int32()), ("text", pa.binary()), ("hit", pa.int32()), ("n", pa.int32()), ("first_doc", pa.int64()), ("first_at", pa.int32()), ("docs", pa.binary()), ("starts", pa.binary())])
+REPEATS = pa.schema([("batch", pa.int32()), ("first_doc", pa.int64()), ("first_at", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary())])
+_REPEAT = pa.struct([("start", pa.int64()), ("first_doc", pa.int64()), ("first_start", pa.int64()), ("length", pa.int64())])
+OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("repeats", pa.list_(_REPEAT))])
+DDL = {"sent": "batch int, bucket int, fp binary, anchor binary, many binary", "live": "batch int, bucket int, fp binary", "full": "batch int, bucket int, h binary, doc binary, at binary, ids binary"}
+DDL |= {"first": "batch int, h binary, doc binary, at binary, source binary", "asked": "batch int, sender int, text binary, hit int, n int, first_doc long, first_at int, docs binary, starts binary"}
+DDL |= {"out": "doc_id long, n_words long, n_removed long, kept string, starts array<long>, ends array<long>, repeats array<struct<start:long,first_doc:long,first_start:long,length:long>>"}
 
 
 def block_size(window: int) -> int:
@@ -77,6 +92,8 @@ def find_live(sent: pa.Table) -> pa.Table:
 
 
 def send_windows(window: int, block: int, buckets: int):
+    """The distinct windows of a batch near live anchors, each with its first place in the batch."""
+
     def f(docs: pa.Table, live: pa.Table) -> pa.Table:
         rows = {x: [] for x in FULL.names}
         if docs.num_rows and live.num_rows:
@@ -88,15 +105,18 @@ def send_windows(window: int, block: int, buckets: int):
             wide = window - block + 1  # anchors that a window can hold
             near = hit[np.minimum(np.arange(len(full)) + wide, len(hit) - 1)] > hit[: len(full)]
             pick = np.flatnonzero(near & whole)
-            h, doc = full[pick], C.ids(docs)[C.doc_of(first)[pick]]
+            row = C.doc_of(first)[pick]
+            names, doc = np.unique(C.ids(docs), return_inverse=True)  # so a document's number has the order of its id
+            h, doc, at = full[pick], doc[row].astype(np.uint32), (pick - first[row]).astype(np.uint32)
             bucket = (h >> U(40)) % U(buckets)
-            order = np.lexsort((doc, h, bucket))
-            h, doc, bucket = h[order], doc[order], bucket[order]
-            at = C.groups(h)
-            h, doc, bucket = h[at], doc[at], bucket[at]  # the smallest document of the batch
+            order = np.lexsort((at, doc, h, bucket))
+            h, doc, at, bucket = h[order], doc[order], at[order], bucket[order]
+            least = C.groups(h)
+            h, doc, at, bucket = h[least], doc[least], at[least], bucket[least]
             batch = docs.column("batch")[0].as_py()
             for b, i, j in C.buckets_of(bucket):
-                for x, v in zip(FULL.names, (batch, b, h[i:j].tobytes(), doc[i:j].tobytes()), strict=True):
+                used, mine = np.unique(doc[i:j], return_inverse=True)
+                for x, v in zip(FULL.names, (batch, b, h[i:j].tobytes(), mine.astype(np.uint32).tobytes(), at[i:j].tobytes(), names[used].tobytes()), strict=True):
                     rows[x].append(v)
         return C.table_of(FULL, rows)
 
@@ -104,68 +124,174 @@ def send_windows(window: int, block: int, buckets: int):
 
 
 def find_first(sent: pa.Table) -> pa.Table:
-    """For each window that a batch sent, the smallest document, where another batch has it."""
+    """For each window that a batch sent, the first place of all batches and that place's batch, where it is not in the
+    batch's own first document."""
     n = C.sizes(sent.column("h"), 8)
-    h, doc = C.joined(sent.column("h"), U), C.joined(sent.column("doc"), np.int64)
-    order = np.argsort(h, kind="stable")
-    at = C.groups(h[order])
-    least = np.empty_like(doc)
-    least[order] = np.repeat(np.minimum.reduceat(doc[order], at), np.diff(np.append(at, len(h))))
+    h, at = C.joined(sent.column("h"), U), C.joined(sent.column("at"), np.uint32)
+    doc = np.concatenate([np.frombuffer(i.as_buffer(), np.int64)[np.frombuffer(d.as_buffer(), np.uint32)] for i, d in zip(sent.column("ids"), sent.column("doc"), strict=True)])
+    source = np.repeat(sent.column("batch").to_numpy().astype(np.int32), n)
+    order = np.lexsort((at, doc, h))
+    head = C.groups(h[order])
+    first = np.empty(len(h), np.int64)
+    first[order] = np.repeat(order[head], np.diff(np.append(head, len(h))))
     rows = {x: [] for x in FIRST.names}
     for batch, i, m in zip(sent.column("batch").to_pylist(), np.cumsum(n) - n, n, strict=True):
-        less = least[i : i + m] < doc[i : i + m]
-        if less.any():
-            for x, v in zip(FIRST.names, (batch, h[i : i + m][less].tobytes(), least[i : i + m][less].tobytes()), strict=True):
+        mine = np.arange(i, i + m)
+        mine = mine[first[mine] != mine]
+        if len(mine):
+            to = first[mine]
+            for x, v in zip(FIRST.names, (batch, h[mine].tobytes(), doc[to].tobytes(), at[to].tobytes(), source[to].tobytes()), strict=True):
                 rows[x].append(v)
     return C.table_of(FIRST, rows)
 
 
-def cut(window: int):
+def _hits(docs: pa.Table, firsts: pa.Table, words: np.ndarray, first: np.ndarray, window: int):
+    """Rows of the batch's hits: (word of the batch, windows, batch, document and place that it repeats)."""
+    h, whole = C.windows(words, window), C.inside(first, window)
+    pick = np.flatnonzero(whole)
+    row = C.doc_of(first)[pick]
+    doc, at = C.ids(docs)[row], pick - first[row]
+    fh = C.joined(firsts.column("h"), U)
+    by = np.argsort(fh)
+    there, where = C.found(h[pick], fh[by])
+    where = by[where] if len(by) else where
+    # the first place: what the bucket said, or else the smallest of the batch's own
+    order = np.lexsort((at, doc, h[pick]))
+    head = C.groups(h[pick][order])
+    own = np.empty(len(pick), np.int64)
+    own[order] = np.repeat(order[head], np.diff(np.append(head, len(pick))))
+    to_doc, to_at = doc[own], at[own]
+    batch = np.full(len(pick), docs.column("batch")[0].as_py(), np.int64)
+    if there.any():
+        w = where[there]
+        to_doc[there], to_at[there] = C.joined(firsts.column("doc"), np.int64)[w], C.joined(firsts.column("at"), np.uint32)[w]
+        batch[there] = C.joined(firsts.column("source"), np.int32)[w]
+    hit = np.flatnonzero(to_doc < doc)
+    pick, row, to_doc, to_at, batch = pick[hit], row[hit], to_doc[hit], to_at[hit], batch[hit]
+    new = np.ones(len(pick), bool)
+    new[1:] = (np.diff(pick) != 1) | (np.diff(row) != 0) | (np.diff(to_doc) != 0) | (np.diff(to_at) != 1)
+    head = np.flatnonzero(new)
+    gap = np.ones(len(pick), bool)  # a stretch of windows, one after the other
+    gap[1:] = (np.diff(pick) != 1) | (np.diff(row) != 0)
+    begin = np.maximum.accumulate(np.where(gap, np.arange(len(pick)), 0))
+    last = np.append(np.flatnonzero(gap)[1:], len(pick)) - 1
+    end = last[np.cumsum(gap) - 1] if len(pick) else begin
+    return pick[head], np.diff(np.append(head, len(pick))), row[head], batch[head], to_doc[head], to_at[head], pick[begin[head]], pick[end[head]]
+
+
+def ask(window: int):
+    """Each hit with the words around it, to the batch that holds its first place; equal ones of a batch once."""
+
     def f(docs: pa.Table, firsts: pa.Table) -> pa.Table:
-        texts = C.Texts(docs.column("text"))
-        words, first = texts.words()
-        h, whole = C.windows(words, window), C.inside(first, window)
-        pick = np.flatnonzero(whole)
-        doc_ids = C.ids(docs)
-        h, doc = h[pick], doc_ids[C.doc_of(first)[pick]]
-        order = np.argsort(h, kind="stable")
-        at = C.groups(h[order])
-        drop = np.zeros(len(words) + 1, np.int32)
-        if len(h):
-            least = np.minimum.reduceat(doc[order], at)
-            fh, fd = C.joined(firsts.column("h"), U), C.joined(firsts.column("doc"), np.int64)
-            by = np.argsort(fh)
-            there, where = C.found(h[order][at], fh[by])
-            least[there] = np.minimum(least[there], fd[by][where[there]])
-            mine = np.empty_like(doc)
-            mine[order] = np.repeat(least, np.diff(np.append(at, len(h))))
-            hits = pick[mine < doc]
-            np.add.at(drop, hits, 1)
-            np.add.at(drop, hits + window, -1)
-        gone = np.cumsum(drop)[:-1] > 0
-        rows = {x: [] for x in OUT.names}
-        for i, doc_id in enumerate(docs.column("doc_id").to_pylist()):
-            mask = gone[first[i] : first[i + 1]]
-            n, w = int(mask.sum()), texts.text(i).split()
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))) if n else np.zeros(0, np.int64)
-            for x, v in zip(OUT.names, (doc_id, len(w), n, b" ".join(compress(w, (~mask).tolist()) if n else w), edge[::2], edge[1::2]), strict=True):
+        out: dict[tuple, list] = {}
+        if docs.num_rows:
+            texts = C.Texts(docs.column("text"))
+            words, first = texts.words()
+            ids, now, split = C.ids(docs), -1, []
+            for p, n, row, batch, doc, at, begin, end in zip(*(x.tolist() for x in _hits(docs, firsts, words, first, window)), strict=True):
+                if row != now:
+                    now, split, base = row, texts.text(row).split(), int(first[row])
+                a, b = max(begin, p - REACH) - base, min(end, p + n - 1 + REACH) + window - base
+                key = (batch, b" ".join(split[a:b]), p - base - a, n, doc, at)
+                out.setdefault(key, []).append((int(ids[row]), a))
+        sender = docs.column("batch")[0].as_py() if docs.num_rows else 0
+        rows = {x: [] for x in ASKED.names}
+        for (batch, text, hit, n, doc, at), who in out.items():
+            d, s = np.array(who, np.int64).T
+            for x, v in zip(ASKED.names, (batch, sender, text, hit, n, doc, at, d.tobytes(), s.astype(np.int32).tobytes()), strict=True):
                 rows[x].append(v)
-        return C.table_of(OUT, rows)
+        return C.table_of(ASKED, rows)
+
+    return f
+
+
+def extended(text: list[bytes], hit: int, other: list[bytes], at: int) -> tuple[int, int]:
+    """(from, to) in text of the longest equal run through text[hit] and other[at]; empty if these differ."""
+    most = min(len(text) - hit, len(other) - at)
+    if text[hit : hit + most] == other[at : at + most]:
+        to = hit + max(most, 0)
+    else:
+        to = hit + next(i for i in range(most) if text[hit + i] != other[at + i])
+    most = min(hit, at)
+    if text[hit - most : hit] == other[at - most : at]:
+        return hit - most, to
+    return hit - next(i for i in range(most) if text[hit - 1 - i] != other[at - 1 - i]), to
+
+
+def digest(words: list[bytes]) -> int:
+    """A signed 63-bit digest of words."""
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) >> 1
+
+
+def extend(window: int):
+    """Compares hits with the words of the documents that they name; yields confirmed maximal repeats."""
+
+    def f(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        rows = {x: [] for x in REPEATS.names}
+        if docs.num_rows and asked.num_rows:
+            texts, of = C.Texts(docs.column("text")), {}
+            for i, d in enumerate(C.ids(docs).tolist()):
+                of.setdefault(d, []).append(i)
+            now, split = None, []
+            asked = asked.sort_by("first_doc")
+            for k in range(asked.num_rows):
+                sender, text, hit, n, doc, at, who, starts = (asked.column(c)[k] for c in ASKED.names[1:])
+                if doc.as_py() != now:
+                    now = doc.as_py()
+                    split = [texts.text(i).split() for i in of.get(now, [])]
+                mine, hit, at = text.as_py().split(b" "), hit.as_py(), at.as_py()
+                for other in split:  # rows with equal doc_id: each that agrees
+                    if at >= len(other):
+                        continue
+                    a, b = extended(mine, hit, other, at)
+                    if b - a >= window and a <= hit and b >= hit + n.as_py() - 1 + window:
+                        h = digest(mine[a:b])
+                        starts_ = np.frombuffer(starts.as_buffer(), np.int32) + np.int32(a)
+                        for x, v in zip(REPEATS.names, (sender.as_py(), now, at - hit + a, b - a, h, who.as_py(), starts_.tobytes()), strict=True):
+                            rows[x].append(v)
+                        break
+        return C.table_of(REPEATS, rows)
 
     return f
 
 
+def cut(docs: pa.Table, repeats: pa.Table) -> pa.Table:
+    of: dict[int, set] = {}
+    for k in range(repeats.num_rows):
+        first_doc, first_at, n, h = (repeats.column(c)[k].as_py() for c in REPEATS.names[1:5])
+        for d, s in zip(np.frombuffer(repeats.column("docs")[k].as_buffer(), np.int64).tolist(), np.frombuffer(repeats.column("starts")[k].as_buffer(), np.int32).tolist(), strict=True):
+            of.setdefault(d, set()).add((s, first_doc, first_at, n, h))
+    texts = C.Texts(docs.column("text"))
+    rows = {x: [] for x in OUT.names}
+    for i, (doc_id, d) in enumerate(zip(docs.column("doc_id").to_pylist(), C.ids(docs).tolist(), strict=True)):
+        w, found = texts.text(i).split(), []
+        stay = np.ones(len(w), bool)
+        for s, first_doc, first_at, n, h in sorted(of.get(d, ())):
+            # of rows with equal doc_id, those that have the words there
+            if digest(w[s : s + n]) == h:
+                stay[s : s + n] = False
+                found.append({"start": s, "first_doc": first_doc, "first_start": first_at, "length": n})
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], (~stay).view(np.int8), [0]]))) if found else np.zeros(0, np.int64)
+        kept = b" ".join(compress(w, stay.tolist()) if found else w)
+        for x, v in zip(OUT.names, (doc_id, len(w), int(len(w) - stay.sum()), kept, edge[::2], edge[1::2], found), strict=True):
+            rows[x].append(v)
+    return C.table_of(OUT, rows)
+
+
 def substring_dedup(docs: DataFrame, window: int = 13, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space), starts and ends of the removed word
-    spans, for each row of docs.  A word goes if a window of ``window`` words over it also starts in a document with a
-    smaller key."""
+    spans, and repeats (start, first_doc, first_start, length: maximal runs of words that a document with a smaller key
+    holds as well), for each row of docs.  A word goes if a window of ``window`` words over it also starts in a document
+    with a smaller key."""
     if window < 2:
         raise ValueError("window must be 2 words or more")
     block = block_size(window)
     plan = C.Plan(docs, text, key)
     buckets = plan.buckets(1 / 6)
-    sent = plan.emit(send_blocks(block, buckets), "batch int, bucket int, fp binary, anchor binary, many binary")
-    live = C.decide(sent, find_live, "batch int, bucket int, fp binary")
-    full = plan.answer(live, send_windows(window, block, buckets), "batch int, bucket int, h binary, doc binary")
-    firsts = C.decide(full, find_first, "batch int, h binary, doc binary")
-    return plan.answer(firsts, cut(window), "doc_id long, n_words long, n_removed long, kept string, starts array<long>, ends array<long>")
+    sent = plan.emit(send_blocks(block, buckets), DDL["sent"])
+    live = C.decide(sent, find_live, DDL["live"])
+    full = plan.answer(live, send_windows(window, block, buckets), DDL["full"])
+    firsts = C.decide(full, find_first, DDL["first"])
+    asked = plan.answer(firsts, ask(window), DDL["asked"])
+    repeats = plan.answer(asked, extend(window), "batch int, first_doc long, first_at int, n int, h long, docs binary, starts binary")
+    return plan.answer(repeats, cut, DDL["out"])

@@ -452,3 +452,62 @@ def test_pipeline(spark):
 
     out = p.run(spark, "/root/testdata/sf0.001")
     assert out.columns[-2:] == ["shard", "slot"] and out.count() > 0
+
+
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate({97: 98, 98: 97})
+    return out
+
+
+def test_substring_dedup_tells_crafted_words_apart(spark):
+    """Words and windows in Thue-Morse order, on which polynomial hashes modulo 2**64 collide."""
+    t = thue_morse(1024)
+    u = t.translate({97: 98, 98: 97})
+    tail = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{t} {tail}"), (2, f"{u} {tail}"), (3, " ".join(t)), (4, " ".join(f"{x}q" for x in u))]
+    got = {r.doc_id: r for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].n_removed for i in (1, 2, 3, 4)] == [0, 0, 0, 0] and got[2].kept == rows[1][1]
+
+
+def test_substring_dedup_extends_hits_to_maximal_repeats(spark):
+    r = random.Random(31)
+    say = lambda n: [r.choice(WORDS[:20]) for _ in range(n)]
+    a, b = say(80), say(60)
+    texts = [say(20) + a + say(5) + b, say(3) + a[10:70] + say(3) + b[:30] + a[:25], a + b, b + a, a[5:40] + b[20:] + say(50)]
+    rows = [(i + 1, " ".join(t)) for i, t in enumerate(texts)]
+    got = {x.doc_id: x for x in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, t in enumerate(texts, 1):
+        for x in got[d].repeats:
+            o, i, j, n = texts[x.first_doc - 1], x.start, x.first_start, x.length
+            assert x.first_doc < d and n >= 13 and t[i : i + n] == o[j : j + n]
+            assert (i == 0 or j == 0 or t[i - 1] != o[j - 1]) and (i + n == len(t) or j + n == len(o) or t[i + n] != o[j + n])
+        common = set()  # words under a run of 13 or more shared with an earlier document, by comparing all suffixes
+        for o in texts[: d - 1]:
+            for i in range(len(t)):
+                for j in range(len(o)):
+                    n = 0
+                    while i + n < len(t) and j + n < len(o) and t[i + n] == o[j + n]:
+                        n += 1
+                    if n >= 13:
+                        common |= set(range(i, i + n))
+        assert common == {k for x in got[d].repeats for k in range(x.start, x.start + x.length)}
+
+
+def test_words_have_hashes_of_their_own():
+    import pyarrow as pa
+
+    from arborflow.llm import common as C
+
+    r = random.Random(1)
+    rows = [bytes(r.choice(b"ab \n\x0bcdE") for _ in range(r.randrange(200))).decode() for _ in range(300)] + [None, "", "x" * 3000, " " * 90, thue_morse(512), "é" * 70]
+    was, C.PIECE_BYTES = C.PIECE_BYTES, 50
+    try:
+        h, first = C.Texts(pa.array(rows, pa.string())).words()
+    finally:
+        C.PIECE_BYTES = was
+    of = {}
+    for w, x in zip([w for t in rows for w in split(t)], h.tolist(), strict=True):
+        assert of.setdefault(w, x) == x
+    assert len(set(of.values())) == len(of) and [b - a for a, b in zip(first[:-1], first[1:], strict=True)] == [len(split(t)) for t in rows]
