@@ -1,51 +1,78 @@
 """Line dedup with two Bloom filters.
 
-A bucket of line digests keeps one filter for digests seen once and one for those seen twice, both sized for what it
-is sent.  Only lines whose digest the second filter holds are sent on, with their whole key, for exact confirmation
-and the choice of the smallest document.  A false hit of a filter costs a little traffic and changes no result.
+Every batch of documents builds two partial filters over the digests of its lines: one of digests seen once, one of those
+that two or more of its documents hold.  Their bits, cut into ranges, are all that shuffles: a bucket merges the partial
+filters of its range (seen twice are bits that were set already, or that a batch saw twice) and tells each batch which
+of its bits are set in the second filter.  Only lines all of whose bits are there, the suspected repeats, are sent on
+with their whole keys, for exact confirmation and the choice of the smallest document.  A false hit of a filter costs a
+little traffic and changes no result.
+
+A text has to meet the answers on its lines, so texts are dealt into batches once; no later step moves them.
 
 A null or empty text is one empty line.  A null doc_id counts as larger than all others.  Rows with equal doc_id
-count as one document for the number of documents that hold a line.
+count as one document for the number of documents that hold a line.  A text's lines are held one text at a time; a very
+long text or line takes memory in proportion to it in its own task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
 from . import common as C
 
 U = np.uint64
-SENT = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("h", pa.binary()), ("many", pa.binary())])
-SUSPECT = pa.schema([("batch", pa.int32()), ("h", pa.binary())])
+#: Bits of a range of a filter, lines that it is for, and bits that a line sets in it.
+RANGE_BITS, RANGE_LINES, HASHES = 1 << 26, 1 << 21, 2
+#: Bytes of text a line is taken to have when ranges are counted, and suspected keys a bucket confirms on average.
+LINE_BYTES, SUSPECTS = 40, 250_000
+SENT = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
+SUSPECT = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("hit", pa.binary())])
 EXACT = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("keys", pa.list_(pa.binary())), ("doc", pa.binary()), ("many", pa.binary())])
 FIRST = pa.schema([("batch", pa.int32()), ("keys", pa.list_(pa.binary())), ("doc", pa.binary())])
 OUT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())])
-BITS, HASHES = 12, 4
+
+
+def bits_of(h: np.ndarray) -> np.ndarray:
+    """The bits of a range that digests set, shape (HASHES, digests)."""
+    return np.stack([(C.mix(h + U(k) * C.GOLDEN) % U(RANGE_BITS)).astype(np.uint32) for k in range(HASHES)])
+
+
+def sparse(bits: np.ndarray) -> bytes:
+    """Sorted distinct bits of a range as the number in each block of 2**16, then their low halves."""
+    return np.bincount(bits >> 16, minlength=RANGE_BITS >> 16).astype(np.uint32).tobytes() + bits.astype(np.uint16).tobytes()
+
+
+def unsparse(blob) -> np.ndarray:
+    blocks = RANGE_BITS >> 16
+    n = np.frombuffer(blob, np.uint32, blocks)
+    return np.repeat(np.arange(blocks, dtype=np.uint32) << np.uint32(16), n) | np.frombuffer(blob, np.uint16, offset=4 * blocks)
 
 
 class Bloom:
-    """A set of 64-bit digests with false hits; for n digests it takes BITS * n bits, at least 1024."""
+    """RANGE_BITS bits."""
+
+    def __init__(self):
+        self.words = np.zeros(RANGE_BITS // 8, np.uint8)
 
-    def __init__(self, n: int):
-        self.size = U(max(1024, BITS * n))
-        self.bits = np.zeros(int(self.size), bool)
+    def add(self, bits: np.ndarray) -> None:
+        np.bitwise_or.at(self.words, bits >> 3, np.left_shift(np.uint8(1), (bits & 7).astype(np.uint8)))
 
-    def _at(self, h: np.ndarray):
-        step = C.mix(h) | U(1)
-        return ((h + U(k) * step) % self.size for k in range(HASHES))
+    def holds(self, bits: np.ndarray) -> np.ndarray:
+        return self.words[bits >> 3] >> (bits & 7).astype(np.uint8) & 1 == 1
 
-    def add(self, h: np.ndarray) -> None:
-        for at in self._at(h):
-            self.bits[at] = True
 
-    def holds(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        for at in self._at(h):
-            out &= self.bits[at]
-        return out
+def merge(partial: list[tuple[np.ndarray, np.ndarray]]) -> Bloom:
+    """The filter of digests seen twice, from partial filters (once, twice) of different batches."""
+    once, twice = Bloom(), Bloom()
+    for seen, again in partial:
+        twice.add(seen[once.holds(seen)])
+        twice.add(again)
+        once.add(seen)
+    return twice
 
 
 def line_key(line: bytes, least: int) -> bytes | None:
@@ -71,16 +98,22 @@ def _digests(keys) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), U, len(keys))
 
 
-def send_digests(least: int, buckets: int):
+def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    bucket = (h >> U(40)) % U(buckets)
+    return bucket, np.argsort(bucket, kind="stable")
+
+
+def send_filters(least: int, buckets: int):
     def f(docs: pa.Table) -> pa.Table:
         found = _keys(docs, least)
         h = _digests(found)
-        many = np.fromiter((lo != hi for lo, hi in found.values()), np.uint8, len(found))
-        bucket = (h >> U(40)) % U(buckets)
-        order = np.argsort(bucket, kind="stable")
+        many = np.fromiter((lo != hi for lo, hi in found.values()), bool, len(found))
+        bucket, order = _by_bucket(h, buckets)
         rows = {x: [] for x in SENT.names}
         for b, i, j in C.buckets_of(bucket[order]):
-            for x, v in zip(SENT.names, (docs.column("batch")[0].as_py(), b, h[order[i:j]].tobytes(), many[order[i:j]].tobytes()), strict=True):
+            mine = order[i:j]
+            once, twice = (sparse(np.unique(bits_of(x))) for x in (h[mine], h[mine[many[mine]]]))
+            for x, v in zip(SENT.names, (docs.column("batch")[0].as_py(), b, once, twice), strict=True):
                 rows[x].append(v)
         return C.table_of(SENT, rows)
 
@@ -88,29 +121,34 @@ def send_digests(least: int, buckets: int):
 
 
 def find_suspects(sent: pa.Table) -> pa.Table:
-    blobs = [(np.frombuffer(h.as_buffer(), U), np.frombuffer(m.as_buffer(), np.uint8).astype(bool)) for h, m in zip(sent.column("h"), sent.column("many"), strict=True)]
-    n = sum(len(h) for h, _ in blobs)
-    once, twice = Bloom(n), Bloom(n)
-    for h, many in blobs:
-        twice.add(h[many | once.holds(h)])
-        once.add(h)
+    """Which bits of a batch's first filter are set in the merged second one, in their order."""
+    twice = merge([(unsparse(a.as_buffer()), unsparse(b.as_buffer())) for a, b in zip(sent.column("once"), sent.column("twice"), strict=True)])
     rows = {x: [] for x in SUSPECT.names}
-    for batch, (h, _) in zip(sent.column("batch").to_pylist(), blobs, strict=True):
-        if (mine := h[twice.holds(h)]).size:
-            for x, v in zip(SUSPECT.names, (batch, mine.tobytes()), strict=True):
+    for batch, bucket, blob in zip(sent.column("batch").to_pylist(), sent.column("bucket").to_pylist(), sent.column("once"), strict=True):
+        hit = twice.holds(unsparse(blob.as_buffer()))
+        if hit.any():
+            for x, v in zip(SUSPECT.names, (batch, bucket, np.packbits(hit).tobytes()), strict=True):
                 rows[x].append(v)
     return C.table_of(SUSPECT, rows)
 
 
-def send_suspects(least: int, buckets: int):
+def send_suspects(least: int, buckets: int, spread: int):
     def f(docs: pa.Table, suspects: pa.Table) -> pa.Table:
         rows = {x: [] for x in EXACT.names}
         if docs.num_rows and suspects.num_rows:
             found = _keys(docs, least)
             keys, h = list(found), _digests(found)
-            pick = np.flatnonzero(C.found(h, np.sort(C.joined(suspects.column("h"), U)))[0])
-            bucket = (h[pick] >> U(40)) % U(buckets)
-            order = np.argsort(bucket, kind="stable")
+            hits = dict(zip(suspects.column("bucket").to_pylist(), suspects.column("hit"), strict=True))
+            bucket, order = _by_bucket(h, buckets)
+            pick = [np.zeros(0, np.int64)]
+            for b, i, j in C.buckets_of(bucket[order]):
+                if b in hits:
+                    bits = bits_of(h[order[i:j]])
+                    mine, at = np.unique(bits, return_inverse=True)
+                    hit = np.unpackbits(np.frombuffer(hits[b].as_buffer(), np.uint8), count=len(mine)).astype(bool)
+                    pick.append(order[i:j][hit[at.reshape(bits.shape)].all(axis=0)])
+            pick = np.concatenate(pick)
+            bucket, order = _by_bucket(h[pick], spread)
             for b, i, j in C.buckets_of(bucket[order]):
                 mine = [keys[x] for x in pick[order[i:j]]]
                 lo, hi = np.array([found[k] for k in mine], np.int64).T
@@ -122,24 +160,23 @@ def send_suspects(least: int, buckets: int):
 
 
 def confirm(sent: pa.Table) -> pa.Table:
-    """The smallest document of each key that two documents or more hold."""
-    least: dict[bytes, int] = {}
-    several: set[bytes] = set()
-    read = [(batch, keys, np.frombuffer(doc, np.int64).tolist(), np.frombuffer(many, np.uint8)) for batch, keys, doc, many in zip(*(sent.column(c).to_pylist() for c in ("batch", "keys", "doc", "many")), strict=True)]
-    for _, keys, docs, many in read:
-        for k, d, m in zip(keys, docs, many, strict=True):
-            if (was := least.get(k)) is None:
-                least[k] = d
-            else:
-                if was != d:
-                    several.add(k)
-                    least[k] = min(was, d)
-            if m:
-                several.add(k)
+    """The smallest document of each key that two documents or more hold.  Keys are compared as they are."""
+    n = np.array(pc.list_value_length(sent.column("keys").combine_chunks()).to_numpy(zero_copy_only=False), np.int64)
+    keys = pc.list_flatten(sent.column("keys").combine_chunks().cast(pa.large_list(pa.large_binary())))
+    doc, many = C.joined(sent.column("doc"), np.int64), C.joined(sent.column("many"), np.uint8)
+    code = keys.dictionary_encode()
+    number, kinds = code.indices.to_numpy(), len(code.dictionary)
+    least, most, again = np.full(kinds, C.NO_ID), np.full(kinds, -1 << 63), np.zeros(kinds, bool)
+    np.minimum.at(least, number, doc)
+    np.maximum.at(most, number, doc)
+    again[number[many > 0]] = True
+    several = again | (least != most)
     rows = {x: [] for x in FIRST.names}
-    for batch, keys, _, _ in read:
-        if mine := [k for k in keys if k in several]:
-            for x, v in zip(FIRST.names, (batch, mine, np.array([least[k] for k in mine], np.int64).tobytes()), strict=True):
+    for batch, i, m in zip(sent.column("batch").to_pylist(), np.cumsum(n) - n, n, strict=True):
+        mine = np.arange(i, i + m)
+        mine = mine[several[number[mine]]]
+        if len(mine):
+            for x, v in zip(FIRST.names, (batch, keys.take(pa.array(mine)).to_pylist(), least[number[mine]].tobytes()), strict=True):
                 rows[x].append(v)
     return C.table_of(FIRST, rows)
 
@@ -166,9 +203,10 @@ def line_dedup(docs: DataFrame, least: int = 10, text: str = "text", key: str =
     key (white space stripped, A-Z lower-cased, at least ``least`` code points) several documents hold stay only in
     the document with the smallest key."""
     plan = C.Plan(docs, text, key)
-    buckets = plan.buckets(1 / 40)
-    sent = plan.emit(send_digests(least, buckets), "batch int, bucket int, h binary, many binary")
-    suspects = C.decide(sent, find_suspects, "batch int, h binary")
-    exact = plan.answer(suspects, send_suspects(least, buckets), "batch int, bucket int, keys array<binary>, doc binary, many binary")
+    buckets = max(1, -(-plan.bytes // (LINE_BYTES * RANGE_LINES)))
+    sent = plan.emit(send_filters(least, buckets), "batch int, bucket int, once binary, twice binary")
+    suspects = C.decide(sent, find_suspects, "batch int, bucket int, hit binary")
+    spread = max(1, -(-plan.bytes // (LINE_BYTES * SUSPECTS)))
+    exact = plan.answer(suspects, send_suspects(least, buckets, spread), "batch int, bucket int, keys array<binary>, doc binary, many binary")
     firsts = C.decide(exact, confirm, "batch int, keys array<binary>, doc binary")
     return plan.answer(firsts, drop_lines(least), "doc_id long, n_lines long, n_dropped long, kept string")

@@ -8,7 +8,8 @@ repeat: each hit's words go to the document that it names, once a batch however
 compared there.  Only words of repeats confirmed in that way go.
 
 A stretch of repeated windows is sent with each hit, ``REACH`` words to either side of the hit at most; a longer
-extension is covered by the hits of the stretch beyond.
+extension is covered by the hits of the stretch beyond.  A window that a document holds several times makes one hit, and
+its other places in the document go with it.
 
 Nulls and empty texts have no words; a null doc_id counts as larger than all others; rows with equal doc_id do not
 repeat each other.  Candidates are found by 64-bit hashes; the words themselves decide, so a collision can only leave a
@@ -28,7 +29,7 @@ from . import common as C
 
 U = np.uint64
 #: Words beyond a hit that are sent for its extension.
-REACH = 256
+REACH = 64
 SENT = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("fp", pa.binary()), ("anchor", pa.binary()), ("many", pa.binary())])
 LIVE = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("fp", pa.binary())])
 FULL = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("h", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("ids", pa.binary())])
@@ -146,7 +147,8 @@ def find_first(sent: pa.Table) -> pa.Table:
 
 
 def _hits(docs: pa.Table, firsts: pa.Table, words: np.ndarray, first: np.ndarray, window: int):
-    """Rows of the batch's hits: (word of the batch, windows, batch, document and place that it repeats)."""
+    """The batch's hits: first word, windows, row, the batch, document and place that it repeats, the first and last window
+    of its stretch, and whether its row has windows that occur in it more than once."""
     h, whole = C.windows(words, window), C.inside(first, window)
     pick = np.flatnonzero(whole)
     row = C.doc_of(first)[pick]
@@ -156,10 +158,13 @@ def _hits(docs: pa.Table, firsts: pa.Table, words: np.ndarray, first: np.ndarray
     there, where = C.found(h[pick], fh[by])
     where = by[where] if len(by) else where
     # the first place: what the bucket said, or else the smallest of the batch's own
-    order = np.lexsort((at, doc, h[pick]))
-    head = C.groups(h[pick][order])
-    own = np.empty(len(pick), np.int64)
-    own[order] = np.repeat(order[head], np.diff(np.append(head, len(pick))))
+    own = np.arange(len(pick))
+    order = np.argsort(h[pick], kind="stable")
+    same = h[pick][order][1:] == h[pick][order][:-1]
+    some = order[np.append(same, False) | np.append(False, same)] if len(pick) else order
+    some = some[np.lexsort((at[some], doc[some], h[pick][some]))]
+    head = C.groups(h[pick][some])
+    own[some] = np.repeat(some[head], np.diff(np.append(head, len(some))))
     to_doc, to_at = doc[own], at[own]
     batch = np.full(len(pick), docs.column("batch")[0].as_py(), np.int64)
     if there.any():
@@ -167,16 +172,23 @@ def _hits(docs: pa.Table, firsts: pa.Table, words: np.ndarray, first: np.ndarray
         to_doc[there], to_at[there] = C.joined(firsts.column("doc"), np.int64)[w], C.joined(firsts.column("at"), np.uint32)[w]
         batch[there] = C.joined(firsts.column("source"), np.int32)[w]
     hit = np.flatnonzero(to_doc < doc)
-    pick, row, to_doc, to_at, batch = pick[hit], row[hit], to_doc[hit], to_at[hit], batch[hit]
+    pick, row, to_doc, to_at, batch, h = pick[hit], row[hit], to_doc[hit], to_at[hit], batch[hit], h[pick[hit]]
+    gap = np.ones(len(pick), bool)  # a stretch of windows, one after the other
+    gap[1:] = (np.diff(pick) != 1) | (np.diff(row) != 0)
+    begin = pick[np.maximum.accumulate(np.where(gap, np.arange(len(pick)), 0))]
+    end = pick[(np.append(np.flatnonzero(gap)[1:], len(pick)) - 1)[np.cumsum(gap) - 1]] if len(pick) else begin
+    # a window that its document has already had needs no hit of its own; cut() finds it again
+    order = np.lexsort((pick, h, row))
+    one = np.ones(len(pick), bool)
+    one[order[1:]] = (np.diff(h[order]) != 0) | (np.diff(row[order]) != 0)
+    again = np.zeros(len(first), bool)
+    again[row[~one]] = True
+    pick, row, to_doc, to_at, batch, begin, end = (x[one] for x in (pick, row, to_doc, to_at, batch, begin, end))
     new = np.ones(len(pick), bool)
     new[1:] = (np.diff(pick) != 1) | (np.diff(row) != 0) | (np.diff(to_doc) != 0) | (np.diff(to_at) != 1)
     head = np.flatnonzero(new)
-    gap = np.ones(len(pick), bool)  # a stretch of windows, one after the other
-    gap[1:] = (np.diff(pick) != 1) | (np.diff(row) != 0)
-    begin = np.maximum.accumulate(np.where(gap, np.arange(len(pick)), 0))
-    last = np.append(np.flatnonzero(gap)[1:], len(pick)) - 1
-    end = last[np.cumsum(gap) - 1] if len(pick) else begin
-    return pick[head], np.diff(np.append(head, len(pick))), row[head], batch[head], to_doc[head], to_at[head], pick[begin[head]], pick[end[head]]
+    n = np.diff(np.append(head, len(pick)))
+    return pick[head], n, row[head], batch[head], to_doc[head], to_at[head], begin[head], end[head], again[row[head]]
 
 
 def ask(window: int):
@@ -188,16 +200,16 @@ def ask(window: int):
             texts = C.Texts(docs.column("text"))
             words, first = texts.words()
             ids, now, split = C.ids(docs), -1, []
-            for p, n, row, batch, doc, at, begin, end in zip(*(x.tolist() for x in _hits(docs, firsts, words, first, window)), strict=True):
+            for p, n, row, batch, doc, at, begin, end, again in zip(*(x.tolist() for x in _hits(docs, firsts, words, first, window)), strict=True):
                 if row != now:
                     now, split, base = row, texts.text(row).split(), int(first[row])
                 a, b = max(begin, p - REACH) - base, min(end, p + n - 1 + REACH) + window - base
                 key = (batch, b" ".join(split[a:b]), p - base - a, n, doc, at)
-                out.setdefault(key, []).append((int(ids[row]), a))
+                out.setdefault(key, []).append((int(ids[row]), 2 * a + again))
         sender = docs.column("batch")[0].as_py() if docs.num_rows else 0
         rows = {x: [] for x in ASKED.names}
         for (batch, text, hit, n, doc, at), who in out.items():
-            d, s = np.array(who, np.int64).T
+            d, s = np.array(who, np.int64).T  # twice the start, and 1 if the document repeats windows within itself
             for x, v in zip(ASKED.names, (batch, sender, text, hit, n, doc, at, d.tobytes(), s.astype(np.int32).tobytes()), strict=True):
                 rows[x].append(v)
         return C.table_of(ASKED, rows)
@@ -246,7 +258,7 @@ def extend(window: int):
                     a, b = extended(mine, hit, other, at)
                     if b - a >= window and a <= hit and b >= hit + n.as_py() - 1 + window:
                         h = digest(mine[a:b])
-                        starts_ = np.frombuffer(starts.as_buffer(), np.int32) + np.int32(a)
+                        starts_ = np.frombuffer(starts.as_buffer(), np.int32) + np.int32(2 * a)
                         for x, v in zip(REPEATS.names, (sender.as_py(), now, at - hit + a, b - a, h, who.as_py(), starts_.tobytes()), strict=True):
                             rows[x].append(v)
                         break
@@ -255,27 +267,36 @@ def extend(window: int):
     return f
 
 
-def cut(docs: pa.Table, repeats: pa.Table) -> pa.Table:
-    of: dict[int, set] = {}
-    for k in range(repeats.num_rows):
-        first_doc, first_at, n, h = (repeats.column(c)[k].as_py() for c in REPEATS.names[1:5])
-        for d, s in zip(np.frombuffer(repeats.column("docs")[k].as_buffer(), np.int64).tolist(), np.frombuffer(repeats.column("starts")[k].as_buffer(), np.int32).tolist(), strict=True):
-            of.setdefault(d, set()).add((s, first_doc, first_at, n, h))
-    texts = C.Texts(docs.column("text"))
-    rows = {x: [] for x in OUT.names}
-    for i, (doc_id, d) in enumerate(zip(docs.column("doc_id").to_pylist(), C.ids(docs).tolist(), strict=True)):
-        w, found = texts.text(i).split(), []
-        stay = np.ones(len(w), bool)
-        for s, first_doc, first_at, n, h in sorted(of.get(d, ())):
-            # of rows with equal doc_id, those that have the words there
-            if digest(w[s : s + n]) == h:
-                stay[s : s + n] = False
-                found.append({"start": s, "first_doc": first_doc, "first_start": first_at, "length": n})
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], (~stay).view(np.int8), [0]]))) if found else np.zeros(0, np.int64)
-        kept = b" ".join(compress(w, stay.tolist()) if found else w)
-        for x, v in zip(OUT.names, (doc_id, len(w), int(len(w) - stay.sum()), kept, edge[::2], edge[1::2], found), strict=True):
-            rows[x].append(v)
-    return C.table_of(OUT, rows)
+def cut(window: int):
+    def f(docs: pa.Table, repeats: pa.Table) -> pa.Table:
+        of: dict[int, set] = {}
+        for k in range(repeats.num_rows):
+            first_doc, first_at, n, h = (repeats.column(c)[k].as_py() for c in REPEATS.names[1:5])
+            for d, s in zip(np.frombuffer(repeats.column("docs")[k].as_buffer(), np.int64).tolist(), np.frombuffer(repeats.column("starts")[k].as_buffer(), np.int32).tolist(), strict=True):
+                of.setdefault(d, set()).add((s, first_doc, first_at, n, h))
+        texts = C.Texts(docs.column("text"))
+        rows = {x: [] for x in OUT.names}
+        for i, (doc_id, d) in enumerate(zip(docs.column("doc_id").to_pylist(), C.ids(docs).tolist(), strict=True)):
+            w, found, again = texts.text(i).split(), [], False
+            stay = np.ones(len(w), bool)
+            for s, first_doc, first_at, n, h in sorted(of.get(d, ())):
+                s, again = s >> 1, again or s & 1
+                # of rows with equal doc_id, those that have the words there
+                if digest(w[s : s + n]) == h:
+                    stay[s : s + n] = False
+                    found.append({"start": s, "first_doc": first_doc, "first_start": first_at, "length": n})
+            if again and found:
+                held = {hash(tuple(w[j : j + window])): j for x in found for j in range(x["start"], x["start"] + x["length"] - window + 1)}
+                for j in range(len(w) - window + 1):
+                    if (k := held.get(hash(tuple(w[j : j + window])))) is not None and w[j : j + window] == w[k : k + window]:
+                        stay[j : j + window] = False
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], (~stay).view(np.int8), [0]]))) if found else np.zeros(0, np.int64)
+            kept = b" ".join(compress(w, stay.tolist()) if found else w)
+            for x, v in zip(OUT.names, (doc_id, len(w), int(len(w) - stay.sum()), kept, edge[::2], edge[1::2], found), strict=True):
+                rows[x].append(v)
+        return C.table_of(OUT, rows)
+
+    return f
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -294,4 +315,4 @@ def substring_dedup(docs: DataFrame, window: int = 13, text: str = "text", key:
     firsts = C.decide(full, find_first, DDL["first"])
     asked = plan.answer(firsts, ask(window), DDL["asked"])
     repeats = plan.answer(asked, extend(window), "batch int, first_doc long, first_at int, n int, h long, docs binary, starts binary")
-    return plan.answer(repeats, cut, DDL["out"])
+    return plan.answer(repeats, cut(window), DDL["out"])

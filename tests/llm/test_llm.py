@@ -511,3 +511,18 @@ def test_words_have_hashes_of_their_own():
     for w, x in zip([w for t in rows for w in split(t)], h.tolist(), strict=True):
         assert of.setdefault(w, x) == x
     assert len(set(of.values())) == len(of) and [b - a for a, b in zip(first[:-1], first[1:], strict=True)] == [len(split(t)) for t in rows]
+
+
+def test_line_filters_hold_what_was_seen_twice():
+    import numpy as np
+
+    from arborflow.llm import line_dedup as L
+
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    parts = [h[:2000], h[1500:4000], h[4000:], np.zeros(0, np.uint64)]  # 1500 to 2000 in two batches, 4000 to 4010 twice in one
+    bits = [(np.unique(L.bits_of(p)), np.unique(L.bits_of(p[:10] if i == 2 else p[:0]))) for i, p in enumerate(parts)]
+    assert all((L.unsparse(L.sparse(a)) == a).all() for a, _ in bits)
+    twice = L.merge(bits)
+    held = np.all([twice.holds(b) for b in L.bits_of(h)], axis=0)
+    assert held[1500:2000].all() and held[4000:4010].all() and held.sum() < 520
