@@ -1,23 +1,26 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Sources take turns by golden-ratio points: slot j belongs to the source in whose share of the cumulative targets
-frac((j + 1) * phi) falls.  Every source's documents are shuffled by a seeded hash, strung together (twice over, as a
-target may be up to ``MAX_EPOCHS`` times the source) and cut into blocks of equally many words; a source's r-th slot
-takes its r-th block.  Slots beyond a source's quota of blocks are dropped and blocks that the points leave over follow
-at the end, so each source meets its target to the word.
-
+The mix is a row of slots, each a block of equally many words, as many as the targets add up to.  Slot j belongs to the
+source in whose share of the cumulative targets the golden-ratio point frac((j + 1) * phi) falls; a source's r-th slot
+takes its r-th block.  The blocks come from the source's documents, shuffled by a seeded hash and strung together
+(``MAX_EPOCHS`` times over, as a target may be that many times the source).  So the schedule alone decides how many
+words of each source are taken, and in which order; golden-ratio points fill every share to within a few blocks of its
+target at any length.  Where a source at its limit gets a slot more than it has blocks, the slot stays empty.
+
+Slots find their source by an equi-join on cells of the unit interval that a source's share touches, then its bounds.
 Positions within a source are prefix sums in two levels (hash buckets of a source, then rows of a bucket), and so are
-ranks of slots, so a source with any share of all rows is dealt over many tasks.
+ranks of slots, so a source with any share of all rows is dealt over many tasks.  Tables of a row a source are broadcast
+up to ``FEW_SOURCES`` rows and joined by shuffle beyond; their order and prefix sums take one task, a row a source.
 
 A null text has size 0 and takes nothing; a null source is a source of its own, last in order.  Repeated rows are
-separate documents unless they agree in id, source and text; such rows share their tokens equally.
+separate documents unless they agree in id, source and text; such rows share their words equally.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD
@@ -25,7 +28,9 @@ from .tables import saved
 
 WEIGHTS, TOTAL, MAX_EPOCHS = (3.0, 1.0, 2.0), 1.5, 2
 #: Rows of a hash bucket of a source, slots of a chunk, slots aimed at on small inputs, and most words of a block.
-BUCKET_ROWS, CHUNK, SLOTS, BLOCK_WORDS = 512, 8192, 1 << 16, 1 << 20
+BUCKET_ROWS, CHUNK, SLOTS, BLOCK_WORDS = 512, 8192, 1 << 18, 1 << 20
+#: Cells of the unit interval, and rows up to which a table of sources is broadcast.
+CELLS, FEW_SOURCES = 4096, 10_000
 PHI = (math.sqrt(5) - 1) / 2
 
 
@@ -57,22 +62,25 @@ def _running(df: DataFrame, group: list[str], bucket: str, order: list, value: C
     return df.join(sums, [*group, bucket]).withColumn(name, F.col("_before") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("_before")
 
 
-def schedule(spark, shares: list[tuple[int, float, int]], n_slots: int, seed: float = 0.0) -> DataFrame:
-    """slot, sid and block for shares of (sid, share of the whole, quota of blocks)."""
-    points = spark.range(n_slots).select(F.col("id").alias("slot"), F.pmod((F.col("id") + 1) * F.lit(PHI) + F.lit(seed), F.lit(1.0)).alias("u"))
-    bounds, at = [], 0.0
-    for sid, share, _ in shares:
-        at += share
-        bounds.append((sid, at))
-    # the cumulative bounds are one number a source, so the interval of a point is an index into a short array
-    index = F.least(F.aggregate(F.array(*[F.lit(b) for _, b in bounds]), F.lit(0), lambda n, b: n + F.when(F.col("u") >= b, 1).otherwise(0)), F.lit(len(bounds) - 1))
-    dealt = points.withColumn("sid", F.get(F.array(*[F.lit(s) for s, _ in bounds]), index)).withColumn("chunk", F.floor(F.col("slot") / CHUNK).cast("long"))
-    ranked = _running(dealt, ["sid"], "chunk", ["slot"], F.lit(1).cast("long"), "block")
-    quota = F.create_map(*[x for sid, _, q in shares for x in (F.lit(sid), F.lit(q))])
-    ranked = ranked.select("slot", "sid", "block").where(F.col("block") < quota[F.col("sid")])
-    got = spark.createDataFrame([(s, q) for s, _, q in shares], "sid int, quota long").join(ranked.groupBy("sid").agg(F.count("*").alias("got")), "sid", "left").withColumn("got", F.coalesce("got", F.lit(0)))
-    rest = got.where("got < quota").select((F.lit(n_slots) + F.col("sid")).alias("slot"), "sid", F.explode(F.sequence("got", F.col("quota") - 1)).alias("block"))
-    return ranked.union(rest)
+def shares(targeted: DataFrame) -> DataFrame:
+    """targeted with sid, its place in the order of sources, and lo and hi, its share of the unit interval."""
+    order = Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
+    before, everything = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lo = F.coalesce(F.sum("target").over(before), F.lit(0.0)) / F.greatest(F.sum("target").over(everything), F.lit(1e-9))
+    out = targeted.withColumn("sid", (F.row_number().over(order) - 1).cast("long")).withColumn("lo", lo)
+    rest = F.sum("target").over(order.rowsBetween(1, Window.unboundedFollowing))
+    # up to 1, whatever the rounding, for the last source with a target
+    return out.withColumn("hi", F.when(F.coalesce(rest, F.lit(0.0)) > 0, F.lead("lo").over(order)).when(F.col("target") > 0, 1.0).otherwise(F.col("lo")))
+
+
+def schedule(spark: SparkSession, sources: DataFrame, n_slots: int, seed: float = 0.0) -> DataFrame:
+    """slot, sid and block for sources of (sid, lo, hi): a source's r-th slot takes its block r, counted from 0."""
+    u = F.pmod((F.col("id") + 1) * F.lit(PHI) + F.lit(seed), F.lit(1.0))
+    points = spark.range(n_slots).select(F.col("id").alias("slot"), u.alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS).cast("long"))
+    last = F.least(F.lit(CELLS - 1), F.floor(F.col("hi") * CELLS)).cast("long")
+    cells = sources.where("lo < hi").select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("long"), last)).alias("cell"))
+    dealt = points.join(cells, "cell").where("u >= lo AND u < hi").select("slot", "sid").withColumn("chunk", F.floor(F.col("slot") / CHUNK).cast("long"))
+    return _running(dealt, ["sid"], "chunk", ["slot"], F.lit(1).cast("long"), "block").select("slot", "sid", "block")
 
 
 class Mix:
@@ -80,29 +88,32 @@ class Mix:
 
     def __init__(self, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: int = MAX_EPOCHS, seed: int = 8, key: str = "doc_id", text: str = "text", source: str = "source"):
         spark = docs.sparkSession
-        sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(seed)).alias("h"))
+        sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), self.hash_of(F.col(text), seed).alias("h"))
         sized = saved(sized.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("copies")), "sized")
         per_source = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("n_rows"))
-        self.targets = targets(per_source, weights, total, most)
-        rows = sorted(self.targets.collect(), key=lambda r: (r.source is None, (r.source or "").encode()))  # one row a source
-        whole = sum(int(r.target) for r in rows)
+        n_buckets = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / BUCKET_ROWS)).cast("long")
+        self.targets = saved(shares(targets(per_source, weights, total, most)).withColumn("n_buckets", n_buckets), "sources")
+        n, whole = self.targets.agg(F.count("*"), F.sum("target")).first()
+        whole = math.floor(whole or 0)
         self.block = min(max(1, -(-whole // SLOTS)), BLOCK_WORDS)
-        sources = [(i, r.source, r.source_size, r.target, int(math.floor(r.target)), max(1, -(-r.n_rows // BUCKET_ROWS))) for i, r in enumerate(rows)]
-        self.sources = spark.createDataFrame(sources, "sid int, source string, source_size long, target double, limit long, n_buckets long")
-        shares = [(i, limit / whole, -(-limit // self.block)) for i, _, _, _, limit, _ in sources if limit]
-        order = F.xxhash64("doc_id", "h", F.lit(seed))
-        named = sized.join(F.broadcast(self.sources.withColumnRenamed("source", "_source")), F.expr("source <=> _source")).drop("_source")  # a row a source
-        named = named.withColumn("shuffle", order).withColumn("bucket", F.pmod(F.xxhash64("shuffle"), F.col("n_buckets")))
-        weight = F.col("size") * F.col("copies")
-        self.placed = _running(named, ["sid"], "bucket", ["shuffle", "doc_id", "size", "h"], weight, "start")
-        b, n = F.lit(self.block), F.col("size") * F.col("copies")
-        runs = self.placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("epoch")).withColumn("from", F.col("start") + F.col("epoch") * F.col("source_size"))
-        runs = runs.withColumn("to", F.least(F.col("from") + n, F.col("limit"))).where("from < to")
+        self.n_slots = round(whole / self.block)
+        few = self.targets.select(F.col("source").alias("_source"), "sid", "source_size", "target", "n_buckets")
+        named = sized.join(F.broadcast(few) if n <= FEW_SOURCES else few, F.expr("source <=> _source")).drop("_source")
+        named = named.withColumn("shuffle", F.xxhash64("doc_id", "h", F.lit(seed))).withColumn("bucket", F.pmod(F.xxhash64("shuffle"), F.col("n_buckets")))
+        words = F.col("size") * F.col("copies")
+        self.placed = saved(_running(named, ["sid"], "bucket", ["shuffle", "doc_id", "size", "h"], words, "start").drop("shuffle", "bucket", "n_buckets"), "placed")
+        b = F.lit(self.block)
+        runs = self.placed.where("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("epoch")).withColumn("from", F.col("start") + F.col("epoch") * F.col("source_size"))
+        runs = runs.withColumn("to", F.col("from") + words)
         runs = runs.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / b).cast("long"), F.floor((F.col("to") - 1) / b).cast("long"))))
         runs = runs.withColumn("words", F.least("to", (F.col("block") + 1) * b) - F.greatest("from", F.col("block") * b))
-        self.slots = schedule(spark, shares, 2 * -(-whole // self.block)) if shares else spark.createDataFrame([], "slot long, sid int, block long")
+        self.slots = schedule(spark, self.targets.select("sid", "lo", "hi"), self.n_slots)
         self.pieces = runs.join(self.slots, ["sid", "block"]).select("slot", "sid", "block", "epoch", "doc_id", "h", "size", "copies", "from", "words")
 
+    @staticmethod
+    def hash_of(text: Column, seed: int = 8) -> Column:
+        return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")), F.lit(seed))
+
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target and taken for each row of docs; equal rows share what is taken of them."""
         got = self.pieces.groupBy("sid", "doc_id", "h", "size").agg(F.sum("words").alias("words")).toDF("sid2", "doc_id2", "h2", "size2", "words")
@@ -112,12 +123,23 @@ class Mix:
         share = F.floor(F.col("words") * F.col("k") / F.col("copies")) - F.floor(F.col("words") * (F.col("k") - 1) / F.col("copies"))
         return copy.select("doc_id", "size", "source_size", "target", share.cast("long").alias("taken"))
 
-
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: int = MAX_EPOCHS, key: str = "doc_id") -> DataFrame:
-    """docs mixed in whole documents, with the columns of docs: a row of docs comes as often (0, 1, ..., most) as the
-    mix takes at least half of its words again; documents without words come once."""
-    mix = Mix(docs, weights, total, most, key=key)
-    taken = mix.taken().groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    times = F.when(F.col("_size") == 0, 1).otherwise(F.floor(F.col("_taken") / F.col("_size") + 0.5)).cast("int")
-    out = docs.join(taken, F.expr(f"`{key}` <=> _id"))
-    return out.where(times > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), times)).alias("_k")).select(*docs.columns)
+    def whole(self) -> DataFrame:
+        """doc_id, h, size, sid and slot, the first of each run through a document of which at least half the words are
+        taken; a document without words has one slot, by its hash."""
+        each = self.pieces.groupBy("sid", "doc_id", "h", "size", "copies", "epoch").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+        taken = each.where("2 * words >= size * copies").select("doc_id", "h", "size", "sid", "slot")
+        empty = self.placed.where("size = 0").select("doc_id", "h", "size", "sid", F.pmod("h", F.lit(max(1, self.n_slots))).alias("slot"))
+        return taken.unionByName(empty)
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: int = MAX_EPOCHS, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs mixed in whole documents, with the columns of docs, in the order of the schedule's slots: a row of docs comes
+    once for each time (of ``most``) that the mix runs through at least half of its words; documents without words come
+    once.  Columns of any name pass through as they are."""
+    mix = Mix(docs, weights, total, most, key=key, text=text, source=source)
+    n = mix.targets.count()
+    names = mix.targets.select(F.col("source").alias("_source"), F.col("sid").alias("_sid"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("_id"), F.col(source).alias("_from"), Mix.hash_of(F.col(text)).alias("_h"))
+    rows = rows.join(F.broadcast(names) if n <= FEW_SOURCES else names, F.expr("_from <=> _source"))
+    out = rows.join(mix.whole(), F.expr("_id <=> doc_id AND _h = h AND _sid = sid")).select("row", "slot", "_id")
+    return out.repartitionByRange("slot", "_id").sortWithinPartitions("slot", "_id").select("row.*")
