@@ -8,13 +8,18 @@ softmaxes over hashed features of the words before: bias, the last word, the las
 A word seen once at most is the same unknown word in a context.
 While it trains, a token counts as seen once less than it was, so single occurrences teach what unseen words look like.
 
-Counts cover all training texts and reach the documents through hash buckets.  Training takes ``ROUNDS`` rounds over
-disjoint shares of all training texts; in a round each task makes Adagrad steps from the round's weights over its own
-texts, and the weights' changes are averaged, weighted by tokens.  Scoring is batched over tokens in numpy.
+Counts cover all training texts and reach the documents through hash buckets.  Training takes ``STEPS`` synchronous
+gradient steps.  Step t reads the training texts whose id hashes to t, so each text is used once; all tasks sum the
+gradient (expected less observed outcomes of each feature) at the same weights, the sums are added in a tree of bounded
+fan-in, and the weights move by the gradient over the outcomes expected of the feature.  So the model follows from the data
+alone, whatever the tasks.  A step has no more tasks than its texts are times as large as the model: gradients take no
+more bytes than the input.  Scoring is batched over tokens in numpy.
 The model grows with the input: classes with the logarithm of the vocabulary, so that a band's words do not depend on
 the size of the counts, and hashed rows of each factor with the square root of the tokens (2**16 at 0.5 GB).
 
-A null or empty text has one token, its end.  Words are told apart by 64-bit hashes.
+A null or empty text has one token, its end.  Words are told apart by 64-bit hashes.  Rows with equal doc_id are texts of
+their own; a null doc_id is one more id.  A batch holds the hashes of its tokens, so a very long text takes memory in
+proportion to its number of tokens, in its own batch.
 """
 
 from __future__ import annotations
@@ -37,13 +42,16 @@ SLOTS, FIRST_BAND, LEAST_ROWS = 16, 16, 4096
 BINS, BIN_STEPS = 512, 8
 #: Stand for the place before a text and for a word seen once at most.
 START, UNKNOWN = np.uint32(0), np.uint32(1)
-ROUNDS, LEAST_STEP, STEP_TOKENS, RATE, SLICES, TREE = 2, 256, 8192, 0.1, 16, 8
+#: Gradient steps, their rate, what is added to expected outcomes, tokens taken together, cuts of a gradient, and gradients
+#: added in one task.
+STEPS, RATE, PRIOR, CHUNK, SLICES, FAN = 8, 0.5, 20.0, 1 << 15, 16, 16
 END = U(0xE0D0E0D0E0D0E0D1)
 SENT = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("h", pa.binary()), ("c", pa.binary())])
 COUNTED = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("c", pa.binary()), ("mass", pa.list_(pa.float64()))])
-CODED_DDL = "doc_id array<long>, train binary, n binary, known binary, base binary, inner binary, number binary, word binary, leaf binary, less binary"
-CODED = pa.schema([("doc_id", pa.list_(pa.int64())), *((x, pa.binary()) for x in ("train", "n", "known", "base", "inner", "number", "word", "leaf", "less"))])
-CHANGE = pa.schema([("slice", pa.int32()), ("branch", pa.int32()), ("n", pa.float64()), ("w", pa.binary())])
+CODED_DDL = "share int, doc_id array<long>, train binary, n binary, known binary, base binary, inner binary, number binary, word binary, leaf binary, less binary"
+CODED = pa.schema([("share", pa.int32()), ("doc_id", pa.list_(pa.int64())), *((x, pa.binary()) for x in ("train", "n", "known", "base", "inner", "number", "word", "leaf", "less"))])
+SUMS = pa.schema([("slice", pa.int32()), ("branch", pa.int32()), ("g", pa.binary())])
+SUMS_DDL = "slice int, branch int, g binary"
 OUT = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
 
@@ -98,7 +106,7 @@ def send_counts(buckets: int):
     def f(docs: pa.Table) -> pa.Table:
         key, bucket, number, first = _unique(docs, buckets)
         train = docs.column("train").to_numpy().astype(bool)
-        counts = np.bincount(number[np.repeat(train, np.diff(first))], minlength=len(key)).astype(np.int64)
+        counts = np.bincount(number[np.repeat(train, np.diff(first))], minlength=len(key)).astype(np.uint32)
         rows = {x: [] for x in SENT.names}
         for b, i, j in C.buckets_of(bucket):
             for x, v in zip(SENT.names, (docs.column("batch")[0].as_py(), b, key[i:j].tobytes(), counts[i:j].tobytes()), strict=True):
@@ -112,7 +120,7 @@ def add_counts(sent: pa.Table) -> pa.Table:
     """Total counts for each batch in the order it asked, and a row with the counts of the bucket by bin and slot
     (and, behind them, its distinct tokens by bin)."""
     n = C.sizes(sent.column("h"), 8)
-    h, c = C.joined(sent.column("h"), U), C.joined(sent.column("c"), np.int64)
+    h, c = C.joined(sent.column("h"), U), C.joined(sent.column("c"), np.uint32).astype(np.int64)
     order = np.argsort(h, kind="stable")
     at = C.groups(h[order])
     total = np.add.reduceat(c[order], at)
@@ -157,19 +165,33 @@ def code(buckets: int, bands: np.ndarray):
         word, leaf, less = word_of(key, c), leaf_of(key, c, bands), leaf_of(key, c - 1, bands)
         rows = {"n": n, "known": total((c > 0).astype(np.int64)), "base": total(np.log10(c + 1.0)), "inner": total(np.log10(np.maximum(c, 1)))}
         out = {x: [] for x in CODED.names}
-        for i, j in _spans(n, 1 << 17):
-            a, b = first[i], first[j]
-            used, at = np.unique(number[a:b], return_inverse=True)  # each token of the span once, and numbers into them
-            row = {"doc_id": docs.column("doc_id")[i:j].to_pylist(), "train": train[i:j].tobytes(), "number": at.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes()}
-            row |= {"word": word[used].tobytes(), "leaf": leaf[used].tobytes(), "less": less[used].tobytes()}
-            row |= {k: v[i:j].astype(np.float64 if k in ("base", "inner") else np.int64).tobytes() for k, v in rows.items()}
-            for x in CODED.names:
-                out[x].append(row[x])
+        share, doc_id = share_of(C.ids(docs)), docs.column("doc_id").combine_chunks()
+        for t in range(STEPS):
+            docs_of = np.flatnonzero(share == t)
+            for i, j in _spans(n[docs_of], 1 << 17):
+                mine = docs_of[i:j]
+                place = _places(starts[mine], n[mine])
+                used, at = np.unique(number[place], return_inverse=True)  # each token of the span once, and numbers into them
+                row = {"share": t, "doc_id": doc_id.take(pa.array(mine)).to_pylist(), "train": train[mine].tobytes(), "number": at.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes()}
+                row |= {"word": word[used].tobytes(), "leaf": leaf[used].tobytes(), "less": less[used].tobytes()}
+                row |= {k: v[mine].astype(np.float64 if k in ("base", "inner") else np.int64).tobytes() for k, v in rows.items()}
+                for x in CODED.names:
+                    out[x].append(row[x])
         return C.table_of(CODED, out)
 
     return f
 
 
+def share_of(ids: np.ndarray) -> np.ndarray:
+    """The step that a document's id falls to."""
+    return (C.mix(ids.astype(np.int64).view(U)) % U(STEPS)).astype(np.int64)
+
+
+def _places(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places starts[i] to starts[i] + n[i], end to end."""
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def _spans(n: np.ndarray, most: int):
     """(from, to) of documents with about most tokens together."""
     at, ends = 0, np.cumsum(n)
@@ -205,26 +227,41 @@ def features(ctx: np.ndarray, kind: np.ndarray | int, shape: Shape) -> np.ndarra
     return np.stack(out, axis=1).astype(np.int64)
 
 
-def log_softmax(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = w[rows[:, 0]]
+def softmax_parts(w: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the features' weights less their largest, their exponentials, and the sums of these."""
+    z = w.take(rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        z = z + w[rows[:, k]]
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        z += w.take(rows[:, k], axis=0)
+    z -= z.max(axis=1, keepdims=True)
+    e = np.exp(z)
+    return z, e, e.sum(axis=1)
+
+
+def log_chance(w: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """log of the probability of outcomes y."""
+    z, _, total = softmax_parts(w, rows)
+    return z[np.arange(len(y)), y].astype(np.float64) - np.log(total.astype(np.float64))
 
 
-def step(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, y: np.ndarray) -> None:
-    """One Adagrad step on a batch of tokens: features rows, outcomes y; only rows that occur are touched."""
-    g = np.exp(log_softmax(w, rows))
-    g[np.arange(len(y)), y] -= 1
+def add_gradient(grad: np.ndarray, w: np.ndarray, rows: np.ndarray, y: np.ndarray) -> None:
+    """Adds expected less observed outcomes of each feature to grad, whose last column counts the feature's tokens."""
+    _, e, total = softmax_parts(w, rows)
+    p = np.empty((len(y), w.shape[1] + 1))
+    np.divide(e, total[:, None], out=p[:, :-1])
+    p[np.arange(len(y)), y] -= 1
+    p[:, -1] = 1
     flat = rows.ravel()
     order = np.argsort(flat)
     flat = flat[order]
     at = C.groups(flat)
-    grad, at = np.add.reduceat(g[order // rows.shape[1]], at, axis=0), flat[at]
-    total = seen[at] + grad * grad
-    seen[at] = total
-    w[at] -= RATE * grad / np.sqrt(total + 1e-6)
+    grad[flat[at]] += np.add.reduceat(p.take(order // rows.shape[1], axis=0), at, axis=0)
+
+
+def moved(w: np.ndarray, grad: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Weights after a step: against the gradient, over the outcomes that a feature's tokens have on average (share) or
+    the observed surplus, if that is larger; so no weight moves by more than about RATE."""
+    g, n = grad[:, :-1], grad[:, -1:]
+    return w - RATE * g / (n * share + np.maximum(-g, 0) + PRIOR)
 
 
 def coded(batch):
@@ -237,45 +274,49 @@ def coded(batch):
         yield batch.column("doc_id")[r].values, get("train", bool), *per_doc, word[at], get("leaf", np.uint16)[at], get("less", np.uint16)[at]
 
 
-def train_round(weights: np.ndarray, shape: Shape, turn: int):
+def gradient(weights: np.ndarray, shape: Shape):
+    """The gradient of a task's training texts at the weights, in SLICES cuts."""
+
     def f(batches):
         from pyspark import TaskContext
 
-        w, seen, tokens_seen = weights.copy(), np.zeros_like(weights), 0
-        (w0, w1), (seen0, seen1) = shape.factors(w), shape.factors(seen)
+        w = shape.factors(weights)
+        grads = [np.zeros((shape.rows, x.shape[1] + 1)) for x in w]
+        seen = False
         for batch in batches:
-            for doc_ids, train, n, _, _, _, word, _, less in coded(batch):
-                ids = doc_ids.fill_null(C.NO_ID).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
-                mine = np.repeat(train & (C.mix(ids) % U(ROUNDS) == U(turn)), n)
-                at = np.flatnonzero(mine)
-                ctx = contexts(word, n)[:, at]
-                y = less[at].astype(np.int64)
-                i = 0
-                while i < len(at):
-                    # small steps at first, so that a small share takes several
-                    size = int(min(STEP_TOKENS, max(LEAST_STEP, (tokens_seen + i) // 8)))
-                    x, t = ctx[:, i : i + size], y[i : i + size]
-                    i += size
-                    k = t // SLOTS
-                    step(w0, seen0, features(x, 0, shape), k)
-                    known = k > 0
-                    if known.any():
-                        step(w1, seen1, features(x[:, known], k[known] + 1, shape), t[known] % SLOTS)
-                tokens_seen += len(at)
-        if tokens_seen:
-            change = ((w - weights) * tokens_seen).reshape(SLICES, -1).astype(np.float32)
+            for _, train, n, _, _, _, word, _, less in coded(batch):
+                at = np.flatnonzero(np.repeat(train, n))
+                ctx, y = contexts(word, n)[:, at], less[at].astype(np.int64)
+                seen |= len(at) > 0
+                for i in range(0, len(at), CHUNK):
+                    x, k = ctx[:, i : i + CHUNK], y[i : i + CHUNK] // SLOTS
+                    add_gradient(grads[0], w[0], features(x, 0, shape), k)
+                    known = np.flatnonzero(k)
+                    if len(known):
+                        add_gradient(grads[1], w[1], features(x[:, known], k[known] + 1, shape), y[i : i + CHUNK][known] % SLOTS)
+        if seen:
+            cuts = np.concatenate([g.ravel() for g in grads]).astype(np.float32).reshape(SLICES, -1)
             pid = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([pid % TREE] * SLICES, pa.int32()), pa.array([float(tokens_seen)] * SLICES), pa.array([c.tobytes() for c in change], pa.binary())], schema=CHANGE)
+            for i, cut in enumerate(cuts):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pid], pa.int32()), pa.array([cut.tobytes()], pa.binary())], schema=SUMS)
 
     return f
 
 
-def add_changes(rows: pa.Table) -> pa.Table:
+def add_up(key: tuple, rows: pa.Table) -> pa.Table:
     total = None
-    for x in rows.column("w"):
-        v = np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
-        total = v if total is None else total + v
-    return pa.table([rows.column("slice").combine_chunks()[:1], pa.array([0], pa.int32()), pa.array([sum(rows.column("n").to_pylist())]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], schema=CHANGE)
+    for x in rows.column("g"):
+        v = np.frombuffer(x.as_buffer(), np.float32)
+        total = v.astype(np.float64) if total is None else total + v
+    return pa.table([[key[0].as_py()], [key[1].as_py()], [total.astype(np.float32).tobytes()]], schema=SUMS)
+
+
+def summed(sums: DataFrame, n_tasks: int) -> DataFrame:
+    """A row a slice: sums of the tasks' cuts, FAN of them in a task at a time."""
+    while n_tasks > 1:
+        sums = sums.withColumn("branch", F.floor(F.col("branch") / FAN).cast("int")).groupBy("slice", "branch").applyInArrow(add_up, SUMS_DDL)
+        n_tasks = -(-n_tasks // FAN)
+    return sums
 
 
 def start_weights(mass: np.ndarray, shape: Shape) -> np.ndarray:
@@ -283,23 +324,30 @@ def start_weights(mass: np.ndarray, shape: Shape) -> np.ndarray:
     take."""
     weights = np.zeros(shape.rows * (shape.classes + SLOTS), np.float32)
     w0, w1 = shape.factors(weights)
-    share = mass.sum(axis=1) + 0.5
+    some = lambda x: x + np.where(x > 0, 0.5, 1e-9)  # noqa: E731  nothing worth mentioning where there are no words
+    share = some(mass.sum(axis=1))
     share[0] = mass[1].sum() + 0.5
     w0[0] = np.log(share / share.sum())
-    leaf = mass + 0.5
+    leaf = some(mass)
     w1[1 : shape.classes + 1] = np.log(leaf / leaf.sum(axis=1, keepdims=True))
     return weights
 
 
-def train(coded_docs: DataFrame, weights: np.ndarray, shape: Shape) -> np.ndarray:
-    """The weights: the driver receives SLICES rows a round, of the model's size in all."""
-    ddl = "slice int, branch int, n double, w binary"
-    for turn in range(ROUNDS):
-        changes = coded_docs.mapInArrow(train_round(weights, shape, turn), ddl)
-        summed = changes.groupBy("slice", "branch").applyInArrow(add_changes, ddl).groupBy("slice").applyInArrow(add_changes, ddl)
-        got = {r.slice: np.frombuffer(r.w, np.float32) / max(r.n, 1.0) for r in summed.collect()}
+def train(coded_docs: DataFrame, n_bytes: int, mass: np.ndarray, shape: Shape) -> np.ndarray:
+    """The weights after STEPS steps over the coded texts of n_bytes: the driver receives a gradient, of the model's size,
+    for each."""
+    weights = start_weights(mass, shape)
+    kinds, slots = mass.sum(axis=1) + 0.5, mass.sum(axis=0) + 0.5
+    kinds[0] = mass[1].sum() + 0.5
+    shares = kinds / kinds.sum(), slots / slots.sum()
+    n_tasks = max(1, n_bytes // (STEPS * weights.nbytes))
+    for t in range(STEPS):
+        part = coded_docs.where(F.col("share") == t).drop("share").coalesce(n_tasks)
+        got = {r.slice: np.frombuffer(r.g, np.float32) for r in summed(part.mapInArrow(gradient(weights, shape), SUMS_DDL), n_tasks).collect()}  # SLICES rows
         if got:
-            weights = (weights.reshape(SLICES, -1) + np.stack([got[i] for i in range(SLICES)])).reshape(weights.shape).astype(np.float32)
+            flat, cut = np.concatenate([got[i] for i in range(SLICES)]).astype(np.float64), shape.rows * (shape.classes + 1)
+            grads = flat[:cut].reshape(shape.rows, -1), flat[cut:].reshape(shape.rows, -1)
+            weights = np.concatenate([moved(w, g, s).ravel() for w, g, s in zip(shape.factors(weights), grads, shares, strict=True)]).astype(np.float32)
     return weights
 
 
@@ -310,14 +358,14 @@ def score_all(weights: np.ndarray, shape: Shape, log_mass: np.ndarray):
             for doc_ids, train_, n, known, base, inner, word, leaf, _ in coded(batch):
                 p = np.zeros(len(leaf))
                 ctx = contexts(word, n)
-                for i in range(0, len(leaf), 1 << 15):
-                    x, t = ctx[:, i : i + (1 << 15)], leaf[i : i + (1 << 15)].astype(np.int64)
+                for i in range(0, len(leaf), CHUNK):
+                    x, t = ctx[:, i : i + CHUNK], leaf[i : i + CHUNK].astype(np.int64)
                     k = t // SLOTS
-                    out = log_softmax(w0, features(x, 0, shape))[np.arange(len(t)), k].astype(np.float64)
+                    out = log_chance(w0, features(x, 0, shape), k)
                     seen = np.flatnonzero(k)
                     if len(seen):
-                        out[seen] += log_softmax(w1, features(x[:, seen], k[seen] + 1, shape))[np.arange(len(seen)), t[seen] % SLOTS]
-                    p[i : i + (1 << 15)] = out / np.log(10) - np.where(k > 0, log_mass[t], 0.0)
+                        out[seen] += log_chance(w1, features(x[:, seen], k[seen] + 1, shape), t[seen] % SLOTS)
+                    p[i : i + CHUNK] = out / np.log(10) - np.where(k > 0, log_mass[t], 0.0)
                 score = np.add.reduceat(p, np.cumsum(n) - n) + inner
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(train_), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], schema=OUT)
 
@@ -339,9 +387,9 @@ def maxent_scores(docs: DataFrame, train_rows, key: str = "doc_id", text: str =
     shape = shape_of(words, n)
     mass = np.zeros((shape.classes, SLOTS))
     np.add.at(mass, shape.bands, by_bin)
-    coded_docs = saved(plan.answer(counted.where("batch >= 0").select("batch", "bucket", "c"), code(buckets, shape.bands), CODED_DDL), "coded")
-    weights = train(coded_docs, start_weights(mass, shape), shape)
+    coded_docs = saved(plan.answer(counted.where("batch >= 0").select("batch", "bucket", "c"), code(buckets, shape.bands), CODED_DDL), "coded", by="share")
+    weights = train(coded_docs, plan.bytes, mass, shape)
     log_mass = np.log10(np.maximum(mass.ravel(), 1.0))
-    out = coded_docs.mapInArrow(score_all(weights, shape, log_mass), "doc_id long, train boolean, n_tokens long, n_known long, base double, score double")
+    out = coded_docs.drop("share").mapInArrow(score_all(weights, shape, log_mass), "doc_id long, train boolean, n_tokens long, n_known long, base double, score double")
     base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(n + v + 1))
     return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

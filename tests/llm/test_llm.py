@@ -576,3 +576,84 @@ def test_line_filters_hold_what_was_seen_twice():
     twice = L.merge(bits)
     held = np.all([twice.holds(b) for b in L.bits_of(h)], axis=0)
     assert held[1500:2000].all() and held[4000:4010].all() and held.sum() < 520
+
+
+def lm_rows():
+    r = random.Random(6)
+    line = lambda: " ".join("The Cat sat on a mat and ran".split()[(i + r.randrange(2)) % 8] for i in range(r.randrange(1, 60)))
+    return [(i, line() + (f" odd{i}" if i % 3 == 0 else "")) for i in range(300)] + [(500, None), (501, ""), (None, "The Cat"), (7, "sat on the cat again")]
+
+
+def test_lm_does_not_depend_on_tasks(spark):
+    df = spark.createDataFrame(lm_rows(), "doc_id long, text string")
+    got = []
+    for n in (1, 13):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(sorted((str(x.doc_id), x.n_tokens, x.score) for x in maxent_scores(df.repartition(n), F.col("doc_id") % 5 != 0).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    for a, b in zip(*got, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-6)
+
+
+def test_lm_against_plain_training(spark):
+    """Counts, classes, features, gradients and scores token by token."""
+    import math
+
+    import numpy as np
+
+    from arborflow.llm import maxent_lm as M
+
+    rows = [(i, t) for i, t in lm_rows() if i is not None]
+    got = sorted((x.doc_id, x.n_tokens, x.score) for x in maxent_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5 != 0).collect())
+    import pyarrow as pa
+
+    table = pa.table({"text": [t for _, t in rows]})
+    h, first = M.tokens(table)
+    docs = [(d, h[a:b].tolist()) for (d, _), a, b in zip(rows, first[:-1], first[1:], strict=True)]
+    count = Counter(x for d, w in docs if d % 5 for x in w)
+    n = sum(count.values())
+    shape = M.shape_of(np.bincount(M.bin_of(np.array(list(count.values()))), minlength=M.BINS), float(n))
+    kind = lambda c: int(M.class_of(np.array([c]), shape.bands)[0])
+    slot = {x: int(M.slot_of(np.array([x], np.uint64))[0]) for _, w in docs for x in w}
+    word = {x: int(M.word_of(np.array([x], np.uint64), np.array([count[x]]))[0]) for x in slot}
+    mass = np.zeros((shape.classes, M.SLOTS))
+    for x, c in count.items():
+        mass[kind(c), slot[x]] += c
+    weights = M.start_weights(mass, shape)
+    w0, w1 = (x.astype(float) for x in shape.factors(weights))
+
+    def rows_of(before, k):
+        ctx = np.array([[before[-j] if len(before) >= j else 0] for j in (1, 2, 3)], np.uint32)
+        return M.features(ctx, k, shape)[0].tolist()
+
+    def soft(w, rs):
+        z = [sum(w[r][c] for r in rs) for c in range(w.shape[1])]
+        e = [math.exp(x - max(z)) for x in z]
+        return [x / sum(e) for x in e]
+
+    kinds, slots = mass.sum(axis=1) + 0.5, mass.sum(axis=0) + 0.5
+    kinds[0] = mass[1].sum() + 0.5
+    for t in range(M.STEPS):
+        g0, g1 = np.zeros((shape.rows, shape.classes + 1)), np.zeros((shape.rows, M.SLOTS + 1))
+        for d, w in docs:
+            if d % 5 and int(M.share_of(np.array([d]))[0]) == t:
+                for i, x in enumerate(w):
+                    before, k = [word[y] for y in w[:i]], kind(count[x] - 1)
+                    for g, wt, rs, y in [(g0, w0, rows_of(before, 0), k)] + ([(g1, w1, rows_of(before, k + 1), slot[x])] if k else []):
+                        p = soft(wt, rs)
+                        p[y] -= 1
+                        for r in rs:
+                            g[r] += [*p, 1]
+        w0, w1 = M.moved(w0, g0, kinds / kinds.sum()), M.moved(w1, g1, slots / slots.sum())
+    for (d, w), (e, m, score) in zip(sorted(docs), got, strict=True):
+        want = 0.0
+        for i, x in enumerate(w):
+            before, k = [word[y] for y in w[:i]], kind(count[x])
+            want += math.log10(soft(w0, rows_of(before, 0))[k])
+            if k:
+                want += math.log10(soft(w1, rows_of(before, k + 1))[slot[x]] * count[x] / mass[k, slot[x]])
+        assert d == e and m == len(w) and score == pytest.approx(want, rel=1e-5)
+    # in any context the seen words and the unseen one have all the probability
+    for before in ([], [word[x] for x in docs[5][1][:4]]):
+        p = soft(w0, rows_of(before, 0))
+        assert p[0] + sum(p[kind(c)] * soft(w1, rows_of(before, kind(c) + 1))[slot[x]] * c / mass[kind(c), slot[x]] for x, c in count.items()) == pytest.approx(1, abs=1e-3)
