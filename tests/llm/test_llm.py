@@ -429,16 +429,98 @@ def test_toxicity_is_exact_and_finds_held_out(spark):
     assert got[900].score == got[901].score < 0.3 and got[900].neighbours == []
     assert len(fit(df, labels).ids) >= 50
     rng = np.random.default_rng(0)
-    vectors = [(i, {int(t): int(c) for t, c in zip(rng.choice(12, 3, replace=False), rng.integers(1, 4, 3), strict=True)}, 0) for i in range(500)]
-    index = Index(np.arange(12, dtype=np.uint64), rng.uniform(1, 3, 12), vectors)
-    dense = np.zeros((500, 12))
-    for i, c, _ in vectors:
-        t = np.array(sorted(c))
-        dense[i, t] = index.weigh(t, np.array([c[x] for x in t]))
-    for i in range(50):
+    vectors = [(i, np.sort(rng.choice(40, 6, replace=False)), rng.integers(1, 4, 6), int(i % 3 == 0)) for i in range(700)]
+    index = Index(rng.uniform(1, 3, 40), vectors)
+    dense = np.zeros((700, 40))
+    for i, t, c, _ in vectors:
+        dense[i, t] = index.weigh(t, c)
+    for i in range(80):
         t = np.flatnonzero(dense[i])
         at, cos = index.nearest(t, dense[i, t])
         np.testing.assert_allclose(cos, np.sort(dense @ dense[i])[::-1][:15], atol=1e-12)
+        every = np.lexsort((np.arange(700), -np.round(dense @ dense[i], 12)))[:15]
+        assert index.ids[at].tolist() == every.tolist()
+    assert index.opened < index.asked  # some blocks stay shut
+
+
+def test_toxicity_against_brute_force(spark):
+    """Terms, weights, neighbours, votes and the curve for every document, without an index."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from arborflow.llm import common as C
+    from arborflow.llm import toxicity as X
+
+    r = random.Random(14)
+    rows = [(i, " ".join(r.choice(WORDS) + str(r.randrange(40)) for _ in range(r.randrange(1, 30))) + (" badword" if i % 6 == 0 else "")) for i in range(260)] + [(900, None), (901, "\n"), (902, rows_ := "same text"), (903, rows_)]
+    df = spark.createDataFrame([(d, t, "x", 1.0) for d, t in rows], "doc_id long, text string, vote string, score double")
+    labels = [(i, int(i % 6 == 0)) for i in range(0, 200)] + [(901, 0), (902, 1), (903, 1), (5, None), (None, 1), (7, 1), (7, 0), (4000, 1)]
+    got = {x.doc_id: x for x in toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    number = lambda w: int(C.Texts(pa.array([w])).words(lower=True)[0][0])
+
+    def terms(t):
+        out = Counter()
+        for w in split(t):
+            w = w.lower()
+            out[number(w.decode()) % X.TERMS] += 1
+            for n in X.HEADS:
+                if len(w) >= n:
+                    head = C._Eights(np.frombuffer(w[:n], np.uint8), True).hashes(np.array([0]), np.array([n])) + np.uint64(n)
+                    out[int(C.mix(head)[0] % np.uint64(X.TERMS))] += 1
+        return out
+
+    bags = {d: terms(t) for d, t in rows}
+    held = Counter(x for b in bags.values() for x in b)
+    idf = lambda x: math.log((1 + len(rows)) / (1 + held[x])) + 1
+    label = {d: max(y for e, y in labels if e == d and y is not None) for d in bags if any(e == d and y is not None for e, y in labels)}
+    first = {}
+    for d in sorted(label):
+        first.setdefault((dict(rows)[d], label[d]), d)
+    examples = sorted(first.values())
+    fold = {x.doc_id for x in spark.createDataFrame([(d,) for d in examples], "doc_id long").where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(X.FOLD[0])) == X.FOLD[1]).collect()}
+
+    def model(of):
+        base = (sum(label[d] for d in of) + 1) / (len(of) + 2)
+        empty = [label[d] for d in of if not bags[d]]
+        prior = (sum(empty) + base) / (len(empty) + 1)
+        n, tox = Counter(x for d in of for x in bags[d]), Counter(x for d in of if label[d] for x in bags[d])
+        weight = lambda x: idf(x) * (X.FLOOR + abs(math.log((tox[x] + X.SMOOTH * base) / (n[x] - tox[x] + X.SMOOTH * (1 - base))) - math.log(base / (1 - base))))
+        unit = {}
+        for d, b in bags.items():
+            v = {x: (1 + math.log(c)) * weight(x) for x, c in b.items()}
+            s = math.sqrt(sum(z * z for z in v.values()))
+            unit[d] = {x: z / s for x, z in v.items()}
+
+        def vote(d):
+            cos = sorted(((round(c, 12), -e) for e in of if (c := sum(z * unit[e].get(x, 0.0) for x, z in unit[d].items())) > 0), reverse=True)[: X.K]
+            v = sum(c * c for c, _ in cos)
+            return (sum(c * c * label[-e] for c, e in cos) + X.PRIOR_WEIGHT * prior) / (v + X.PRIOR_WEIGHT), [-e for _, e in cos]
+
+        return vote
+
+    apart = model([d for d in examples if d not in fold])
+    curve = X.fit_curve(np.array([apart(d)[0] for d in sorted(fold)]), np.array([label[d] for d in sorted(fold)], float))
+    whole = model(examples)
+    for d in bags:
+        v, near = whole(d) if bags[d] else (whole(d)[0], [])
+        assert got[d].vote == pytest.approx(v, abs=1e-9) and got[d].neighbours == near, d
+        assert got[d].score == pytest.approx(float(np.interp(v, *curve)), abs=1e-9)
+    assert toxicity(df.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
+    assert {x.score for x in toxicity(df, spark.createDataFrame([], "doc_id long, toxic int")).collect()} == {0.5}
+
+
+def test_toxicity_curve():
+    import numpy as np
+
+    from arborflow.llm.toxicity import fit_curve
+
+    rng = np.random.default_rng(5)
+    votes = rng.uniform(0, 1, 4000)
+    x, y = fit_curve(votes, (rng.uniform(0, 1, 4000) < votes**2).astype(float))
+    assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all()
+    assert all(abs(np.interp(v, x, y) - v * v) < 0.08 for v in np.linspace(0.05, 0.95, 19))
 
 
 def test_toxicity_sees_all_words(spark):
