@@ -16,8 +16,18 @@ from .toxicity import toxicity
 from .warc import warc_round_trip
 
 
+#: Bytes a core below which a table is dealt over all cores first: small files can be a single row group, so one task.
+SMALL = 4 << 20
+
+
+def _read(spark, d, name):
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < cores * SMALL else df
+
+
 def _docs(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return _read(spark, d, "documents")
 
 
 def _fold(key, n):
@@ -35,7 +45,7 @@ def op1_substring_dedup(spark, sf_dir):
 
 
 def op2_warc(spark, sf_dir):
-    return warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), least=0)
+    return warc_round_trip(_read(spark, sf_dir, "pages"), least=0)
 
 
 def op3_line_dedup(spark, sf_dir):

@@ -31,12 +31,12 @@ from .tables import saved
 
 U = np.uint64
 #: Most labelled rows in the sample that learning sees, in the order of a hash of their id; numbers for terms; heads.
-SAMPLE, TERMS, HEADS = 4_000, 1 << 18, (4, 6)
+SAMPLE, TERMS, HEADS = 3_000, 1 << 18, (4, 6)
 #: Examples that a term's log odds are smoothed by, and the least factor of a term.
 SMOOTH, FLOOR = 10.0, 0.05
 #: Examples of a block; a term of more than this share of the examples has a dense row, DENSE at most; queries that meet
-#: these at once.
-BLOCK, COMMON, DENSE, TOGETHER = 16, 1 / 64, 512, 64
+#: these at once; clusters that order the examples.
+BLOCK, COMMON, DENSE, TOGETHER, CLUSTERS = 16, 1 / 64, 512, 64, 16
 K, PRIOR_WEIGHT = 15, 2.0
 #: Labelled rows whose id's hash has this remainder fit the curve; examples that a step of the curve is smoothed by.
 FOLD, PULL = (5, 0), 2.0
@@ -79,6 +79,21 @@ def ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (a - (np.cumsum(n) - n))[of] + np.arange(len(of)), of
 
 
+def alike(term: np.ndarray, value: np.ndarray, row: np.ndarray, n: int, n_terms: int) -> np.ndarray:
+    """A cluster for each of n vectors, by a few rounds of k-means over the most common terms."""
+    often = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:DENSE]
+    at = np.full(n_terms, -1)
+    at[often] = np.arange(len(often))
+    some = at[term] >= 0
+    x = np.zeros((n, DENSE))
+    x[row[some], at[term[some]]] = value[some]
+    centre, own = x[:: max(1, n // CLUSTERS)][:CLUSTERS], np.zeros(n, np.int64)
+    for _ in range(5 if n else 0):
+        own = (x @ centre.T - (centre * centre).sum(axis=1) / 2).argmax(axis=1)
+        centre = np.stack([x[own == k].mean(axis=0) if (own == k).any() else c for k, c in enumerate(centre)])
+    return own
+
+
 class Index:
     """A block-max inverted index of unit vectors, and their labels."""
 
@@ -101,11 +116,7 @@ class Index:
         count = np.concatenate([v[2] for v in full]) if full else np.zeros(0, np.int64)
         value = (1 + np.log(count)) * self.weight[term]
         value = value / np.sqrt(np.bincount(row, weights=value * value, minlength=len(full)))[row]
-        # alike examples side by side: by label, then by the term that weighs most
-        top = np.zeros(len(full), np.int64)
-        best = np.lexsort((term, -value, row))
-        top[row[best[::-1]]] = term[best[::-1]]
-        order = np.lexsort((np.arange(len(full)), top, -odds[top], -y))
+        order = np.lexsort((np.arange(len(full)), -y, alike(term, value, row, len(full), n_terms)))  # side by side
         begin = np.cumsum(size) - size
         place = np.repeat(begin[order] - (np.cumsum(size[order]) - size[order]), size[order]) + np.arange(len(term))
         self.ids, self.y = np.array([v[0] for v in full], np.int64)[order], y[order]
