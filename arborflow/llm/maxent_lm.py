@@ -42,7 +42,7 @@ SLOTS, FIRST_BAND, LEAST_ROWS = 16, 16, 4096
 BINS, BIN_STEPS = 512, 8
 #: Stand for the place before a text and for a word seen once at most.
 START, UNKNOWN = np.uint32(0), np.uint32(1)
-#: Gradient steps, their rate, what is added to expected outcomes, tokens taken together, cuts of a gradient, and gradients
+#: Gradient steps, their rate, what is added to expected outcomes, least tokens taken together, cuts of a gradient, and gradients
 #: added in one task.
 STEPS, RATE, PRIOR, CHUNK, SLICES, FAN = 8, 0.5, 20.0, 1 << 15, 16, 16
 END = U(0xE0D0E0D0E0D0E0D1)
@@ -244,23 +244,22 @@ def log_chance(w: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def add_gradient(grad: np.ndarray, w: np.ndarray, rows: np.ndarray, y: np.ndarray) -> None:
-    """Adds expected less observed outcomes of each feature to grad, whose last column counts the feature's tokens."""
+    """Adds expected less observed outcomes of each feature to grad (a line for each outcome, and one that counts the
+    feature's tokens).  The bias, each token's first feature, has few rows."""
     _, e, total = softmax_parts(w, rows)
-    p = np.empty((len(y), w.shape[1] + 1))
-    np.divide(e, total[:, None], out=p[:, :-1])
-    p[np.arange(len(y)), y] -= 1
-    p[:, -1] = 1
-    flat = rows.ravel()
-    order = np.argsort(flat)
-    flat = flat[order]
-    at = C.groups(flat)
-    grad[flat[at]] += np.add.reduceat(p.take(order // rows.shape[1], axis=0), at, axis=0)
+    p = np.ascontiguousarray((e / total[:, None]).T, np.float64)
+    p[y, np.arange(len(y))] -= 1
+    others = rows[:, 1:].T.ravel()
+    for line, x in zip(grad, [*p, np.ones(len(y))], strict=True):
+        line += np.bincount(others, weights=np.tile(x, rows.shape[1] - 1), minlength=len(line))
+        bias = np.bincount(rows[:, 0], weights=x)
+        line[: len(bias)] += bias
 
 
 def moved(w: np.ndarray, grad: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Weights after a step: against the gradient, over the outcomes that a feature's tokens have on average (share) or
     the observed surplus, if that is larger; so no weight moves by more than about RATE."""
-    g, n = grad[:, :-1], grad[:, -1:]
+    g, n = grad[:-1].T, grad[-1:].T
     return w - RATE * g / (n * share + np.maximum(-g, 0) + PRIOR)
 
 
@@ -281,19 +280,20 @@ def gradient(weights: np.ndarray, shape: Shape):
         from pyspark import TaskContext
 
         w = shape.factors(weights)
-        grads = [np.zeros((shape.rows, x.shape[1] + 1)) for x in w]
+        grads = [np.zeros((x.shape[1] + 1, shape.rows)) for x in w]
+        size = max(CHUNK, shape.rows // 2)
         seen = False
         for batch in batches:
             for _, train, n, _, _, _, word, _, less in coded(batch):
                 at = np.flatnonzero(np.repeat(train, n))
                 ctx, y = contexts(word, n)[:, at], less[at].astype(np.int64)
                 seen |= len(at) > 0
-                for i in range(0, len(at), CHUNK):
-                    x, k = ctx[:, i : i + CHUNK], y[i : i + CHUNK] // SLOTS
+                for i in range(0, len(at), size):
+                    x, k = ctx[:, i : i + size], y[i : i + size] // SLOTS
                     add_gradient(grads[0], w[0], features(x, 0, shape), k)
                     known = np.flatnonzero(k)
                     if len(known):
-                        add_gradient(grads[1], w[1], features(x[:, known], k[known] + 1, shape), y[i : i + CHUNK][known] % SLOTS)
+                        add_gradient(grads[1], w[1], features(x[:, known], k[known] + 1, shape), y[i : i + size][known] % SLOTS)
         if seen:
             cuts = np.concatenate([g.ravel() for g in grads]).astype(np.float32).reshape(SLICES, -1)
             pid = TaskContext.get().partitionId()
@@ -346,7 +346,7 @@ def train(coded_docs: DataFrame, n_bytes: int, mass: np.ndarray, shape: Shape) -
         got = {r.slice: np.frombuffer(r.g, np.float32) for r in summed(part.mapInArrow(gradient(weights, shape), SUMS_DDL), n_tasks).collect()}  # SLICES rows
         if got:
             flat, cut = np.concatenate([got[i] for i in range(SLICES)]).astype(np.float64), shape.rows * (shape.classes + 1)
-            grads = flat[:cut].reshape(shape.rows, -1), flat[cut:].reshape(shape.rows, -1)
+            grads = flat[:cut].reshape(-1, shape.rows), flat[cut:].reshape(-1, shape.rows)
             weights = np.concatenate([moved(w, g, s).ravel() for w, g, s in zip(shape.factors(weights), grads, shares, strict=True)]).astype(np.float32)
     return weights
 

@@ -31,7 +31,7 @@ from .tables import saved
 
 U = np.uint64
 #: Most labelled rows in the sample that learning sees, in the order of a hash of their id; numbers for terms; heads.
-SAMPLE, TERMS, HEADS = 3_000, 1 << 18, (4, 6)
+SAMPLE, TERMS, HEADS = 2_500, 1 << 18, (4, 6)
 #: Examples that a term's log odds are smoothed by, and the least factor of a term.
 SMOOTH, FLOOR = 10.0, 0.05
 #: Examples of a block; a term of more than this share of the examples has a dense row, DENSE at most; queries that meet
@@ -75,8 +75,14 @@ def frequencies(batches):
 def ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places a[i] to b[i], end to end, and i for each."""
     n = b - a
-    of = np.repeat(np.arange(len(n)), n)
-    return (a - (np.cumsum(n) - n))[of] + np.arange(len(of)), of
+    some = np.flatnonzero(n)
+    a, n = a[some], n[some]
+    ends = np.cumsum(n)
+    out = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
+    if len(out):
+        out[0] = a[0]
+        out[ends[:-1]] = a[1:] - a[:-1] - n[:-1] + 1
+    return np.cumsum(out, out=out), np.repeat(some, n)
 
 
 def alike(term: np.ndarray, value: np.ndarray, row: np.ndarray, n: int, n_terms: int) -> np.ndarray:

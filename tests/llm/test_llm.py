@@ -716,7 +716,7 @@ def test_lm_against_plain_training(spark):
     kinds, slots = mass.sum(axis=1) + 0.5, mass.sum(axis=0) + 0.5
     kinds[0] = mass[1].sum() + 0.5
     for t in range(M.STEPS):
-        g0, g1 = np.zeros((shape.rows, shape.classes + 1)), np.zeros((shape.rows, M.SLOTS + 1))
+        g0, g1 = np.zeros((shape.classes + 1, shape.rows)), np.zeros((M.SLOTS + 1, shape.rows))
         for d, w in docs:
             if d % 5 and int(M.share_of(np.array([d]))[0]) == t:
                 for i, x in enumerate(w):
@@ -725,7 +725,7 @@ def test_lm_against_plain_training(spark):
                         p = soft(wt, rs)
                         p[y] -= 1
                         for r in rs:
-                            g[r] += [*p, 1]
+                            g[:, r] += [*p, 1]
         w0, w1 = M.moved(w0, g0, kinds / kinds.sum()), M.moved(w1, g1, slots / slots.sum())
     for (d, w), (e, m, score) in zip(sorted(docs), got, strict=True):
         want = 0.0
