@@ -36,7 +36,7 @@ SAMPLE, TERMS, HEADS = 2_500, 1 << 18, (4, 6)
 SMOOTH, FLOOR = 10.0, 0.05
 #: Examples of a block; a term of more than this share of the examples has a dense row, DENSE at most; queries that meet
 #: these at once; clusters that order the examples.
-BLOCK, COMMON, DENSE, TOGETHER, CLUSTERS = 16, 1 / 64, 512, 64, 16
+BLOCK, COMMON, DENSE, TOGETHER, CLUSTERS = 16, 1 / 128, 2048, 128, 16
 K, PRIOR_WEIGHT = 15, 2.0
 #: Labelled rows whose id's hash has this remainder fit the curve; examples that a step of the curve is smoothed by.
 FOLD, PULL = (5, 0), 2.0
