@@ -6,7 +6,11 @@ kept while its precision there is high enough; the rows that it covers are then
 ordered Spark CASE expression.  Learning sees at most ``SAMPLE`` labelled rows, as counts of binned statistics; the
 statistics themselves are computed over all documents and whole texts.
 
-A null text has no words.  Rows without a label are scored like any other and teach nothing.
+A null text has no words.  Rows without a label are scored like any other and teach nothing; a doc_id with several labels
+counts as bad if one of them says so, and a label counts for all rows of its doc_id.  Ties between conditions go to the
+first feature and the least threshold.  An empty table gives no rows.  Without labels no rule fires.  Columns of docs come
+back in one column, so their names clash with nothing.  A text's words are held as arrays in its row, some ten times its
+bytes, so a row's text must stay well below the 2 GB that an array may take.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 #: Statistics that a rule may test.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "distinct_share", "upper_share", "digit_share", "punct_share", "line_words")
 
 
@@ -36,23 +41,28 @@ def _gone(text: Column, chars: str) -> Column:
 
 
 def statistics(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
-    """docs with word_chars, n_words, n_symbols, n_dup_lines, n_repeat_words and the features that rules test."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    """row (all columns of docs, of any name), word_chars, n_words, n_symbols, n_dup_lines, n_repeat_words and the features
+    that rules test."""
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_t"))
+    t = F.col("_t")
     words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACES, "") != "")
-    out = docs.withColumns({"_words": words, "_lines": lines})
-    h = F.transform("_words", lambda w: F.xxhash64(w))
-    out = out.withColumn("n_words", F.size("_words").cast("long")).withColumn("_h", h)
+    out = out.withColumns({"_words": words, "_lines": lines})
+    out = out.withColumn("n_words", F.size("_words").cast("long")).withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
     starts = lambda: F.when(F.col("n_words") >= window, F.sequence(F.lit(0), (F.col("n_words") - window).cast("int"))).otherwise(F.array().cast("array<int>"))
     out = out.withColumn("_wh", F.transform(starts(), lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(window)])))
-    # Windows whose hashes all differ are all different; only other texts compare the windows themselves.
-    at = F.array_sort(F.transform(starts(), lambda i: F.struct(F.array_join(F.slice("_words", i + 1, window), " ").alias("s"), i.alias("i"))))
-    out = out.withColumn("_at", F.when(F.size(F.array_distinct("_wh")) < F.size("_wh"), at))
+    # Windows whose hashes all differ are all different.  In other texts the places with hashes that occur again are
+    # compared by their words, so only these are built.
+    hashed = F.array_sort(F.zip_with("_wh", starts(), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    out = out.withColumn("_hs", F.when(F.size(F.array_distinct("_wh")) < F.size("_wh"), hashed))
+    again = lambda x, j: F.coalesce(F.get("_hs", j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("_hs", j + 1)["h"] == x["h"], F.lit(False))
+    at = F.array_sort(F.transform(F.filter("_hs", again), lambda x: F.struct(F.array_join(F.slice("_words", x["i"] + 1, window), " ").alias("s"), x["i"].alias("i"))))
+    out = out.withColumn("_at", at)
     same = lambda x, j: F.coalesce(F.get("_at", j - 1)["s"] == x["s"], F.lit(False)) | F.coalesce(F.get("_at", j + 1)["s"] == x["s"], F.lit(False))
     out = out.withColumn("_twice", F.array_sort(F.transform(F.filter("_at", same), lambda x: x["i"])))
     covered = F.aggregate("_twice", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-window).alias("last")), lambda a, i: F.struct((a["n"] + F.least(i - a["last"], F.lit(window))).alias("n"), i.alias("last")), lambda a: a["n"])
     n = F.greatest(F.col("n_words"), F.lit(1))
-    return out.withColumns({
+    out = out.withColumns({
         "word_chars": F.length(F.translate(t, SPACES, "")).cast("long"),
         "n_symbols": _gone(t, SYMBOLS).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
@@ -63,7 +73,9 @@ def statistics(docs: DataFrame, text: str = "text", window: int = 5) -> DataFram
         "mean_word": F.col("word_chars") / n, "symbol_share": F.col("n_symbols") / n, "dup_line_share": F.col("n_dup_lines") / F.greatest(F.size("_lines"), F.lit(1)),
         "repeat_share": F.col("n_repeat_words") / n, "distinct_share": F.col("_distinct") / n, "upper_share": F.col("_upper") / F.greatest("word_chars", F.lit(1)),
         "digit_share": F.col("_digits") / F.greatest("word_chars", F.lit(1)), "punct_share": F.col("_punct") / n, "line_words": F.col("n_words") / F.greatest(F.size("_lines"), F.lit(1)),
-    }).drop("_words", "_lines", "_h", "_wh", "_at", "_twice", "_distinct", "_upper", "_digits", "_punct")
+    })
+    # as a generator's row, which no filter passes, so a filter on a statistic does not compute them all again
+    return out.select("row", F.inline(F.array(F.struct(*COUNTS, *FEATURES[1:]))))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -115,9 +127,15 @@ def _counts(rule: Rule, rows: list, cuts) -> tuple[int, int]:
 
 
 def _prune(rule: Rule, rows: list, cuts) -> Rule:
-    """The prefix of the rule with the best (bad - good) / (bad + good) on rows held out, shorter ones first."""
+    """The rule without those conditions, one at a time, whose removal betters (bad - good) / (bad + good) on rows held
+    out most, or leaves it as good."""
     worth = lambda r: (lambda b, g: (b - g) / (b + g) if b + g else -1.0)(*_counts(r, rows, cuts))
-    return max((Rule(rule[:n]) for n in range(1, len(rule) + 1)), key=worth)
+    while len(rule) > 1:
+        less = max((Rule(rule[:i] + rule[i + 1 :]) for i in reversed(range(len(rule)))), key=worth)
+        if worth(less) < worth(rule):
+            break
+        rule = less
+    return rule
 
 
 def _bin(feature: str, cuts: list[float]) -> Column:
@@ -158,13 +176,11 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
-    """docs with their statistics, base_failed, rule (0: none fires) and kept."""
-    marked = labels.select(F.col(key), F.col(label).alias("_y")).where(F.col(key).isNotNull()).groupBy(key).agg(F.min("_y").alias(label))
-    sample = marked.where(F.col(label).isin(0, 1)).orderBy(F.xxhash64(F.col(key), F.lit(6)), key).limit(SAMPLE)
-    rules = learn(statistics(docs.select(key, "text").join(F.broadcast(sample), key)), label, key)  # the sample is bounded by SAMPLE rows
-    out = statistics(docs)
-    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    # floor(rand()) is 0; it keeps the optimizer from copying all statistics into a filter on kept
-    rule = verdict(rules) + F.floor(F.rand(0)).cast("int")
-    return out.withColumn("base_failed", failed).withColumn("rule", rule).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", text: str = "text") -> DataFrame:
+    """row (all columns of docs), its statistics, base_failed, rule (0: none fires) and kept."""
+    marked = labels.select(F.col(key).alias("_id"), F.col(label).alias("_y")).where("_id IS NOT NULL").groupBy("_id").agg(F.min("_y").alias("_y"))
+    sample = marked.where(F.col("_y").isin(0, 1)).orderBy(F.xxhash64(F.col("_id"), F.lit(6)), "_id").limit(SAMPLE)
+    known = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), F.expr("_key = _id")).select("_id", "_y", "_text")  # bounded by SAMPLE rows
+    rules = learn(statistics(known, "_text").select("row.*", *COUNTS, *FEATURES[1:]).drop("_text"), "_y", "_id")
+    out = statistics(docs, text).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))).withColumn("rule", verdict(rules))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

@@ -65,7 +65,7 @@ def op5_decontaminate(spark, sf_dir):
 
 def op6_quality_rules(spark, sf_dir):
     out = quality_rules(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
 def op7_lm_scores(spark, sf_dir):

@@ -13,10 +13,13 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests, a local folder that goes at exit."""
+    """spark.checkpoint.dir of the session; where it is unset and all runs in one process, as in tests, a local folder that
+    goes at exit.  Tables in it go at the exit of the driver that made them."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="arborflow-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)

@@ -17,7 +17,7 @@ from arborflow.llm.maxent_lm import maxent_scores
 from arborflow.llm.mixing import PHI, Mix, mixed
 from arborflow.llm.near_copies import chains, differing, near_copies
 from arborflow.llm.quality_rules import quality_rules, statistics
-from arborflow.llm.sharding import shard_plan, sharded, size_of
+from arborflow.llm.sharding import shard_plan, sharded, write_shards
 from arborflow.llm.simhash import fingerprint, simhash_components
 from arborflow.llm.substring_dedup import substring_dedup
 from arborflow.llm.toxicity import toxicity
@@ -272,7 +272,7 @@ def test_tiles_against_brute_force():
 
 def test_quality_statistics(spark):
     df = docs(spark)
-    got = {r.doc_id: r for r in statistics(df).collect()}
+    got = {r.row.doc_id: r for r in statistics(df).collect()}
     for d, t in df.select("doc_id", "text").collect():
         t = t or ""
         w = [x.decode() for x in split(t)]
@@ -288,7 +288,7 @@ def test_quality_rules(spark):
     good = lambda: " ".join(r.choice(WORDS) + str(r.randrange(50)) for _ in range(60))
     rows = [(i, good() + ("".join(f" ##{j} |$<{j}>" for j in range(9)) if i % 4 == 0 else "")) for i in range(400)] + [(1000, None), (1001, "")]
     labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(0, 300)], "doc_id long, quality int")
-    out = {x.doc_id: (x.base_failed, x.kept) for x in quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    out = {x.row.doc_id: (x.base_failed, x.kept) for x in quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
     assert out[1000] == out[1001] == (True, False)
     held = [i for i in range(300, 400) if not out[i][0]]
     assert all(out[i][1] == (i % 4 != 0) for i in held) and len(held) > 90
@@ -296,6 +296,56 @@ def test_quality_rules(spark):
     assert none.where("rule <> 0").count() == 0
 
 
+def test_quality_columns_and_tables_of_any_kind(spark):
+    rows = [(i, "a b c d e f g h i j k l " + "x" * i, 5) for i in range(20)] + [(3, "same words here", 1)] * 2 + [(None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept int").selectExpr("*", "kept AS rule", "kept AS n_words", "text AS _words", "kept AS _y", "kept AS row", "kept AS _t", "map(1, 2) AS m")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (None, 0), (2, None)], "doc_id long, quality int")
+    out = quality_rules(df, labels)
+    assert sorted(map(str, out.select("row.*").collect())) == sorted(map(str, df.collect()))
+    assert {r.row.doc_id for r in out.where("base_failed").collect()} == {3, None} and out.where("kept").count() == 20
+    assert quality_rules(df.limit(0), labels).count() == 0 and "rand" not in out._jdf.queryExecution().toString()
+
+
+def test_quality_verdict_against_a_plain_learner(spark):
+    """Binning, growth by FOIL gain, pruning and the verdict, on counted rows, by trying all conditions."""
+    import math
+
+    from arborflow.llm import quality_rules as Q
+
+    r = random.Random(8)
+    feature, cuts = list(Q.FEATURES), [[0.5, 1.5, 2.5] for _ in Q.FEATURES]
+    rows = [(tuple(r.randrange(4) for _ in feature), r.randrange(3), r.randrange(3)) for _ in range(200)]
+    rows = [(b, p + 6 * (b[1] >= 2 and b[4] < 2), 0 if b[1] >= 2 and b[4] < 2 else q) for b, p, q in rows]
+
+    def fits(b, c):
+        return (b[feature.index(c[0])] > cuts[0].index(c[2])) == c[1]
+
+    rule, left = [], rows
+    while len(rule) < Q.MAX_CONDITIONS and sum(x[1] for x in left) and sum(x[2] for x in left):
+        bad, good = sum(x[1] for x in left), sum(x[2] for x in left)
+        best = (1e-9, None)
+        for f in feature:
+            for x in cuts[0]:
+                for up in (False, True):
+                    hit = [z for z in left if fits(z[0], (f, up, x))]
+                    p, q = sum(z[1] for z in hit), sum(z[2] for z in hit)
+                    if p >= 5 and (gain := p * (math.log2(p / (p + q)) - math.log2(bad / (bad + good)))) > best[0] + 1e-9:
+                        best = (gain, (f, up, x))
+        if best[1] is None:
+            break
+        rule.append(best[1])
+        left = [z for z in left if fits(z[0], best[1])]
+    grown = Q._grow(rows, cuts)
+    assert list(grown) == rule and len(rule) >= 2
+    pruned = Q._prune(grown, rows, cuts)
+    worth = lambda c: (lambda p, q: (p - q) / (p + q))(sum(z[1] for z in rows if all(fits(z[0], x) for x in c)), sum(z[2] for z in rows if all(fits(z[0], x) for x in c)))
+    assert worth(list(pruned)) >= worth(rule)
+    second = Q.Rule([("n_words", True, 1.5)])
+    data = spark.createDataFrame([tuple(float(x) for x in b) for b, _, _ in rows], ", ".join(f"{f} double" for f in feature))
+    got = [x.v for x in data.select(Q.verdict([pruned, second]).alias("v")).collect()]
+    assert got == [1 if all(fits(b, c) for c in pruned) else 2 if b[0] >= 2 else 0 for b, _, _ in rows]
+
+
 def test_mixing(spark):
     df = docs(spark)
     mix = Mix(df)
@@ -391,8 +441,36 @@ def test_sharding(spark):
     assert shard_plan(df.limit(0), 24).count() == 0
     again = shard_plan(df.repartition(7, "text"), 24).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, out))
-    whole = sharded(df, 5, size_of(F.col("text")))
+    whole = sharded(df, 5)
     assert whole.columns == [*df.columns, "shard", "slot"] and sorted(map(str, whole.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    assert Counter(map(tuple, shard_plan(df, 24).collect())) == Counter(map(tuple, out))
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_shards_are_shuffled_and_written_in_slot_order(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = [(i % 9000, None if i % 50 == 0 else f"t{i % 9000}") for i in range(10_000)] + [(1, "hot")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "text AS _n", "doc_id AS row", "doc_id AS h1", "doc_id AS place", "map('b', doc_id, 'a', 1L) AS m")
+    out = sharded(df, 3)
+    write_shards(out, str(tmp_path / "out"))
+    got = []
+    for k in range(3):
+        slots = []
+        for f in sorted((tmp_path / "out" / f"shard={k}").glob("*.parquet")):
+            table = pq.ParquetFile(f).read()
+            slots += table["slot"].to_pylist()
+            got += [(d, t) for d, t in zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True)]
+        assert slots == list(range(len(slots)))
+    assert Counter(got) == Counter(rows)
+    place = sorted((r.slot * 3 + r.shard, r.doc_id) for r in out.where("text <> 'hot'").select("shard", "slot", "doc_id").collect())
+    rising = sum(a[1] < b[1] for a, b in zip(place, place[1:], strict=False)) / len(place)
+    hot = [r.slot * 3 + r.shard for r in out.where("text = 'hot'").collect()]
+    assert 0.45 < rising < 0.55 and 5500 < sum(hot) / 3000 < 7500  # copies lie all over
+    with pytest.raises(ValueError):
+        sharded(df.withColumnRenamed("place", "slot"), 3)
 
 
 def test_warc(spark):
