@@ -489,6 +489,31 @@ def test_warc(spark):
     assert warc_round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_archives_are_well_formed(spark, tmp_path):
+    """Every archive read by a plain parser: ids are unique, revisits refer to a record that is there."""
+    import gzip
+
+    rows = [(1, "a", "same"), (2, "b", "same"), (2, "c", "same"), (2, "c", "same"), (2, "c", "other"), (None, None, None), (7, "d", "")]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, body string, n int")
+    manifest = write_warc(pages, f"file://{tmp_path}/w").collect()
+    ids, refers, n = [], [], 0
+    for m in manifest:
+        data = gzip.open(m.path.removeprefix("file://")).read()
+        assert data.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+        while data:
+            top, data = data.split(b"\r\n\r\n", 1)
+            fields = dict(x.split(": ", 1) for x in top.decode().split("\r\n")[1:])
+            size = int(fields["Content-Length"])
+            assert data[size : size + 4] == b"\r\n\r\n"
+            data = data[size + 4 :]
+            ids.append(fields["WARC-Record-ID"])
+            refers += [fields["WARC-Refers-To"]] if "WARC-Refers-To" in fields else []
+            n += fields["WARC-Type"] != "warcinfo"
+    assert n == len(rows) == sum(m.n_records for m in manifest) and len(set(ids)) == len(ids) and set(refers) <= set(ids) and len(refers) == 2
+    got = warc_round_trip(pages).collect()
+    assert sorted((r.page_id or -1, r.record_type, r.refers_to or -1) for r in got) == [(-1, "revisit", 7), (1, "revisit", 2), (2, "response", -1), (2, "response", -1), (2, "response", -1), (2, "response", -1), (7, "response", -1)]
+
+
 def test_toxicity_is_exact_and_finds_held_out(spark):
     import numpy as np
 
