@@ -4,15 +4,21 @@ Two texts whose sets of shingles have the Jaccard similarity s differ in a share
 of a SimHash (for sets of about one size).  At s = 0.8 that is 0.15 of the bits, too many for a 64-bit fingerprint with
 a small Hamming limit, so here a signature has two parts:
 
-- chains of ``k`` bits, k by the logarithm of the number of documents.  A pair at the similarity agrees in a whole chain
-  with probability (1 - p)**k, and there are as many disjoint chains as make a pair meet with probability ``RECALL``;
-- ``CHECK`` words that filter a meeting pair: first the pigeonring filter (from some segment on, every run of l segments
-  differs in at most l shares of the limit), then the whole Hamming distance, at most p + ``SLACK`` of the bits.
-
-Texts that pass are joined by a spanning forest; a bucket of keys sends one forest on, so a large group of near copies
-costs links in proportion to its size.  The components of these links only say which texts may be copies: in each one the
-texts' sets of different shingles are compared, and only pairs whose exact Jaccard similarity reaches the limit are linked.
-A component's shingles are held by one task.  Equal signatures (equal words among others) are one node throughout.
+- chains of ``BITS`` bits.  A pair at the similarity agrees in a whole chain with probability (1 - p)**BITS, and there are
+  as many disjoint chains as make a pair meet with probability ``RECALL``: 121 of 20 bits at 0.8, whatever the number of
+  documents.  An entry is a key of 4 bytes, the text's name and one word of 64 bits;
+- ``CHECK`` words that filter a meeting pair: of entries that meet, the word must differ in at most p of its bits and
+  ``WORD_SLACK``; then the pairs that are left, each once, fetch the other words, for the pigeonring filter (from some
+  segment on, every run of l segments differs in at most l shares of the limit) and the whole Hamming distance, at most
+  p + ``SLACK`` of the bits.
+
+Texts that meet in a key of few are compared pair by pair, others linked by a spanning forest that starts from the smallest
+names, so a large group of near copies costs links in proportion to its size.  The components of the pairs that pass only say
+which texts may be copies: in each one the texts' sets of different shingles are compared, and only pairs whose exact
+Jaccard similarity reaches the limit are linked.  A component's shingles are held by one task: a group of near copies of a
+very large number of different texts needs a task with that much memory.  Equal signatures (equal words among others) are
+one node throughout.  Random pairs that meet in a key grow with the square of the documents over 2**BITS; BITS is the
+parameter for larger corpora (24 bits take 236 chains).
 
 A null text has no words; texts without words are copies of each other, and a text of fewer words than a shingle is one
 shingle.  Repeats of a shingle count once.  Letters A-Z are lower-cased.  Shingles and signatures are told apart by 64-bit
@@ -38,17 +44,20 @@ U = np.uint64
 CHECK = 8
 #: Probability that a pair at the similarity meets under some key.
 RECALL = 0.99
-#: Share of differing bits allowed over the expected one: 4 standard deviations of it at a similarity of 0.8.
-SLACK = 0.0625
+#: Bits of a chain.
+BITS = 20
+#: Shares of differing bits allowed over the expected one: 4 standard deviations of it at a similarity of 0.8.
+SLACK, WORD_SLACK = 0.0625, 0.18
 #: Entries of a key bucket on average.
-BUCKET_ENTRIES = 500_000
+BUCKET_ENTRIES = 2_000_000
 #: Keys with more entries are linked by a forest, others pair by pair.
 SMALL = 8
 #: Pairs that a forest compares at once.
 BLOCK = 4096
 GOLDEN = U(0x9E3779B97F4A7C15)
 SIGNED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sign", pa.binary()), ("text", pa.string())])
-SENT = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("node", pa.binary()), ("check", pa.binary())])
+SENT = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("node", pa.binary()), ("word", pa.binary())])
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -57,10 +66,12 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def chains(n_docs: int, similarity: float) -> tuple[int, int]:
-    """Bits of a chain and number of chains for a number of documents."""
-    k = min(24, max(12, math.ceil(math.log2(max(n_docs, 2)))))
-    return k, math.ceil(math.log(1 - RECALL) / math.log1p(-((1 - differing(similarity)) ** k)))
+def chains(similarity: float, bits: int = BITS) -> int:
+    """Number of chains by which a pair at the similarity meets with probability RECALL."""
+    n = math.ceil(math.log(1 - RECALL) / math.log1p(-((1 - differing(similarity)) ** bits)))
+    if n << bits > 1 << 32:
+        raise ValueError("keys must fit 4 bytes")
+    return n
 
 
 def signature(hashes: np.ndarray, n_words: int) -> np.ndarray:
@@ -102,8 +113,8 @@ def send_chains(k: int, n_chains: int, buckets: int):
 
     def f(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 node = part.column("fp").to_numpy()
                 signs = C.joined(part.column("sign"), U).reshape(len(node), -1)
                 bits = np.unpackbits(np.ascontiguousarray(signs[:, CHECK:]).view(np.uint8), axis=1)[:, : k * n_chains]
@@ -114,7 +125,7 @@ def send_chains(k: int, n_chains: int, buckets: int):
                 rows = {x: [] for x in SENT.names}
                 for b, i, j in C.buckets_of(bucket[order]):
                     take = order[i:j]
-                    for x, v in zip(SENT.names, (b, key[take].tobytes(), node[row[take]].tobytes(), signs[row[take], :CHECK].tobytes()), strict=True):
+                    for x, v in zip(SENT.names, (b, key[take].astype(np.uint32).tobytes(), node[row[take]].tobytes(), signs[row[take], 0].tobytes()), strict=True):
                         rows[x].append(v)
                 yield from C.table_of(SENT, rows).to_batches()
 
@@ -132,19 +143,7 @@ def near(x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
     return passes.any(axis=1) & (ring[:, CHECK] <= limit)
 
 
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least node that each of n nodes reaches over the links a - b."""
-    root = np.arange(n)
-    while True:
-        x, y = root[a], root[b]
-        if (x == y).all():
-            return root
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-        while ((up := root[root]) != root).any():
-            root = up
-
-
-def _forest(check: np.ndarray, at: int, end: int, limit: int, out: list) -> None:
+def _forest(word: np.ndarray, at: int, end: int, limit: int, out: list) -> None:
     """Links of a spanning forest of one key's near pairs, through a frontier: each entry is taken up once and compared
     with those not reached yet, several at a time where few are left."""
     left = np.arange(at, end)
@@ -152,8 +151,8 @@ def _forest(check: np.ndarray, at: int, end: int, limit: int, out: list) -> None
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             n = min(len(queue), max(1, BLOCK // len(left)))
-            x, queue = np.array(queue[-n:]), queue[:-n]
-            hit = near(np.tile(check[left], (n, 1)), np.repeat(check[x], len(left), axis=0), limit).reshape(n, -1)
+            x, queue = np.array(queue[:n]), queue[n:]
+            hit = np.bitwise_count(word[left][None, :] ^ word[x][:, None]) <= limit
             got = hit.any(axis=0)
             if got.any():
                 out.append(np.stack([x[hit.argmax(axis=0)[got]], left[got]]))
@@ -162,28 +161,38 @@ def _forest(check: np.ndarray, at: int, end: int, limit: int, out: list) -> None
 
 
 def link(limit: int):
+    """Pairs of a bucket whose keys agree and whose words differ in few bits."""
+
     def f(sent: pa.Table) -> pa.Table:
-        key, node = C.joined(sent.column("key"), U), C.joined(sent.column("node"), np.int64)
-        check = C.joined(sent.column("check"), U).reshape(-1, CHECK)
-        order = np.argsort(key, kind="stable")
-        key, node, check = key[order], node[order], check[order]
+        key, node = C.joined(sent.column("key"), np.uint32), C.joined(sent.column("node"), np.int64)
+        word = C.joined(sent.column("word"), U)
+        order = np.lexsort((node, key))
+        key, node, word = key[order], node[order], word[order]
         at = C.groups(key)
         size = np.diff(np.append(at, len(key)))
         of = np.repeat(size, size)
         out: list = [np.zeros((2, 0), np.int64)]
         for lag in range(1, SMALL):
             x = np.flatnonzero((key[lag:] == key[:-lag]) & (of[lag:] <= SMALL))
-            for i in range(0, len(x), 1 << 14):
-                y = x[i : i + (1 << 14)]
-                y = y[near(check[y], check[y + lag], limit)]
-                out.append(np.stack([y, y + lag]))
+            x = x[np.bitwise_count(word[x] ^ word[x + lag]) <= limit]
+            out.append(np.stack([x, x + lag]))
         for g in np.flatnonzero(size > SMALL):
-            _forest(check, int(at[g]), int(at[g] + size[g]), limit, out)
-        names, index = np.unique(node, return_inverse=True)
-        a, b = index[np.concatenate(out, axis=1)]
-        root = roots(len(names), a, b)
-        child = np.flatnonzero(root != np.arange(len(names)))
-        return pa.table({"a": names[child], "b": names[root[child]]}, schema=EDGES)
+            _forest(word, int(at[g]), int(at[g] + size[g]), limit, out)
+        a, b = node[np.concatenate(out, axis=1)]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1]}, schema=PAIRS)
+
+    return f
+
+
+def check(limit: int):
+    """Pairs with their signatures' check words, less those that fail the pigeonring filter or the Hamming check."""
+
+    def f(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (C.joined(batch.column(c), U).reshape(batch.num_rows, CHECK) for c in ("x", "y"))
+                yield batch.select(["a", "b"]).filter(pa.array(near(x, y, limit)))
 
     return f
 
@@ -236,19 +245,22 @@ def confirm(shingle: int, similarity: float):
     return f
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = BITS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, fp (a 64-bit name of the signature) and component_id (the smallest doc_id that links reach, itself
     included) for each row of docs.  A null doc_id gets the component of its signature and never names one, unless it is
     alone (then null)."""
-    k, n_chains = chains(docs.count(), similarity)
-    n_words = CHECK + math.ceil(k * n_chains / 64)
-    limit = math.floor((differing(similarity) + SLACK) * 64 * CHECK)
+    n_chains = chains(similarity, bits)
+    n_words = CHECK + math.ceil(bits * n_chains / 64)
+    share = differing(similarity)
     texts = docs.selectExpr(f"cast(`{key}` AS long) AS doc_id", f"cast(`{text}` AS string) AS text")
     signed = saved(texts.mapInArrow(sign(shingle, n_words), "doc_id long, fp long, sign binary, text string"), "signatures")
     nodes = saved(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("sign").alias("sign")), "nodes")
     buckets = max(1, -(-nodes.count() * n_chains // BUCKET_ENTRIES))
-    sent = nodes.select("fp", "sign").mapInArrow(send_chains(k, n_chains, buckets), "bucket int, key binary, node binary, check binary")
-    maybe = components(C.decide(sent, link(limit), "a long, b long"))
+    sent = nodes.select("fp", "sign").mapInArrow(send_chains(bits, n_chains, buckets), "bucket int, key binary, node binary, word binary")
+    met = saved(C.decide(sent, link(math.floor((share + WORD_SLACK) * 64)), "a long, b long").distinct(), "met")
+    words = nodes.select("fp", F.substring("sign", 1, 8 * CHECK).alias("w"))
+    pairs = met.join(words.toDF("a", "x"), "a").join(words.toDF("b", "y"), "b")
+    maybe = components(pairs.mapInArrow(check(math.floor((share + SLACK) * 64 * CHECK)), "a long, b long"))
     texts = signed.join(maybe, signed.fp == maybe.node).groupBy("component", "fp").agg(F.min("text").alias("text"))
     edges = texts.groupBy("component").applyInArrow(confirm(shingle, similarity), "a long, b long")
     return named_components(signed.select("doc_id", "fp"), nodes.select("fp", "least"), edges)

@@ -8,6 +8,9 @@ Meeting fingerprints must satisfy the longer chains as well before the full Hamm
 
 Within a key, verified fingerprints are linked by a spanning forest and not by all pairs, so a large group of near
 copies costs a number of links in proportion to its size.  Equal fingerprints are one node throughout.
+
+Rows with equal doc_id are documents of their own.  Columns other than doc_id and text are left aside; an empty table gives
+no rows.  A text is read whole and its words are held at once, so a very long one takes memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import components
+from .components import components, hub_join
 from .tables import saved
 
 U = np.uint64
@@ -174,8 +177,8 @@ def named_components(signed: DataFrame, nodes: DataFrame, edges: DataFrame) -> D
     """doc_id, fp and component_id for the rows of signed (doc_id, fp), from nodes (fp, least) and links a - b of fps."""
     member = components(edges)
     of_fp = nodes.join(member, nodes.fp == member.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = of_fp.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = of_fp.join(named, "component").select("fp", "component_id")
+    named = of_fp.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    of_fp = hub_join(of_fp, named, "component", nodes.count()).select("fp", "component_id")
     return signed.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 

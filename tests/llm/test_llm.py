@@ -179,7 +179,7 @@ def test_near_copies_links_by_exact_similarity(spark):
 
 
 def test_chain_count():
-    assert all(k <= 24 and 1 - (1 - (1 - differing(0.8)) ** k) ** n >= 0.97 for k, n in (chains(x, 0.8) for x in (0, 1, 10**4, 10**7, 10**11)))
+    assert chains(0.8) == 121 and all(1 - (1 - (1 - differing(0.8)) ** k) ** chains(0.8, k) >= 0.99 for k in (12, 16, 20, 24))
 
 
 def test_simhash_links(spark):
@@ -222,6 +222,21 @@ def test_components(spark):
     assert got == {i: 0 for i in range(51)} | {100: 100, 101: 100, 103: 100}
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    from arborflow.llm import components as X
+
+    monkeypatch.setattr(X, "HUB_ROWS", 4)
+    monkeypatch.setattr(X, "HUBS", 8)
+    r = random.Random(7)
+    links = [(0, i) for i in range(1, 200)] + [(500 + i, 500 + i // 2) for i in range(1, 100)] + [(r.randrange(700, 760), r.randrange(700, 760)) for _ in range(50)]
+    top = {x: x for e in links for x in e}
+    for _ in range(len(top)):
+        for a, b in links:
+            top[a] = top[b] = min(top[a], top[b])
+    got = {x.node: x.component for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: y for x, y in top.items() if x in got} and all(top[x] == x for x in top if x not in got)
+
+
 def test_decontaminate(spark):
     r = random.Random(9)
     say = lambda n: [f"w{r.randrange(500)}" for _ in range(n)]
