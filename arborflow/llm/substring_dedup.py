@@ -92,6 +92,11 @@ def find_live(sent: pa.Table) -> pa.Table:
     return C.table_of(LIVE, rows)
 
 
+def _narrow(n: int):
+    """The type for numbers below n."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
 def send_windows(window: int, block: int, buckets: int):
     """The distinct windows of a batch near live anchors, each with its first place in the batch."""
 
@@ -117,7 +122,7 @@ def send_windows(window: int, block: int, buckets: int):
             batch = docs.column("batch")[0].as_py()
             for b, i, j in C.buckets_of(bucket):
                 used, mine = np.unique(doc[i:j], return_inverse=True)
-                for x, v in zip(FULL.names, (batch, b, h[i:j].tobytes(), mine.astype(np.uint32).tobytes(), at[i:j].tobytes(), names[used].tobytes()), strict=True):
+                for x, v in zip(FULL.names, (batch, b, h[i:j].tobytes(), mine.astype(_narrow(len(used))).tobytes(), at[i:j].tobytes(), names[used].tobytes()), strict=True):
                     rows[x].append(v)
         return C.table_of(FULL, rows)
 
@@ -129,7 +134,7 @@ def find_first(sent: pa.Table) -> pa.Table:
     batch's own first document."""
     n = C.sizes(sent.column("h"), 8)
     h, at = C.joined(sent.column("h"), U), C.joined(sent.column("at"), np.uint32)
-    doc = np.concatenate([np.frombuffer(i.as_buffer(), np.int64)[np.frombuffer(d.as_buffer(), np.uint32)] for i, d in zip(sent.column("ids"), sent.column("doc"), strict=True)])
+    doc = np.concatenate([np.frombuffer(i.as_buffer(), np.int64)[np.frombuffer(d.as_buffer(), _narrow(len(i.as_buffer()) // 8))] for i, d in zip(sent.column("ids"), sent.column("doc"), strict=True)])
     source = np.repeat(sent.column("batch").to_numpy().astype(np.int32), n)
     order = np.lexsort((at, doc, h))
     head = C.groups(h[order])
