@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .tables import saved
+from .tables import remove, saved
 
 U = np.uint64
-#: Tokens of a seed, share of an item that counts, most bits of the filter, and bits that a seed gets below that.
-SEED, THRESHOLD, FILTER_BITS, SEED_BITS = 5, 0.5, 1 << 27, 64
+#: Tokens of a seed, share of an item that counts, most bits of the filter, bits that a seed gets below that, and sets.
+SEED, THRESHOLD, FILTER_BITS, SEED_BITS, HASHES = 5, 0.5, 1 << 27, 64, 4
 #: Bytes of text that a bucket tiles on average, and bytes of a piece of the filter.
 BUCKET_BYTES, PIECE = 8 << 20, 1 << 13
 GAP = C.IS_SPACE.copy()
@@ -142,11 +142,16 @@ def keep_rare(threshold: float):
     return f
 
 
+def bit_of(h: np.ndarray, k: int, n_bits: int) -> np.ndarray:
+    return (C.mix(h + U(k) * C.GOLDEN) % U(n_bits)).astype(np.int64)
+
+
 def filter_bits(n_bits: int):
     def f(batches):
         bits = np.zeros(n_bits, bool)
         for batch in batches:
-            bits[(C.mix(batch.column("h").to_numpy().view(U)) % U(n_bits)).astype(np.int64)] = True
+            for k in range(HASHES):
+                bits[bit_of(batch.column("h").to_numpy().view(U), k, n_bits)] = True
         packed = np.packbits(bits, bitorder="little")
         for i in range(0, len(packed), PIECE):
             if packed[i : i + PIECE].any():
@@ -170,8 +175,10 @@ def probe(sizes: list[int], packed: np.ndarray, n_bits: int):
             docs = C.doc_of(first)
             for size in sizes:
                 h, ok = C.windows(words, size), C.inside(first, size)
-                bit = C.mix(h) % U(n_bits)
-                hit = np.flatnonzero((packed[bit >> U(3)] >> (bit & U(7)).astype(np.uint8) & 1).astype(bool) & ok)
+                hit = np.flatnonzero(ok)
+                for k in range(HASHES):
+                    bit = bit_of(h[hit], k, n_bits)
+                    hit = hit[(packed[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)]
                 for i, j in C.runs(docs[hit]):
                     hits[int(docs[hit[i]])].append(h[hit[i:j]].view(np.int64))
             out = {x: [] for x in HITS.names}
@@ -241,11 +248,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold: fl
     n_buckets = max(1, math.ceil(C.text_bytes(hits) / BUCKET_BYTES))
     dealt = F.pmod(F.col("t1"), F.lit(n_buckets)).cast("int").alias("bucket")
     found = hits.groupBy("t1", "t2").agg(F.any_value("text").alias("text"), F.any_value("hs").alias("hs"))
-    pairs = saved(found.select("t1", "t2", F.explode("hs").alias("h")).join(index, "h").select("t1", "t2", "item").distinct(), "pairs")
-    pairs = pairs.join(once.withColumnRenamed("text", "item_text"), "item").select("t1", "t2", "item", "item_text", dealt)
+    pairs_ = saved(found.select("t1", "t2", F.explode("hs").alias("h")).join(index, "h").select("t1", "t2", "item").distinct(), "pairs")
+    pairs = pairs_.join(once.withColumnRenamed("text", "item_text"), "item").select("t1", "t2", "item", "item_text", dealt)
     tiled = found.select("t1", "t2", "text", dealt).groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(tile(seed, threshold), OUT_DDL)
     tiled = saved(tiled, "tiled")
-    out = tiled.join(hits.select("doc_id", "t1", "t2").distinct(), ["t1", "t2"]).join(items.select("item", "item_id").distinct(), "item")
+    members = saved(hits.select("doc_id", "t1", "t2").distinct(), "members")
+    remove(hits, pairs_, seeds, index)
+    out = tiled.join(members, ["t1", "t2"]).join(items.select("item", "item_id").distinct(), "item")
     return out.select("doc_id", "item_id", "coverage", "n_tiles", "doc_starts", "item_starts", "lengths")
 
 

@@ -12,8 +12,8 @@ a small Hamming limit, so here a signature has two parts:
   segment on, every run of l segments differs in at most l shares of the limit) and the whole Hamming distance, at most
   p + ``SLACK`` of the bits.
 
-Texts that meet in a key of few are compared pair by pair, others linked by a spanning forest that starts from the smallest
-names, so a large group of near copies costs links in proportion to its size.  The components of the pairs that pass only say
+Texts that meet in a key of few are compared pair by pair, others through a frontier; a bucket sends on the spanning forest
+of its nearest pairs, so a large group of near copies costs links in proportion to its size.  The components of the pairs that pass only say
 which texts may be copies: in each one the texts' sets of different shingles are compared, and only pairs whose exact
 Jaccard similarity reaches the limit are linked.  A component's shingles are held by one task: a group of near copies of a
 very large number of different texts needs a task with that much memory.  Equal signatures (equal words among others) are
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import components
 from .simhash import named_components
-from .tables import saved
+from .tables import remove, saved
 
 U = np.uint64
 #: Words of 64 bits, and ring segments, that check a pair.
@@ -160,8 +160,28 @@ def _forest(word: np.ndarray, at: int, end: int, limit: int, out: list) -> None:
                 left = left[~got]
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a spanning forest of n nodes that keeps the least distances apart."""
+    order = np.lexsort((np.maximum(a, b), np.minimum(a, b), apart))
+    top, keep = list(range(n)), []
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for i, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            keep.append(i)
+    a, b = a[keep], b[keep]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
 def link(limit: int):
-    """Pairs of a bucket whose keys agree and whose words differ in few bits."""
+    """Pairs of a bucket whose keys agree and whose words differ in few bits; of those of a group, a forest of the nearest."""
 
     def f(sent: pa.Table) -> pa.Table:
         key, node = C.joined(sent.column("key"), np.uint32), C.joined(sent.column("node"), np.int64)
@@ -178,9 +198,10 @@ def link(limit: int):
             out.append(np.stack([x, x + lag]))
         for g in np.flatnonzero(size > SMALL):
             _forest(word, int(at[g]), int(at[g] + size[g]), limit, out)
-        a, b = node[np.concatenate(out, axis=1)]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]}, schema=PAIRS)
+        pairs = np.concatenate(out, axis=1)
+        names, index = np.unique(node, return_inverse=True)
+        a, b = forest(len(names), *index[pairs], np.bitwise_count(word[pairs[0]] ^ word[pairs[1]]))
+        return pa.table({"a": names[a], "b": names[b]}, schema=PAIRS)
 
     return f
 
@@ -263,4 +284,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits
     maybe = components(pairs.mapInArrow(check(math.floor((share + SLACK) * 64 * CHECK)), "a long, b long"))
     texts = signed.join(maybe, signed.fp == maybe.node).groupBy("component", "fp").agg(F.min("text").alias("text"))
     edges = texts.groupBy("component").applyInArrow(confirm(shingle, similarity), "a long, b long")
-    return named_components(signed.select("doc_id", "fp"), nodes.select("fp", "least"), edges)
+    edges = saved(edges, "edges")
+    rows = saved(signed.select("doc_id", "fp"), "named")
+    remove(signed, met)  # the texts
+    return named_components(rows, nodes.select("fp", "least"), edges)

@@ -14,7 +14,7 @@ _own: list[str] = []
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where it is unset and all runs in one process, as in tests, a local folder that
-    goes at exit.  Tables in it go at the exit of the driver that made them."""
+    goes at exit."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
@@ -35,4 +35,14 @@ def saved(df: DataFrame, name: str = "table", by: str | None = None) -> DataFram
     rows are read apart later."""
     path = new_path(df.sparkSession, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    out = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    out._saved_at = path
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes tables that saved() wrote and nothing reads any more."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df._saved_at
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
