@@ -43,6 +43,25 @@ def position_ids(mask: DataFrame, key: str) -> DataFrame:
     return mask.select(key, "pos", F.when(F.col("mask") == 0, 1).otherwise(run - 1).cast("long").alias("position_id"))
 
 
+def unpadded(ids: Column, mask: Column) -> Column:
+    """ids without the places where mask is 0."""
+    return F.transform(F.filter(F.arrays_zip(ids.alias("i"), mask.alias("m")), lambda s: s["m"] != 0), lambda s: s["i"])
+
+
+def padded_visible(mask: DataFrame, key: str) -> DataFrame:
+    """(key, pos, visible): how many places each place attends to under the causal and the pad mask: unmasked ones up to
+    itself."""
+    run = F.sum("mask").over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return mask.select(key, "pos", run.cast("long").alias("visible"))
+
+
+def sliced_linear(v: Column, weights: list[list[float]], n_slices: int) -> Column:
+    """weights v, as sums over n_slices slices of the inputs, each with its own columns of the weights."""
+    width = -(-len(weights[0]) // n_slices)
+    part = lambda w, k: dot(F.slice(v, k * width + 1, width), F.array(*[F.lit(float(x)) for x in w[k * width : (k + 1) * width]]))
+    return F.array(*[V.total(F.array(*[part(w, k) for k in range(n_slices)])) for w in weights])
+
+
 def last_nonpad(ids: Column, pad: int) -> Column:
     """0-based place before the first pad; -1 (the last place) if there is none."""
     at = F.array_position(ids, F.lit(pad))
@@ -64,6 +83,22 @@ def shifted_cross_entropy(tokens: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.avg(cross_entropy(F.col("logits"), F.col("next"))).alias("loss"))
 
 
+def mean_square(x: Column, y: Column) -> Column:
+    """Mean over the elements of an array x of the squared distance to y."""
+    return V.total(F.transform(x, lambda a: (a - y) * (a - y))) / F.size(x)
+
+
+def loss(kind: str, logits: Column, label: Column) -> Column:
+    """The loss of a row by problem type; label: a number, a class, or an array of 0 and 1 as long as logits."""
+    if kind == "regression":
+        return mean_square(logits, label)
+    if kind == "single_label_classification":
+        return cross_entropy(logits, label)
+    if kind == "multi_label_classification":
+        return V.total(F.zip_with(logits, label, bce_with_logits)) / F.size(logits)
+    raise ValueError(f"unknown problem type {kind}")
+
+
 def problem_type(n_labels: int, integral: bool) -> str:
     if n_labels == 1:
         return "regression"

@@ -17,6 +17,13 @@ def slices(tokens: DataFrame, n: int, key: str = "request_id") -> DataFrame:
     return rows.withColumn("slice_id", at.cast("long")).drop("_len")
 
 
+def array_slices(ids: Column, n: int) -> Column:
+    """The array cut into n nearly equal runs, the first ones longer by one; empty ones are left out.  No exchange."""
+    q, r = F.floor(F.size(ids) / n).cast("int"), (F.size(ids) % n).cast("int")
+    cut = lambda i: F.struct(i.cast("long").alias("slice_id"), (i * q + F.least(i, r)).cast("long").alias("first"), F.slice(ids, i * q + F.least(i, r) + 1, q + (i < r).cast("int")).alias("ids"))
+    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cut), lambda s: F.size(s["ids"]) > 0)
+
+
 def stage_bounds(stages: DataFrame) -> DataFrame:
     """stages (rank, n_layers) with left and right, the range of layers; one row a stage."""
     total = F.sum("n_layers").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))

@@ -87,8 +87,9 @@ def drawn(p: Column, u: Column) -> Column:
 
 
 def hashed_uniform(*key: Column) -> Column:
-    """In [0, 1), decided by the key: a retried task draws the same."""
-    return F.pmod(F.xxhash64(*key), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+    """In [0, 1), decided by the key: a retried task draws the same.  The first 32 bits of an MD5, so SQL can draw it too."""
+    digest = F.md5(F.concat_ws(",", *[k.cast("string") if not isinstance(k, str) else F.col(k).cast("string") for k in key]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
 def nucleus_token(logits: Column, temperature: float, top_p: float, u: Column) -> Column:
@@ -117,6 +118,18 @@ def judge_sampled(candidates: DataFrame, node_logits: DataFrame, sampling: str =
     return rows.groupBy("request_id", "path_id", "nodes", "candidate").agg(mask.alias("mask"))
 
 
+def evaluate_posterior(candidates: DataFrame, node_logits: DataFrame, temperature: float = 0.7, sampling: str = "typical", fast: bool = True, top_p: float = 0.8, threshold: float = 0.09, alpha: float = 0.3, seed: int = 0) -> DataFrame:
+    """The accepted path of each request: greedy at temperature 0, else typical (fast: by the threshold alone, ties by
+    likelihood; otherwise by draws) or nucleus."""
+    if temperature == 0:
+        return accept(judge_greedy(candidates, node_logits))
+    if sampling == "typical" and fast:
+        return accept(judge_typical(candidates, node_logits, temperature, threshold, alpha), by_likelihood=True)
+    if sampling in ("typical", "nucleus"):
+        return accept(judge_sampled(candidates, node_logits, sampling, temperature, top_p, threshold, alpha, seed))
+    raise ValueError(f"sampling must be typical or nucleus, not {sampling}")
+
+
 def accept_message(accepted: DataFrame, previous: Column) -> DataFrame:
     """n, select (cache rows to keep) and ids (accepted tokens): accept_length + 1 of each."""
     n = F.col("accept_length") + 1

@@ -22,6 +22,15 @@ def read_tree(path: str) -> list[list[int]]:
         return [list(map(int, p)) for p in json.load(f)]
 
 
+def tree_named(name: str, folder: str | None = None) -> list[list[int]]:
+    """A built-in tree, or the one that folder/name.json holds."""
+    if name in TREES:
+        return TREES[name]
+    if folder is None:
+        raise ValueError(f"tree {name} is not built in; name the folder with {name}.json")
+    return read_tree(f"{folder}/{name}.json")
+
+
 def tree_nodes(spark: SparkSession, choices: list[list[int]]) -> DataFrame:
     """node_id, parent_id, depth, rank, path and tree_index (place in the flat candidates) of each node; 0 is the root."""
     paths = spark.createDataFrame([(p,) for p in [[], *choices]], "path array<int>")

@@ -6,6 +6,9 @@ base model); node k of request r reads vector (r + 31 k) modulo the number of ve
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from ..operators import speculate as S
 from ..operators import state as K
 from ..operators import tree as B
 from ..operators.decoder import decode_requests
+from ..sources.checkpoints import prompts, read_stage, write_stages
 
 TREE = B.TREES[B.DEFAULT]
 TREE_SQL = "SELECT unnest(CAST(" + str([[]] + TREE) + " AS BIGINT[][])) AS path"
@@ -44,11 +48,18 @@ def _node_logits(spark, d, requests, nodes):
 
 
 def _words(spark, d):
-    """(request_id, pos, token_id) of the first 3 lines' words of each document."""
+    """(request_id, pos, token_id) of the words of each document."""
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     return _read(spark, d, "documents").select(F.col("doc_id").alias("request_id"), F.posexplode(words).alias("pos", "word")).select("request_id", F.col("pos").cast("long").alias("pos"), F.length("word").cast("long").alias("token_id"))
 
 
+def _ids(spark, d):
+    """(request_id, ids): the token ids of the words of each document that has any."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    ids = F.transform(words, lambda w: F.length(w).cast("long"))
+    return _read(spark, d, "documents").select(F.col("doc_id").alias("request_id"), ids.alias("ids")).where("size(ids) > 0")
+
+
 def _manifest(spark):
     layers = spark.range(32).crossJoin(F.broadcast(spark.createDataFrame([("self_attn.q_proj",), ("mlp.up_proj",)], "part string")))
     names = layers.select(F.concat(F.lit("model.layers."), F.col("id").cast("string"), F.lit("."), "part", F.lit(".weight")).alias("tensor_name"))
@@ -84,8 +95,8 @@ def tree_dispatch(spark, d):
 
 
 def slice_sequences(spark, d):
-    out = L.slices(_words(spark, d), 5)
-    return out.groupBy("request_id", "slice_id").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.sum("token_id").alias("tokens"))
+    cut = _ids(spark, d).select("request_id", F.inline(L.array_slices(F.col("ids"), 5)))
+    return cut.select("request_id", "slice_id", F.size("ids").cast("long").alias("n"), "first", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"))
 
 
 def stage_range_join(spark, d):
@@ -174,14 +185,7 @@ def candidates_cart(spark, d):
 def _accepted(spark, d, kind):
     nodes, c = _candidates(spark, d)
     logits = _node_logits(spark, d, c.select("request_id").distinct(), nodes)
-    if kind == "greedy":
-        # tokens modulo 4, so that some are accepted on these random scores
-        c = c.withColumn("candidate", F.transform("candidate", lambda x: x % 4))
-        logits = logits.withColumn("logits", F.slice("logits", 1, 4))
-        return S.accept(S.judge_greedy(c, logits))
-    if kind == "typical":
-        return S.accept(S.judge_typical(c, logits), by_likelihood=True)
-    return S.accept(S.judge_sampled(c, logits))
+    return S.evaluate_posterior(c, logits, temperature=0.0 if kind == "greedy" else 0.7, sampling=kind)
 
 
 def accept_greedy(spark, d):
@@ -237,8 +241,7 @@ def beam_reorder(spark, d):
 
 
 def eos_stop(spark, d):
-    ids = _words(spark, d).groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token_id"))), lambda s: s["token_id"]).alias("ids"))
-    return ids.select("request_id", K.stop_at(F.col("ids"), F.lit(5), 11).alias("stops"), F.size(F.slice("ids", F.lit(3), F.size("ids"))).cast("long").alias("n_trimmed"))
+    return _ids(spark, d).select("request_id", K.stop_at(F.col("ids"), F.lit(5), 11).alias("stops"), F.size(F.slice("ids", F.lit(3), F.size("ids"))).cast("long").alias("n_trimmed"))
 
 
 def causal_attention(spark, d):
@@ -283,8 +286,7 @@ def shifted_loss(spark, d):
 
 def mse(spark, d):
     e = _read(spark, d, "embeddings")
-    x = F.get("embedding", 0).cast("double")
-    return e.groupBy("label").agg(F.round(F.avg((x - F.col("label")) * (x - F.col("label"))), 6).alias("loss"))
+    return e.groupBy("label").agg(F.round(F.avg(M.mean_square(V.doubles(F.col("embedding")), F.col("label").cast("double"))), 6).alias("loss"))
 
 
 def bce_logits(spark, d):
@@ -293,8 +295,50 @@ def bce_logits(spark, d):
 
 
 def last_nonpad_pool(spark, d):
-    ids = _words(spark, d).groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token_id"))), lambda s: s["token_id"]).alias("ids"))
-    return ids.select("request_id", M.last_nonpad(F.col("ids"), 12).alias("pos"))
+    return _ids(spark, d).select("request_id", M.last_nonpad(F.col("ids"), 12).alias("pos"))
+
+
+def unpad(spark, d):
+    kept = _ids(spark, d).select("request_id", M.unpadded(F.col("ids"), F.transform("ids", lambda x: F.when(x > 3, 1).otherwise(0))).alias("kept"))
+    return kept.select("request_id", F.size("kept").cast("long").alias("n"), V.joined(F.col("kept")).alias("kept"))
+
+
+def padded_causal_visible(spark, d):
+    return M.padded_visible(_words(spark, d).select("request_id", "pos", F.when(F.col("token_id") > 3, 1).otherwise(0).alias("mask")), "request_id")
+
+
+def sliced_linear(spark, d):
+    weights = [[((i * 7 + j * 3) % 11 - 5) / 8 for j in range(64)] for i in range(4)]
+    return _elements(_vectors(spark, d), M.sliced_linear(F.col("logits"), weights, 4))
+
+
+def rope_linear(spark, d):
+    return _elements(_vectors(spark, d), V.rope(F.col("logits"), F.col("vec_id") % 17, 64, factor=4.0))
+
+
+def rope_ntk(spark, d):
+    return _elements(_vectors(spark, d), V.rope(F.col("logits"), F.col("vec_id") % 17, 64, factor=2.0, max_length=2048, length=4096))
+
+
+def loss_by_problem_type(spark, d):
+    e = _read(spark, d, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("x"), "label")
+    bits = F.transform("x", lambda x, i: ((F.col("label") + i) % 2).cast("double"))
+    kinds = {M.problem_type(1, False): F.col("label").cast("double"), M.problem_type(10, True): F.col("label"), M.problem_type(10, False): bits}
+    return e.select("vec_id", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.round(M.loss(k, F.col("x"), y), 6).alias("loss")) for k, y in kinds.items()])))
+
+
+def stage_checkpoint(spark, d):
+    """Stage tables written, and the third stage read back."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(top or 'file://' + tempfile.mkdtemp(prefix='arborflow-')).rstrip('/')}/stages-{uuid.uuid4().hex}"
+    write_stages(_manifest(spark).withColumn("file", F.lit("f")), spark.createDataFrame(STAGES, "rank long, n_layers long"), path)
+    return read_stage(spark, path, 2).select("tensor_name", "stage_name")
+
+
+def prompt_source(spark, d):
+    return prompts(_read(spark, d, "conversations"))
 
 
 def position_ids_from_mask(spark, d):
@@ -308,5 +352,5 @@ def decode_loop(spark, d):
     return decode_requests(r, TREE)
 
 
-FUNCTIONS = (skeleton_prompt, outline_points, point_prompts, shared_prefix, skeleton_normalised, tree_dispatch, slice_sequences, stage_range_join, layer_split, manifest_last_wins, tree_nodes, tree_ancestors, tree_paths, depth_histogram, tree_mask_semijoin, topk_per_head, argmax_token, softmax, entropy_threshold, typical_mask, nucleus_mask, sample_token, candidates_cart, accept_greedy, accept_typical, accept_nucleus, accept_message, kv_append, kv_compact, shared_prefix_union, round_robin, beam_reorder, eos_stop, causal_attention, gqa_repeat, rmsnorm, rope, silu, cross_entropy, shifted_loss, mse, bce_logits, last_nonpad_pool, position_ids_from_mask, decode_loop)
+FUNCTIONS = (skeleton_prompt, outline_points, point_prompts, shared_prefix, skeleton_normalised, tree_dispatch, slice_sequences, stage_range_join, layer_split, manifest_last_wins, tree_nodes, tree_ancestors, tree_paths, depth_histogram, tree_mask_semijoin, topk_per_head, argmax_token, softmax, entropy_threshold, typical_mask, nucleus_mask, sample_token, candidates_cart, accept_greedy, accept_typical, accept_nucleus, accept_message, kv_append, kv_compact, shared_prefix_union, round_robin, beam_reorder, eos_stop, causal_attention, gqa_repeat, rmsnorm, rope, silu, cross_entropy, shifted_loss, mse, bce_logits, last_nonpad_pool, position_ids_from_mask, unpad, padded_causal_visible, sliced_linear, rope_linear, rope_ntk, loss_by_problem_type, stage_checkpoint, prompt_source, decode_loop)
 QUERIES = {f.__name__: f for f in FUNCTIONS}

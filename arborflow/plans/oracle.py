@@ -38,7 +38,7 @@ STEP = """, size AS (SELECT count(*) AS n FROM embeddings), lastn AS (SELECT max
 d AS (SELECT request_id, path_id, cand, i, cand[i + 2] AS tok, CASE WHEN nodes[i + 1] < 0 THEN z ELSE nodes[i + 1] END AS node_id FROM (SELECT *, unnest(range(len(cand) - 1)) AS i FROM c), lastn),
 j AS (SELECT d.*, v.l FROM d, size, v WHERE v.vec_id = (d.request_id + 31 * d.node_id) % size.n)"""
 GREEDY = CAND + STEP + """,
-m AS (SELECT request_id, path_id, i, list_transform(cand, lambda x: x % 4) AS cand, tok % 4 = list_position(l[1:4], list_max(l[1:4])) - 1 AS ok FROM j),
+m AS (SELECT request_id, path_id, i, cand, tok = list_position(l, list_max(l)) - 1 AS ok FROM j),
 r AS (SELECT request_id, path_id, cand, coalesce(min(i) FILTER (NOT ok), max(i) + 1) AS acc FROM m GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY acc DESC, path_id) AS o FROM r)"""
 TYPICAL = CAND + STEP + f""",
@@ -91,8 +91,18 @@ ORACLE = {
     "silu": f"SELECT vec_id, unnest(range(64)) AS i, round(unnest(list_transform(l, lambda x: x / (1 + exp(-x)))), 6) AS x FROM ({V})",
     "cross_entropy": f"SELECT vec_id, round(list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) - l[label + 1], 6) AS loss FROM ({V})",
     "shifted_loss": f"WITH v AS ({V}), y AS (SELECT vec_id, l, lead(label) OVER (PARTITION BY vec_id // 10 ORDER BY vec_id) AS nx FROM v) SELECT vec_id // 10 AS request_id, round(avg(list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) - l[nx + 1]), 6) AS loss FROM y WHERE nx IS NOT NULL GROUP BY 1",
-    "mse": "SELECT label, round(avg((CAST(embedding[1] AS DOUBLE) - label) * (CAST(embedding[1] AS DOUBLE) - label)), 6) AS loss FROM embeddings GROUP BY label",
+    "mse": "SELECT label, round(avg(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: (x - label) * (x - label))) / len(embedding)), 6) AS loss FROM embeddings GROUP BY label",
     "bce_logits": "SELECT vec_id, round(greatest(x, 0.0) - x * y + ln(1 + exp(-abs(x))), 6) AS loss FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(label % 2 AS DOUBLE) AS y FROM embeddings)",
     "last_nonpad_pool": f"WITH {WORDS} SELECT request_id, coalesce(min(pos) FILTER (token_id = 12) - 1, -1) AS pos FROM x GROUP BY request_id",
     "position_ids_from_mask": f"WITH {WORDS} SELECT request_id, pos, CASE WHEN token_id > 3 THEN CAST(sum(CASE WHEN token_id > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY request_id ORDER BY pos) AS BIGINT) - 1 ELSE 1 END AS position_id FROM x",
+    "unpad": f"WITH {WORDS}, y AS (SELECT request_id, count(*) FILTER (token_id > 3) AS n, string_agg(CAST(token_id AS VARCHAR), ',' ORDER BY pos) FILTER (token_id > 3) AS kept FROM x GROUP BY 1) SELECT request_id, n, coalesce(kept, '') AS kept FROM y",
+    "padded_causal_visible": f"WITH {WORDS} SELECT request_id, pos, CAST(sum(CASE WHEN token_id > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY request_id ORDER BY pos) AS BIGINT) AS visible FROM x",
+    "sliced_linear": f"SELECT vec_id, unnest(range(4)) AS i, round(unnest(list_transform(range(4), lambda i: list_sum(list_transform(range(64), lambda j: l[j + 1] * ((i * 7 + j * 3) % 11 - 5) / 8.0)))), 6) AS x FROM ({V})",
+    "rope_linear": f"SELECT vec_id, unnest(range(64)) AS i, round(unnest(list_transform(range(64), lambda i: l[i + 1] * cos(((vec_id % 17) / 4.0) * pow(10000.0, -2.0 * (i % 32) / 64)) + (CASE WHEN i < 32 THEN -l[i + 33] ELSE l[i - 31] END) * sin(((vec_id % 17) / 4.0) * pow(10000.0, -2.0 * (i % 32) / 64)))), 6) AS x FROM ({V})",
+    "rope_ntk": f"SELECT vec_id, unnest(range(64)) AS i, round(unnest(list_transform(range(64), lambda i: l[i + 1] * cos((vec_id % 17) * pow((10000.0 * pow(3.0, 64.0 / 62.0)), -2.0 * (i % 32) / 64)) + (CASE WHEN i < 32 THEN -l[i + 33] ELSE l[i - 31] END) * sin((vec_id % 17) * pow((10000.0 * pow(3.0, 64.0 / 62.0)), -2.0 * (i % 32) / 64)))), 6) AS x FROM ({V})",
+    "loss_by_problem_type": f"""WITH v AS ({V}) SELECT vec_id, 'regression' AS kind, round(list_sum(list_transform(l, lambda x: (x - label) * (x - label))) / 64, 6) AS loss FROM v
+UNION ALL SELECT vec_id, 'single_label_classification', round(list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) - l[label + 1], 6) FROM v
+UNION ALL SELECT vec_id, 'multi_label_classification', round(list_sum(list_transform(range(64), lambda i: greatest(l[i + 1], 0.0) - l[i + 1] * ((label + i) % 2) + ln(1 + exp(-abs(l[i + 1]))))) / 64, 6) FROM v""",
+    "stage_checkpoint": f"WITH {NAMES} SELECT tensor_name, CASE WHEN layer IS NULL THEN tensor_name ELSE replace(tensor_name, 'layers.' || layer || '.', 'layers.' || (layer - 17) || '.') END AS stage_name FROM nm WHERE layer IS NULL OR (layer >= 17 AND layer < 26)",
+    "prompt_source": "SELECT conv_id AS request_id, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id",
 }
