@@ -739,10 +739,63 @@ def test_lm_tells_context_words_apart(spark):
 
 
 def test_pipeline(spark):
+    """Each stage against brute force on its own input."""
+    import pyarrow as pa
+
+    import corpus_pipeline as p
+    from arborflow.llm import common as C
+    from arborflow.llm import near_copies as N
+
+    d = "/root/testdata/sf0.001"
+    ids = lambda df: Counter(r.doc_id for r in df.select("doc_id").collect())
+    docs_ = spark.read.parquet(f"{d}/documents.parquet")
+    steps, before = dict(p.STAGES), docs_
+    kept = p.saved(steps["quality"](spark, before, d))
+    stats = {r.doc_id: r for r in quality_rules(before, spark.read.parquet(f"{d}/labels.parquet")).select("row.doc_id", "n_words", "n_repeat_words", "rule").collect()}
+    assert ids(kept) == Counter(i for i, r in stats.items() if r.n_words >= 10 and 100 * r.n_repeat_words <= 20 * r.n_words and r.rule == 0)
+    rows = kept.select("doc_id", "text").collect()
+    words, first = C.Texts(pa.array([r.text for r in rows])).words(lower=True)
+    sets = [set(N.shingles(words[i:j], 5).tolist()) for i, j in zip(first[:-1], first[1:], strict=True)]
+    least = [r.doc_id for r in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in rows:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    unique = p.saved(steps["simhash"](spark, kept, d))
+    assert ids(unique) == Counter(set(least))
+    clean = p.saved(steps["decontaminate"](spark, unique, d))
+    toks = lambda c: (lambda w, f: [w[i:j] for i, j in zip(f[:-1], f[1:], strict=True)])(*C.Texts(pa.array(c, pa.string())).words(lower=True, separators=D.GAP))
+    items = [x for x in toks([r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]) if len(x)]
+    rows, gone = unique.select("doc_id", "text").collect(), set()
+    for r, x in zip(rows, toks([r.text for r in rows]), strict=True):
+        seen = set(x.tolist())
+        if any(sum(w in seen for w in y.tolist()) >= 0.5 * len(y) and sum(n for *_, n in D.tiles(x, y, min(5, len(y)))) >= 0.5 * len(y) for y in items):
+            gone.add(r.doc_id)
+    assert ids(clean) == Counter(r.doc_id for r in rows if r.doc_id not in gone)
+    mixed_ = p.saved(steps["mix"](spark, clean, d))
+    share = {r.doc_id: (r.taken, r.size) for r in Mix(clean).taken().collect()}
+    got = ids(mixed_)
+    assert all(abs(got[i] - t / max(n, 1)) <= 1 if n else got[i] == 1 for i, (t, n) in share.items()) and set(got) <= set(share)
+    out = steps["shard"](spark, mixed_, d)
+    assert mixed_.columns == docs_.columns and out.columns == [*docs_.columns, "shard", "slot"] and ids(out) == got
+    slots = Counter(r.shard for r in out.select("shard").collect())
+    assert max(slots.values()) - min(slots.values()) <= 1
+
+
+def test_pipeline_takes_any_table(spark):
     import corpus_pipeline as p
 
-    out = p.run(spark, "/root/testdata/sf0.001")
-    assert out.columns[-2:] == ["shard", "slot"] and out.count() > 0
+    d = "/root/testdata/sf0.001"
+    docs_ = spark.read.parquet(f"{d}/documents.parquet")
+    odd = docs_.limit(40).unionByName(docs_.limit(3)).unionByName(docs_.limit(2).withColumn("doc_id", F.lit(None).cast("long")).withColumn("source", F.lit(None).cast("string"))).unionByName(docs_.limit(2).withColumn("text", F.lit(None).cast("string")))
+    odd = odd.selectExpr("*", "doc_id AS _id", "text AS row", "doc_id AS h", "doc_id AS a", "doc_id AS kept", "doc_id AS fp")
+    for table in (odd, odd.limit(0)):
+        n = table.count()
+        for _, stage in p.STAGES:
+            columns = table.columns
+            table = p.saved(stage(spark, table, d))
+            assert table.columns[: len(columns)] == columns
+        assert (table.count() > 0) == (n > 0)
 
 
 def thue_morse(n):
