@@ -1,16 +1,18 @@
-"""A small decoder in numpy, and the keyed decoding loop, run by applyInPandas for each request.
+"""A small decoder in numpy with cached keys and values, and the decoding loop over tables of requests.
 
-Weights come from a seed: no trained model belongs to this package.  A scorer is any object with
-logits(ids) -> (base logits, head logits), so a real model can take its place.
+Weights come from a seed: no trained model belongs to this package.  A subclass of TinyDecoder with other weights, or an
+object with its methods, can take its place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def rms_norm(x: np.ndarray, weight: np.ndarray, eps: float = 1e-6) -> np.ndarray:
@@ -34,9 +36,51 @@ def rope(x: np.ndarray, positions: np.ndarray, base: float = 10000.0) -> np.ndar
     return x * cos + np.concatenate([-x[..., half:], x[..., :half]], -1) * sin
 
 
+class Cache:
+    """Keys and values of one sequence for each layer: a prefix of ``length`` places is valid.  A shared front, the cache
+    of a request's common prefix, is read before the own places and never written."""
+
+    def __init__(self, layers: int, kv_heads: int, size: int, front: Cache | None = None, room: int = 64):
+        self.rows = np.zeros((layers, 2, kv_heads, room, size))
+        self.length, self.front = 0, front
+
+    @property
+    def before(self) -> int:
+        return self.front.seen if self.front else 0
+
+    @property
+    def seen(self) -> int:
+        return self.before + self.length
+
+    def write(self, layer: int, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Puts rows behind the valid ones, without counting them yet; returns all that is visible."""
+        end = self.length + keys.shape[1]
+        if end > self.rows.shape[3]:
+            grown = np.zeros((*self.rows.shape[:3], 2 * end, self.rows.shape[4]))
+            grown[:, :, :, : self.length] = self.rows[:, :, :, : self.length]
+            self.rows = grown
+        self.rows[layer, 0, :, self.length : end], self.rows[layer, 1, :, self.length : end] = keys, values
+        own = self.rows[layer, :, :, :end]
+        return tuple(own) if not self.front else tuple(np.concatenate([self.front.valid(layer), own], 2))
+
+    def valid(self, layer: int) -> np.ndarray:
+        own = self.rows[layer, :, :, : self.length]
+        return own if not self.front else np.concatenate([self.front.valid(layer), own], 2)
+
+    def keep(self, select: np.ndarray) -> None:
+        """Of the rows written behind the valid ones, those at ``select`` stay, in that order, and count from now on."""
+        end = self.length + len(select)
+        self.rows[:, :, :, self.length : end] = self.rows[:, :, :, self.length + np.asarray(select)]
+        self.length = end
+
+    def reset(self) -> None:
+        self.length = 0
+
+
 @dataclass
 class TinyDecoder:
-    """A decoder with grouped heads and extra prediction heads (a residual block and a linear map each)."""
+    """A decoder with grouped heads and extra prediction heads (a residual block and a linear map each).  stages gives
+    the number of layers of each stage; only the first stage embeds, only the last one norms and scores."""
 
     vocab: int = 64
     size: int = 32
@@ -45,39 +89,73 @@ class TinyDecoder:
     kv_heads: int = 2
     extra: int = 5
     seed: int = 0
+    stages: tuple[int, ...] = ()
     w: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
         rng = np.random.default_rng(self.seed)
         d, kv, mat = self.size, self.size * self.kv_heads // self.heads, lambda *s: rng.normal(0, s[-1] ** -0.5, s)
+        self.stages = self.stages or (self.layers,)
+        if sum(self.stages) != self.layers:
+            raise ValueError(f"the stages have {sum(self.stages)} layers; the model has {self.layers}")
         self.w = {"embed": rng.normal(0, 1, (self.vocab, d)), "norm": np.ones(d), "lm": mat(self.vocab, d)}
         for i in range(self.layers):
             self.w |= {f"{i}.q": mat(d, d), f"{i}.k": mat(kv, d), f"{i}.v": mat(kv, d), f"{i}.o": mat(d, d), f"{i}.gate": mat(2 * d, d), f"{i}.up": mat(2 * d, d), f"{i}.down": mat(d, 2 * d), f"{i}.n1": np.ones(d), f"{i}.n2": np.ones(d)}
         for h in range(self.extra):
             self.w |= {f"h{h}.res": mat(d, d), f"h{h}.b": np.zeros(d), f"h{h}.out": mat(self.vocab, d)}
 
-    def hidden(self, ids: np.ndarray, positions: np.ndarray | None = None, mask: np.ndarray | None = None) -> np.ndarray:
-        """Last hidden states; mask (length, length) says which places see which, causal if None."""
-        n, w = len(ids), self.w
-        positions = np.arange(n) if positions is None else positions
-        mask = np.tril(np.ones((n, n), bool)) if mask is None else mask
-        x = w["embed"][ids]
+    def cache(self, front: Cache | None = None, room: int = 64) -> Cache:
+        return Cache(self.layers, self.kv_heads, self.size // self.heads, front, room)
+
+    def run_stage(self, rank: int, x: np.ndarray, cache: Cache, positions: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """One stage over token ids (the first) or hidden states; mask (new places, new places)."""
+        w, n, hidden = self.w, len(x), np.where(mask, 0.0, -np.inf)
+        x = w["embed"][x] if rank == 0 else x
         split = lambda y, h: y.reshape(n, h, -1).transpose(1, 0, 2)
-        for i in range(self.layers):
+        first = sum(self.stages[:rank])
+        for i in range(first, first + self.stages[rank]):
             y = rms_norm(x, w[f"{i}.n1"])
             q, k, v = rope(split(y @ w[f"{i}.q"].T, self.heads), positions), rope(split(y @ w[f"{i}.k"].T, self.kv_heads), positions), split(y @ w[f"{i}.v"].T, self.kv_heads)
-            k, v = (np.repeat(a, self.heads // self.kv_heads, 0) for a in (k, v))
-            s = np.where(mask, q @ k.transpose(0, 2, 1) / np.sqrt(q.shape[-1]), -np.inf)
-            x = x + (softmax(s) @ v).transpose(1, 0, 2).reshape(n, -1) @ w[f"{i}.o"].T
+            k, v = cache.write(i, k, v)
+            s = (q / np.sqrt(q.shape[-1])).reshape(self.kv_heads, -1, q.shape[-1]) @ k.transpose(0, 2, 1)  # a key-value head serves heads / kv_heads query heads
+            s = s.reshape(self.heads, n, -1)
+            s[:, :, -n:] += hidden  # what came before is seen by all
+            s -= s.max(-1, keepdims=True)
+            np.exp(s, out=s)
+            o = (s.reshape(self.kv_heads, -1, s.shape[-1]) @ v).reshape(self.heads, n, -1) / s.sum(-1, keepdims=True)
+            x = x + o.transpose(1, 0, 2).reshape(n, -1) @ w[f"{i}.o"].T
             y = rms_norm(x, w[f"{i}.n2"])
             x = x + (silu(y @ w[f"{i}.gate"].T) * (y @ w[f"{i}.up"].T)) @ w[f"{i}.down"].T
-        return rms_norm(x, w["norm"])
+        return rms_norm(x, w["norm"]) if rank == len(self.stages) - 1 else x
+
+    def hidden(self, ids: np.ndarray, positions: np.ndarray | None = None, mask: np.ndarray | None = None, cache: Cache | None = None) -> np.ndarray:
+        """Last hidden states of the new places ids; mask (new, new) says which of them see which, causal if None; all of
+        them see all that the cache holds.  Their rows are written behind it and count once Cache.keep() names them."""
+        n, cache = len(ids), self.cache() if cache is None else cache
+        positions = cache.seen + np.arange(n) if positions is None else positions
+        mask = np.tril(np.ones((n, n), bool)) if mask is None else mask
+        x = np.asarray(ids)
+        for rank in range(len(self.stages)):
+            x = self.run_stage(rank, x, cache, positions, mask)
+        return x
 
-    def logits(self, ids: np.ndarray, positions=None, mask=None) -> tuple[np.ndarray, np.ndarray]:
-        """(length, vocab) and (extra, length, vocab)."""
-        h = self.hidden(ids, positions, mask)
+    def scores(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length, vocab) and (extra, length, vocab) of hidden states."""
         heads = [(h + silu(h @ self.w[f"h{i}.res"].T + self.w[f"h{i}.b"])) @ self.w[f"h{i}.out"].T for i in range(self.extra)]
-        return h @ self.w["lm"].T, np.stack(heads) if heads else np.zeros((0, len(ids), self.vocab))
+        return h @ self.w["lm"].T, np.stack(heads) if heads else np.zeros((0, len(h), self.vocab))
+
+    def logits(self, ids: np.ndarray, positions=None, mask=None, cache: Cache | None = None) -> tuple[np.ndarray, np.ndarray]:
+        return self.scores(self.hidden(ids, positions, mask, cache))
+
+    def prefill(self, ids, cache: Cache, n_slices: int = 5) -> np.ndarray:
+        """Fills the cache from n_slices nearly equal runs of ids, in order, each through all stages; returns the last
+        hidden state.  Earlier slices take no heads."""
+        last = None
+        for part in np.array_split(np.asarray(ids, dtype=np.int64), n_slices):
+            if len(part):
+                last = self.hidden(part, cache=cache)[-1:]
+                cache.keep(np.arange(len(part)))
+        return last
 
 
 @dataclass
@@ -101,48 +179,123 @@ class Tree:
         return cls(np.array([0] + [p[-1] + top_k * (len(p) - 1) + 1 for p in paths]), np.array([len(p) for p in nodes]), mask, np.array(rows))
 
 
-def decode(scorer, ids: list[int], tree: Tree, max_steps: int, eos: int | None = None, top_k: int = 10) -> tuple[list[int], int]:
-    """Greedy speculative decoding of one sequence: (new ids, steps taken).  Stops at eos if given."""
-    out, steps = list(ids), 0
-    base, heads = scorer.logits(np.array(out))
-    last, head_last = base[-1], heads[:, -1]
+@dataclass(frozen=True)
+class Acceptance:
+    """How tokens are taken.  At temperature 0 by argmax; else typical (fast: by the threshold alone, longest path, then
+    likelihood; otherwise by draws) or nucleus.  Draws are decided by seed, request, branch and step."""
+
+    temperature: float = 0.0
+    sampling: str = "typical"
+    fast: bool = True
+    top_p: float = 0.8
+    threshold: float = 0.09
+    alpha: float = 0.3
+    seed: int = 0
+
+    def __post_init__(self):
+        if self.sampling not in ("typical", "nucleus"):
+            raise ValueError(f"sampling must be typical or nucleus, not {self.sampling}")
+
+    @property
+    def greedy(self) -> bool:
+        return self.temperature == 0
+
+    def probabilities(self, logits: np.ndarray) -> np.ndarray:
+        return softmax(logits / self.temperature)
+
+    def limits(self, p: np.ndarray) -> np.ndarray:
+        """The typical threshold of each row."""
+        return np.minimum(self.threshold, np.exp((p * np.log(p + 1e-5)).sum(-1)) * self.alpha)
+
+    def draw(self, logits: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """A token for each row of logits, from its nucleus or its typical tokens."""
+        p = self.probabilities(logits)
+        if self.sampling == "typical":
+            p = np.where(p < self.limits(p)[:, None], 0.0, p)
+        elif self.top_p < 1:
+            order = np.argsort(-p, axis=1, kind="stable")
+            ranked = np.take_along_axis(p, order, 1)
+            kept = np.where(ranked.cumsum(1) - ranked <= self.top_p, ranked, 0.0)
+            np.put_along_axis(p, order, kept, 1)
+        run = p.cumsum(1)
+        return np.minimum((run <= rng.random((len(p), 1)) * run[:, -1:]).sum(1), p.shape[1] - 1)
+
+    def first(self, logits: np.ndarray, rng: np.random.Generator) -> int:
+        return int(logits.argmax()) if self.greedy or self.fast else int(self.draw(logits[None], rng)[0])
+
+    def best(self, base: np.ndarray, tokens: np.ndarray, paths: np.ndarray, rng: np.random.Generator) -> tuple[int, int]:
+        """(path, accepted tokens behind its root) for the scores and the tokens of a tree's nodes.  Pads are never taken."""
+        at, to = paths[:, :-1], paths[:, 1:]
+        want, like = tokens[to], None
+        if self.greedy:
+            hit = base.argmax(1)[at] == want
+        elif self.sampling == "typical" and self.fast:
+            p = self.probabilities(base)
+            like = np.log(np.maximum(p[at, want], 1e-300))
+            hit = p[at, want] > self.limits(p)[at]
+        else:
+            hit = self.draw(base[at.ravel()], rng).reshape(at.shape) == want
+        n = (hit & (to >= 0)).cumprod(1).sum(1)
+        top = np.flatnonzero(n == n.max())
+        if like is not None and n.max() > 0:
+            sums = like[top, : n.max()].sum(1)
+            return int(top[sums.argmax()]), int(n.max())
+        return int(top[0]) if n.max() else 0, int(n.max())
+
+
+def decode(model: TinyDecoder, ids, tree: Tree, max_steps: int, eos: int | None = None, top_k: int = 10, how: Acceptance = Acceptance(), cache: Cache | None = None, key: tuple[int, ...] = ()) -> tuple[list[int], int]:
+    """Speculative decoding of one sequence: (new ids, steps taken).  Stops at eos if given.  A cache in use holds what
+    comes before ids.  Each step scores the tree's nodes alone: rows of accepted ones stay in the cache, others go."""
+    cache = model.cache(room=len(ids) + 2 * len(tree.index)) if cache is None else cache
+    base, heads = model.scores(model.prefill(ids, cache))
+    last, head_last, out, steps = base[-1], heads[:, -1], [], 0
     while steps < max_steps:
+        rng = np.random.default_rng([how.seed, *key, steps])
         steps += 1
-        flat = np.concatenate([[last.argmax()], *np.argsort(-head_last, axis=1, kind="stable")[:, :top_k]])
+        flat = np.concatenate([[how.first(last, rng)], *np.argsort(-head_last, axis=1, kind="stable")[:, :top_k]])
         tokens = flat[tree.index]
-        n = len(out)
-        mask = np.zeros((n + len(tokens), n + len(tokens)), bool)
-        mask[:n, :n] = np.tril(np.ones((n, n), bool))
-        mask[n:, :n] = True
-        mask[n:, n:] = tree.mask
-        base, heads = scorer.logits(np.array(out + tokens.tolist()), np.concatenate([np.arange(n), n + tree.depth]), mask)
-        best, length = 0, 0
-        for p, row in enumerate(tree.paths):
-            k = 0
-            while k + 1 < len(row) and row[k + 1] >= 0 and base[n + row[k]].argmax() == tokens[row[k + 1]]:
-                k += 1
-            if k > length:
-                best, length = p, k
-        node = tree.paths[best][length]
-        new = tokens[tree.paths[best][: length + 1]].tolist()
+        h = model.hidden(tokens, cache.seen + tree.depth, tree.mask, cache)
+        base = h @ model.w["lm"].T
+        best, length = how.best(base, tokens, tree.paths, rng)
+        select = tree.paths[best][: length + 1]
+        cache.keep(select)
+        new = tokens[select].tolist()
         out += new
-        last, head_last = base[n + node], heads[:, n + node]
+        last, head_last = base[select[-1]], model.scores(h[select[-1:]])[1][:, 0]
         if eos is not None and eos in new:
             break
-    return out[len(ids) :], steps
+    return out, steps
 
 
-def decode_requests(requests: DataFrame, choices: list[list[int]], max_steps: int = 100, eos: int | None = None, scorer=None) -> DataFrame:
+def decode_requests(requests: DataFrame, choices: list[list[int]], max_steps: int = 100, eos: int | None = None, make=TinyDecoder, how: Acceptance = Acceptance(), shared: str | None = None) -> DataFrame:
     """requests: (request_id, branch_id, ids array<int>).  Steps go round robin over a request's branches, max_steps in
-    all, so each branch gets its share; branches do not see each other, so each share runs at once.  Returns
-    (request_id, branch_id, n_steps, ids): the new ids of each branch."""
+    all, so each branch gets its share; branches do not see each other, so each share runs at once.
+    shared names a column of ids that all branches of a request begin with (equal in its rows); its keys and values are
+    computed once for the rows of a request that a batch holds.  An empty sequence counts as the single id 0.  Returns
+    (request_id, branch_id, n_steps, ids): the new ids of each branch.  make() builds the model, once a task."""
     tree = Tree.of(choices)
+    seat = F.row_number().over(Window.partitionBy("request_id").orderBy("branch_id")) - 1
+    count = F.count("*").over(Window.partitionBy("request_id"))
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named: rows are small and steps are not, so adaptive merging would leave too few
+    rows = requests.repartition(tasks, "request_id").select("request_id", "branch_id", "ids", *([F.col(shared).alias("shared")] if shared else []), seat.alias("seat"), count.alias("n"))
+    share = F.floor(F.lit(max_steps) / F.col("n")) + (F.col("seat") < F.lit(max_steps) % F.col("n")).cast("long")
+    rows = rows.select(*[c for c in rows.columns if c not in ("seat", "n")], share.alias("share"))
 
-    def f(rows: pd.DataFrame) -> pd.DataFrame:
-        model = scorer or TinyDecoder()
-        rows = rows.sort_values("branch_id")
-        shares = [max_steps // len(rows) + (i < max_steps % len(rows)) for i in range(len(rows))]
-        got = [decode(model, list(x), tree, s, eos) for x, s in zip(rows["ids"], shares, strict=True)]
-        return pd.DataFrame({"request_id": rows["request_id"], "branch_id": rows["branch_id"], "n_steps": [s for _, s in got], "ids": [i for i, _ in got]})
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, fronts = make(), {}
+        for rows in batches:
+            got = []
+            for r in rows.itertuples():
+                if not r.share:
+                    got.append(([], 0))
+                    continue
+                cache, ids = None, [] if r.ids is None else list(r.ids)
+                if shared and r.shared is not None and len(r.shared):
+                    if r.request_id not in fronts:
+                        fronts = {r.request_id: model.cache(room=len(r.shared))}  # of the last request only
+                        model.prefill(r.shared, fronts[r.request_id])
+                    cache = model.cache(fronts[r.request_id])
+                got.append(decode(model, ids or [0], tree, int(r.share), eos, how=how, cache=cache, key=(r.request_id, r.branch_id)))
+            yield pd.DataFrame({"request_id": rows["request_id"], "branch_id": rows["branch_id"], "n_steps": [s for _, s in got], "ids": [i for i, _ in got]})
 
-    return requests.groupBy("request_id").applyInPandas(f, "request_id long, branch_id long, n_steps long, ids array<long>")
+    return rows.mapInPandas(f, "request_id long, branch_id long, n_steps long, ids array<long>")

@@ -13,7 +13,7 @@ from arborflow.operators import slicing as L
 from arborflow.operators import speculate as S
 from arborflow.operators import state as K
 from arborflow.operators import tree as B
-from arborflow.operators.decoder import TinyDecoder, Tree, decode
+from arborflow.operators.decoder import Acceptance, TinyDecoder, Tree, decode, decode_requests
 from arborflow.plans.catalogue import QUERIES
 from arborflow.plans.oracle import ORACLE
 
@@ -82,14 +82,64 @@ def test_slices_stages_state(spark):
     assert [b for _, b in rows(K.round_robin(q, 7).select("step", "branch_id"), "step")] == [0, 1, 2, 0, 1, 2, 0]
 
 
-def test_decode_is_greedy():
-    """Speculation changes the number of steps and not the tokens."""
-    model, tree = TinyDecoder(), Tree.of(SMALL)
-    ids, steps = decode(model, [1, 2, 3], tree, 5)
+@pytest.mark.parametrize("model", [TinyDecoder(), TinyDecoder(layers=5, stages=(2, 2, 1))], ids=["one stage", "three stages"])
+@pytest.mark.parametrize("choices", [SMALL, B.TREES[B.DEFAULT]], ids=["small", "default"])
+def test_decode_is_greedy(model, choices):
+    """Speculation, cached rows, slices and stages change the number of steps and not the tokens."""
+    tree = Tree.of(choices)
+    ids, steps = decode(model, [1, 2, 3], tree, 7)
     plain = [1, 2, 3]
     while len(plain) < 3 + len(ids):
         plain.append(int(model.logits(np.array(plain))[0][-1].argmax()))
-    assert plain[3:] == ids and steps <= len(ids)
+    assert plain[3:] == ids and steps == 7 <= len(ids)
+    front = model.cache()
+    model.prefill([1, 2], front)
+    assert decode(model, [3], tree, 7, cache=model.cache(front))[0] == ids and front.length == 2
+    assert decode(model, [1, 2, 3], tree, 7, eos=ids[0])[1] == 1
+
+
+def test_stages_must_hold_all_layers():
+    with pytest.raises(ValueError):
+        TinyDecoder(layers=4, stages=(2, 1))
+
+
+@pytest.mark.parametrize("how", [Acceptance(0.0), Acceptance(0.7), Acceptance(0.7, "nucleus", False, top_p=1e-9)], ids=["greedy", "typical", "nucleus"])
+def test_acceptance_agrees_with_the_columns(spark, how):
+    """Acceptance of the loop and of evaluate_posterior on equal scores; a nucleus of one token draws the argmax."""
+    rng = np.random.default_rng(1)
+    tree, nodes = Tree.of(SMALL), B.tree_nodes(spark, SMALL)
+    for case in range(4):
+        base = rng.normal(0, 1.5, (len(tree.index), 64))
+        tokens = rng.integers(0, 64, len(tree.index))
+        for a, b in ((0, 1), (1, 3), (3, 6))[: case + 1]:  # a chain that is accepted
+            tokens[b] = base[a].argmax()
+        path, n = how.best(base, tokens, tree.paths, np.random.default_rng(0))
+        flat = spark.createDataFrame([(1, tokens.tolist())], "request_id long, tokens array<long>")
+        logits = spark.createDataFrame([(1, i, r.tolist()) for i, r in enumerate(base)], "request_id long, node_id long, logits array<double>")
+        got = S.evaluate_posterior(S.cartesian_candidates(flat, B.tree_paths(nodes)), logits, how.temperature, how.sampling, how.fast, how.top_p).first()
+        assert (path, n) == (got.best, got.accept_length)
+
+
+def test_draws_follow_the_kept_tokens():
+    rng = np.random.default_rng(0)
+    logits = np.log(np.tile([0.5, 0.3, 0.15, 0.05], (20000, 1)))
+    nucleus = np.bincount(Acceptance(1.0, "nucleus", top_p=0.7).draw(logits, rng), minlength=4) / 20000
+    assert abs(nucleus - [0.625, 0.375, 0, 0]).max() < 0.02
+    typical = np.bincount(Acceptance(1.0, "typical", threshold=0.2, alpha=1.0).draw(logits, rng), minlength=4) / 20000
+    assert abs(typical - [0.625, 0.375, 0, 0]).max() < 0.02
+
+
+def test_shared_prefix_and_sampled_requests(spark):
+    rows = [(1, 0, [4], [1, 2, 3]), (1, 1, [5, 6], [1, 2, 3]), (2, 0, [7], None), (3, 0, [], [9])] + [(4, b, [b % 60], []) for b in range(120)]
+    r = spark.createDataFrame(rows, "request_id long, branch_id long, ids array<long>, front array<long>")
+    got = {(x.request_id, x.branch_id): x for x in decode_requests(r, SMALL, 100, shared="front").collect()}
+    model, tree = TinyDecoder(), Tree.of(SMALL)
+    assert got[1, 1].ids == decode(model, [1, 2, 3, 5, 6], tree, 50)[0] and got[2, 0].ids == decode(model, [7], tree, 100)[0]
+    assert got[3, 0].ids == decode(model, [9, 0], tree, 100)[0] and len(got) == len(rows)
+    assert sum(x.n_steps for k, x in got.items() if k[0] == 4) == 100 and got[4, 119].ids == []
+    how = Acceptance(0.7, "nucleus", False)
+    one, two = (sorted(map(tuple, decode_requests(r.repartition(n), SMALL, 20, how=how, shared="front").collect())) for n in (1, 7))
+    assert one == two
 
 
 def test_stream(spark, tmp_path):
