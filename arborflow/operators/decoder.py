@@ -267,6 +267,27 @@ def decode(model: TinyDecoder, ids, tree: Tree, max_steps: int, eos: int | None
     return out, steps
 
 
+def prefill_requests(requests: DataFrame, n_slices: int = 5, top_k: int = 10, make=TinyDecoder) -> DataFrame:
+    """(request_id, branch_id, n, token, heads) for (request_id, branch_id, ids): ids go through the stages in n_slices
+    runs; the last place's argmax and each extra head's top_k follow.  No ids: n is 0 and the rest null.  No exchange."""
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for rows in batches:
+            got = []
+            for ids in rows["ids"]:
+                h = model.prefill([] if ids is None else ids, model.cache(), n_slices)
+                if h is None:
+                    got.append((0, None, None))
+                else:
+                    base, heads = model.scores(h)
+                    got.append((len(ids), int(base[0].argmax()), np.argsort(-heads[:, 0], axis=1, kind="stable")[:, :top_k].tolist()))
+            n, token, heads = zip(*got, strict=True) if got else ((), (), ())
+            yield pd.DataFrame({"request_id": rows["request_id"], "branch_id": rows["branch_id"], "n": n, "token": pd.array(token, "Int64"), "heads": pd.Series(heads, dtype=object, index=rows.index)})
+
+    return requests.select("request_id", "branch_id", "ids").mapInPandas(f, "request_id long, branch_id long, n long, token long, heads array<array<long>>")
+
+
 def decode_requests(requests: DataFrame, choices: list[list[int]], max_steps: int = 100, eos: int | None = None, make=TinyDecoder, how: Acceptance = Acceptance(), shared: str | None = None) -> DataFrame:
     """requests: (request_id, branch_id, ids array<int>).  Steps go round robin over a request's branches, max_steps in
     all, so each branch gets its share; branches do not see each other, so each share runs at once.

@@ -103,3 +103,41 @@ def problem_type(n_labels: int, integral: bool) -> str:
     if n_labels == 1:
         return "regression"
     return "single_label_classification" if integral else "multi_label_classification"
+
+
+def linear(v: Column, weights: list[list[float]]) -> Column:
+    """weights v, for a small matrix of constants."""
+    return F.array(*[dot(v, F.array(*[F.lit(float(x)) for x in w])) for w in weights])
+
+
+def gated(v: Column, gate: list[list[float]], up: list[list[float]], down: list[list[float]]) -> Column:
+    """down(silu(gate v) * up v)."""
+    return V.let(F.zip_with(F.transform(linear(v, gate), V.silu), linear(v, up), lambda a, b: a * b), lambda x: linear(x, down))
+
+
+def residual(v: Column, weights: list[list[float]], bias: float = 0.0) -> Column:
+    """v + silu(weights v + bias), for a square matrix."""
+    return F.zip_with(v, F.transform(linear(v, weights), lambda x: V.silu(x + F.lit(float(bias)))), lambda a, b: a + b)
+
+
+def cumulative_lengths(lengths: DataFrame, batch: str, row: str) -> DataFrame:
+    """(batch, row, first, length): where each row's tokens begin among the batch's, pads left out.  A batch is a unit
+    of computation, so its rows fit a task."""
+    w = Window.partitionBy(batch).orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
+    return lengths.select(batch, row, (F.sum("length").over(w) - F.col("length")).cast("long").alias("first"), F.col("length").cast("long").alias("length"))
+
+
+def embedded(tokens: DataFrame, table: DataFrame) -> DataFrame:
+    """tokens (..., token_id) with the vector of table (token_id, vector); ids that it lacks go."""
+    return tokens.join(table, "token_id")
+
+
+def next_inputs(ids: Column, mask: Column, cached: bool) -> Column:
+    """What a generation step reads: all ids, or the last one if what precedes it is cached, each with its position id
+    (the running count of unmasked places less one, 1 where masked)."""
+    run = F.transform(mask, lambda m, i: F.when(m == 0, 1).otherwise(F.aggregate(F.slice(mask, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) - 1).cast("long"))
+    rows = lambda x, p: F.struct(x.alias("token_id"), p.cast("long").alias("position_id"))
+    if cached:
+        count = F.aggregate(mask, F.lit(0), lambda a, x: a + x) - 1
+        return F.filter(F.array(rows(F.element_at(ids, -1), F.when(F.element_at(mask, -1) == 0, 1).otherwise(count))), lambda s: s["token_id"].isNotNull())
+    return F.zip_with(ids, run, rows)

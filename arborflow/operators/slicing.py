@@ -61,3 +61,11 @@ def last_wins(*manifests: DataFrame) -> DataFrame:
 
 def with_prefix(manifest: DataFrame, prefix: str) -> DataFrame:
     return manifest.withColumn("tensor_name", F.concat(F.lit(prefix), "tensor_name"))
+
+
+def pruned(stages: DataFrame, n_stages: int) -> DataFrame:
+    """A stage's tensors that its role needs: the embedding on the first stage, norm and all heads on the last, layers
+    on their own."""
+    name, rank = F.col("tensor_name"), F.col("rank")
+    first, last = name.contains("embed_tokens"), name.rlike(r"^(model\.norm|lm_head|medusa_head)\.")
+    return stages.where((~first | (rank == 0)) & (~last | (rank == n_stages - 1)))

@@ -135,3 +135,15 @@ def accept_message(accepted: DataFrame, previous: Column) -> DataFrame:
     n = F.col("accept_length") + 1
     first = lambda c: F.expr(f"slice({c}, 1, cast(accept_length + 1 AS int))")
     return accepted.select("request_id", "best", n.alias("n"), F.transform(first("nodes"), lambda x: x + previous).alias("select"), first("candidate").alias("ids"))
+
+
+def updated(requests: DataFrame, accepted: DataFrame, node_logits: DataFrame) -> DataFrame:
+    """requests: (request_id, ids, new_token) after a step: ids with the accepted tokens behind them, the counter of new
+    tokens, and as logits those of the last accepted node, from which the next step goes on; a pad reads the last
+    node's."""
+    last = node_logits.groupBy("request_id").agg(F.max("node_id").alias("last"))
+    node = F.get("nodes", F.col("accept_length").cast("int"))
+    rows = accepted.join(last, "request_id").withColumn("node_id", F.when(node < 0, F.col("last")).otherwise(node))
+    rows = requests.join(rows, "request_id").join(node_logits, ["request_id", "node_id"])
+    taken = F.expr("slice(candidate, 1, cast(accept_length + 1 AS int))")
+    return rows.select("request_id", F.concat("ids", taken).alias("ids"), (F.col("new_token") + F.col("accept_length") + 1).alias("new_token"), "logits")

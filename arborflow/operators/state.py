@@ -57,3 +57,19 @@ def round_robin(branches: DataFrame, steps: int, key: str = "request_id") -> Dat
 def stop_at(ids: Column, start: Column, eos: int) -> Column:
     """Whether eos is among the ids from start (0-based) on."""
     return F.array_contains(F.slice(ids, start + 1, F.size(ids)), F.lit(eos))
+
+
+def allocate(keys: DataFrame, n_layers: int, room: int) -> DataFrame:
+    """Empty state: (key..., layer, kind, length, room) for keys and values of each layer."""
+    layers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_layers - 1).cast("long")))
+    rows = keys.select("*", layers.alias("layer")).select("*", F.explode(F.array(F.lit("key"), F.lit("value"))).alias("kind"))
+    return rows.select("*", F.lit(0).cast("long").alias("length"), F.lit(room).cast("long").alias("room"))
+
+
+def lengths(state: DataFrame, key: list[str]) -> DataFrame:
+    return state.groupBy(*key).agg((F.max("pos") + 1).alias("length"))
+
+
+def continuation(ids: Column, start: Column) -> Column:
+    """ids from start (0-based) on."""
+    return F.slice(ids, start + 1, F.greatest(F.size(ids), F.lit(0)))

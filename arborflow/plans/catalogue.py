@@ -13,14 +13,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tokens import Tokenizer
 from ..functions import vectors as V
 from ..operators import model as M
 from ..operators import slicing as L
 from ..operators import speculate as S
 from ..operators import state as K
 from ..operators import tree as B
-from ..operators.decoder import decode_requests
-from ..sources.checkpoints import prompts, read_stage, write_stages
+from ..operators.decoder import Acceptance, decode_requests, prefill_requests
+from ..sources.checkpoints import outputs, prompts, read_checkpoint, read_config, read_index, read_stage, tensor_bytes, write_stages
+from ..streaming.queue import queue_places as queue
 
 TREE = B.TREES[B.DEFAULT]
 TREE_SQL = "SELECT unnest(CAST(" + str([[]] + TREE) + " AS BIGINT[][])) AS path"
@@ -66,6 +68,18 @@ def _manifest(spark):
     return names.union(spark.createDataFrame([("model.embed_tokens.weight",), ("model.norm.weight",), ("lm_head.weight",)], "tensor_name string"))
 
 
+def _folder(spark, name):
+    """A new folder's name below the shared one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(top or 'file://' + tempfile.mkdtemp(prefix='arborflow-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _tokenizer(spark):
+    return Tokenizer(spark, spark.conf.get("spark.arborflow.tokenizer", "/opt/tokenizers/byte_bpe_50k.json"), start=50256)
+
+
 def skeleton_prompt(spark, d):
     c = _read(spark, d, "conversations").where("role = 'user'")
     return c.select("conv_id", "turn", T.skeleton_prompt(F.col("text")).alias("prompt"))
@@ -246,9 +260,9 @@ def eos_stop(spark, d):
 
 def causal_attention(spark, d):
     v = _vectors(spark, d)
-    q = v.select(F.floor(F.col("vec_id") / 8).alias("request_id"), (F.col("vec_id") % 8).alias("pos"), F.slice("logits", 1, 8).alias("q"))
-    k = v.select(F.floor(F.col("vec_id") / 8).alias("request_id"), (F.col("vec_id") % 8).alias("pos"), F.slice("logits", 9, 8).alias("k"), F.slice("logits", 17, 4).alias("v"))
-    out = M.causal_attention(q, k, 8, ["request_id"]).select("request_id", "pos", F.posexplode("out").alias("i", "x"))
+    q = v.select(F.floor(F.col("vec_id") / 8).alias("request_id"), (F.col("vec_id") % 8).alias("pos"), F.slice("logits", 1, 24).alias("q"))
+    k = v.select(F.floor(F.col("vec_id") / 8).alias("request_id"), (F.col("vec_id") % 8).alias("pos"), F.slice("logits", 25, 24).alias("k"), F.slice("logits", 49, 16).alias("v"))
+    out = M.causal_attention(q, k, 24, ["request_id"]).select("request_id", "pos", F.posexplode("out").alias("i", "x"))
     return out.select("request_id", "pos", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
@@ -329,10 +343,7 @@ def loss_by_problem_type(spark, d):
 
 def stage_checkpoint(spark, d):
     """Stage tables written, and the third stage read back."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{(top or 'file://' + tempfile.mkdtemp(prefix='arborflow-')).rstrip('/')}/stages-{uuid.uuid4().hex}"
+    path = _folder(spark, "stages")
     write_stages(_manifest(spark).withColumn("file", F.lit("f")), spark.createDataFrame(STAGES, "rank long, n_layers long"), path)
     return read_stage(spark, path, 2).select("tensor_name", "stage_name")
 
@@ -346,11 +357,165 @@ def position_ids_from_mask(spark, d):
     return M.position_ids(w, "request_id")
 
 
-def decode_loop(spark, d):
+def _weights(rows, columns, turn=0):
+    return [[((i * 7 + j * 3 + turn) % 11 - 5) / 8 for j in range(columns)] for i in range(rows)]
+
+
+def gated_layer(spark, d):
+    return _elements(_vectors(spark, d), M.gated(F.col("logits"), _weights(8, 64), _weights(8, 64, 4), _weights(4, 8)))
+
+
+def residual_head(spark, d):
+    """A head: a residual block of 64 elements and a linear map to 4."""
+    return _elements(_vectors(spark, d), V.let(M.residual(F.col("logits"), _weights(64, 64), 0.5), lambda x: M.linear(x, _weights(4, 64, 2))))
+
+
+def cumulative_lengths(spark, d):
+    lengths = _ids(spark, d).select(F.floor(F.col("request_id") / 100).alias("batch"), "request_id", F.size(F.filter("ids", lambda x: x > 3)).alias("length"))
+    return M.cumulative_lengths(lengths, "batch", "request_id")
+
+
+def token_embedding(spark, d):
+    """The embedding rows of each document's tokens, added up."""
+    rows = M.embedded(_words(spark, d), _vectors(spark, d).withColumnRenamed("vec_id", "token_id"))
+    return rows.groupBy("request_id").agg(F.count("*").alias("n"), F.round(F.sum(V.total(F.col("logits"))), 4).alias("x"))
+
+
+def generation_inputs(spark, d):
+    r = _ids(spark, d).withColumn("mask", F.transform("ids", lambda x: F.when(x > 3, 1).otherwise(0)))
+    return r.select("request_id", F.inline(M.next_inputs(F.col("ids"), F.col("mask"), True)))
+
+
+def last_position(spark, d):
+    return _words(spark, d).groupBy("request_id").agg(F.max_by("token_id", "pos").alias("token_id"))
+
+
+def continuation(spark, d):
+    return _ids(spark, d).select("request_id", V.joined(K.continuation(F.col("ids"), F.lit(5))).alias("ids"))
+
+
+def pad_path(spark, d):
+    return B.tree_nodes(spark, TREE).select("node_id", V.joined(V.pad_path(F.col("path"), 6)).alias("path"))
+
+
+def update_inputs(spark, d):
+    nodes, c = _candidates(spark, d)
+    requests = c.select("request_id").distinct()
+    logits = _node_logits(spark, d, requests, nodes)
+    old = requests.select("request_id", F.array("request_id", F.col("request_id") + 1).alias("ids"), F.lit(7).cast("long").alias("new_token"))
+    out = S.updated(old, S.evaluate_posterior(c, logits, temperature=0.0), logits)
+    return out.select("request_id", V.joined(F.col("ids")).alias("ids"), "new_token", V.argmax(F.col("logits")).alias("next"))
+
+
+def kv_allocate(spark, d):
+    return K.allocate(_read(spark, d, "orders").select(F.col("o_orderkey").alias("request_id")), 2, 2048)
+
+
+def kv_valid(spark, d):
+    """The rows before each key's length, which leaves its last row out."""
+    w = _kv(spark, d).select("request_id", (F.col("line") - 1).alias("pos"), "value")
+    return K.valid(w, K.lengths(w, ["request_id"]).withColumn("length", F.col("length") - 1), ["request_id"])
+
+
+def kv_reset(spark, d):
+    w = _kv(spark, d).select("request_id", (F.col("line") - 1).alias("pos"), "value")
+    return K.reset(w, w.where("pos = 3").select("request_id"), ["request_id"])
+
+
+def role_pruning(spark, d):
+    stages = spark.createDataFrame(STAGES, "rank long, n_layers long")
+    return L.pruned(L.staged(_manifest(spark), stages), len(STAGES)).select("rank", "tensor_name")
+
+
+def queue_places(spark, d):
+    """All events as one stream, run until it has taken what is there; its sink read back."""
+    events, path = _read(spark, d, "events"), _folder(spark, "queue")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")  # a pattern, as a path of its own would have to be a folder
+    run = queue(stream).writeStream.format("parquet").trigger(availableNow=True).option("checkpointLocation", f"{path}/state").start(f"{path}/places")
+    run.awaitTermination()
+    return spark.read.parquet(f"{path}/places")
+
+
+def config_source(spark, d):
+    """A configuration written as JSON, and read."""
+    path = _folder(spark, "config")
+    text = '{\n "hidden_size": 4096,\n "stages": [8, 8, 8, 8],\n "temperature": 0.7,\n "sampling": "typical"\n}'
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return read_config(spark, path).select("hidden_size", F.array_join(F.col("stages").cast("array<string>"), ",").alias("stages"), "temperature", "sampling")
+
+
+def index_source(spark, d):
+    """A checkpoint's index written as JSON, and read as a manifest."""
+    path = _folder(spark, "index")
+    entry = F.map_from_entries(F.array_sort(F.collect_list(F.struct("tensor_name", F.concat(F.lit("part-"), F.length("tensor_name").cast("string"))))))
+    _manifest(spark).agg(F.to_json(F.struct(entry.alias("weight_map"))).alias("value")).write.text(path)
+    return read_index(spark, path)
+
+
+def checkpoint_union(spark, d):
+    """Tensors of two base folders' files and of a head under its prefix."""
+    path = _folder(spark, "checkpoint")
+    v = _read(spark, d, "embeddings").select(F.concat(F.lit("t."), F.col("vec_id").cast("string")).alias("tensor_name"), F.size("embedding").alias("n"), "label")
+    v.where("label < 5").select("tensor_name", "n").write.parquet(f"{path}/base")
+    v.where("label >= 5").select("tensor_name", "n").write.mode("append").parquet(f"{path}/base")
+    v.where("label = 3").select("tensor_name", (F.col("n") + 1).alias("n")).write.parquet(f"{path}/head")
+    return read_checkpoint(spark, f"{path}/base", f"{path}/head").select("tensor_name", F.col("n").cast("long").alias("n"))
+
+
+def mask_dump(spark, d):
+    """The tree's mask written, and read back."""
+    path = _folder(spark, "mask")
+    tree_mask_semijoin(spark, d).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def memory_figures(spark, d):
+    e = _read(spark, d, "embeddings").select(F.size("embedding").cast("long").alias("n_elements"), F.lit(4).cast("long").alias("element_size"))
+    return tensor_bytes(e)
+
+
+def answer_output(spark, d):
+    """Each conversation's turns, one line a turn."""
+    c = _read(spark, d, "conversations")
+    return outputs(c.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("branch_id"), F.concat("role", F.lit(": ")).alias("point"), F.coalesce("text", F.lit("")).alias("continuation")))
+
+
+def stage_files(spark, d):
+    s = spark.createDataFrame(STAGES, "rank long, n_layers long")
+    return s.select("rank", T.stage_file(T.model_type(F.lit("models/vicuna_7b-v1")), F.lit(len(STAGES)), F.col("rank")).alias("path"))
+
+
+def encode_decode(spark, d):
+    """Every text as token ids and back."""
+    t = _tokenizer(spark)
+    return _read(spark, d, "documents").select("doc_id", t.decode(t.encode(F.col("text")), skip=(t.start,)).alias("decoded"))
+
+
+def encode_parts(spark, d):
+    """Prompts of points as ids of the shared part and ids of the point, and back to text."""
+    c, t = _read(spark, d, "conversations"), _tokenizer(spark)
+    points = c.where("turn = 1").select("conv_id", F.posexplode(F.split("text", "\n")).alias("idx", "line")).select("conv_id", F.col("idx").cast("long").alias("idx"), T.point_prompt(F.col("idx"), F.col("line")).alias("point"))
+    rows = shared_prefix(spark, d).join(points, "conv_id").select("conv_id", "idx", t.encode_parts(F.col("prompt"), F.col("point")).alias("ids"))
+    return rows.select("conv_id", "idx", F.size(F.filter("ids", lambda x: x == t.start)).cast("long").alias("n_start"), t.decode(F.col("ids"), skip=(t.start,)).alias("prompt"))
+
+
+def _turns(spark, d):
     words = F.split(F.coalesce("text", F.lit("")), " ")
-    r = _read(spark, d, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("branch_id"), F.transform(words, lambda w: F.length(w) % 64).alias("ids"))
-    return decode_requests(r, TREE)
+    return _read(spark, d, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("branch_id"), F.transform(words, lambda w: F.length(w) % 64).alias("ids"))
+
+
+def prefill(spark, d):
+    return prefill_requests(_turns(spark, d))
+
+
+def decode_typical(spark, d):
+    """The decoding loop as it is shipped: temperature 0.7, typical acceptance by the threshold."""
+    return decode_requests(_turns(spark, d), TREE, how=Acceptance(0.7))
+
+
+def decode_loop(spark, d):
+    return decode_requests(_turns(spark, d), TREE)
 
 
-FUNCTIONS = (skeleton_prompt, outline_points, point_prompts, shared_prefix, skeleton_normalised, tree_dispatch, slice_sequences, stage_range_join, layer_split, manifest_last_wins, tree_nodes, tree_ancestors, tree_paths, depth_histogram, tree_mask_semijoin, topk_per_head, argmax_token, softmax, entropy_threshold, typical_mask, nucleus_mask, sample_token, candidates_cart, accept_greedy, accept_typical, accept_nucleus, accept_message, kv_append, kv_compact, shared_prefix_union, round_robin, beam_reorder, eos_stop, causal_attention, gqa_repeat, rmsnorm, rope, silu, cross_entropy, shifted_loss, mse, bce_logits, last_nonpad_pool, position_ids_from_mask, unpad, padded_causal_visible, sliced_linear, rope_linear, rope_ntk, loss_by_problem_type, stage_checkpoint, prompt_source, decode_loop)
+FUNCTIONS = (skeleton_prompt, outline_points, point_prompts, shared_prefix, skeleton_normalised, tree_dispatch, slice_sequences, stage_range_join, layer_split, manifest_last_wins, tree_nodes, tree_ancestors, tree_paths, depth_histogram, tree_mask_semijoin, topk_per_head, argmax_token, softmax, entropy_threshold, typical_mask, nucleus_mask, sample_token, candidates_cart, accept_greedy, accept_typical, accept_nucleus, accept_message, kv_append, kv_compact, shared_prefix_union, round_robin, beam_reorder, eos_stop, causal_attention, gqa_repeat, rmsnorm, rope, silu, cross_entropy, shifted_loss, mse, bce_logits, last_nonpad_pool, position_ids_from_mask, unpad, padded_causal_visible, sliced_linear, rope_linear, rope_ntk, loss_by_problem_type, stage_checkpoint, prompt_source, gated_layer, residual_head, cumulative_lengths, token_embedding, generation_inputs, last_position, continuation, pad_path, update_inputs, kv_allocate, kv_valid, kv_reset, role_pruning, queue_places, config_source, index_source, checkpoint_union, mask_dump, memory_figures, answer_output, stage_files, encode_decode, encode_parts, prefill, decode_typical, decode_loop)
 QUERIES = {f.__name__: f for f in FUNCTIONS}

@@ -10,6 +10,15 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _linear(v: str, n: int, turn: int = 0) -> str:
+    """Row i of the catalogue's weights times v."""
+    return f"list_sum(list_transform(range({n}), lambda j: {v}[j + 1] * ((i * 7 + j * 3 + {turn}) % 11 - 5) / 8.0))"
+
+
+def _uniform(key: str) -> str:
+    return f"CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) / 4294967296.0"
+
+
 V = "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS l, label FROM embeddings"
 TREE = f"""p AS ({TREE_SQL}),
 n AS (SELECT row_number() OVER (ORDER BY len(path), path) - 1 AS node_id, len(path) AS depth, path, CASE WHEN len(path) = 0 THEN 0 ELSE path[-1] + 10 * (len(path) - 1) + 1 END AS tree_index FROM p),
@@ -84,7 +93,7 @@ ORACLE = {
     "round_robin": f"WITH {KV}, s AS (SELECT request_id, line, row_number() OVER (PARTITION BY request_id ORDER BY line) - 1 AS seat, count(*) OVER (PARTITION BY request_id) AS n FROM k) SELECT request_id, step, line AS branch_id FROM s, range(10) r(step) WHERE step % n = seat",
     "beam_reorder": f"WITH {KV} SELECT b.beam, request_id, value FROM k JOIN (VALUES (CAST(0 AS BIGINT), 1), (1, 1), (2, 0)) b(beam, source) ON line - 1 = source",
     "eos_stop": f"WITH {WORDS} SELECT request_id, coalesce(bool_or(pos >= 5 AND token_id = 11), false) AS stops, greatest(count(*) - 2, 0) AS n_trimmed FROM x GROUP BY request_id",
-    "causal_attention": f"WITH v AS ({V}), s AS (SELECT a.vec_id, b.l AS bl, list_sum(list_transform(range(8), lambda i: a.l[i + 1] * b.l[i + 9])) / sqrt(8.0) AS s FROM v a JOIN v b ON a.vec_id // 8 = b.vec_id // 8 AND b.vec_id <= a.vec_id), e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM s), o AS (SELECT vec_id, i, sum(e * bl[i + 17]) / sum(e) AS x FROM e, range(4) r(i) GROUP BY ALL) SELECT vec_id // 8 AS request_id, vec_id % 8 AS pos, i, round(x, 6) AS x FROM o",
+    "causal_attention": f"WITH v AS ({V}), s AS (SELECT a.vec_id, b.l AS bl, list_sum(list_transform(range(24), lambda i: a.l[i + 1] * b.l[i + 25])) / sqrt(24.0) AS s FROM v a JOIN v b ON a.vec_id // 8 = b.vec_id // 8 AND b.vec_id <= a.vec_id), e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM s), o AS (SELECT vec_id, i, sum(e * bl[i + 49]) / sum(e) AS x FROM e, range(16) r(i) GROUP BY ALL) SELECT vec_id // 8 AS request_id, vec_id % 8 AS pos, i, round(x, 6) AS x FROM o",
     "gqa_repeat": "SELECT (vec_id % 8) * 4 + r AS head, vec_id % 8 AS kv_head, vec_id // 8 AS pos, vec_id AS v FROM embeddings, range(4) x(r)",
     "rmsnorm": f"SELECT vec_id, unnest(range(64)) AS i, round(unnest(list_transform(l, lambda x: x / sqrt(list_sum(list_transform(l, lambda y: y * y)) / 64 + 1e-6))), 6) AS x FROM ({V})",
     "rope": f"SELECT vec_id, unnest(range(64)) AS i, round(unnest(list_transform(range(64), lambda i: l[i + 1] * cos((vec_id % 17) * pow(10000.0, -2.0 * (i % 32) / 64)) + (CASE WHEN i < 32 THEN -l[i + 33] ELSE l[i - 31] END) * sin((vec_id % 17) * pow(10000.0, -2.0 * (i % 32) / 64)))), 6) AS x FROM ({V})",
@@ -105,4 +114,44 @@ UNION ALL SELECT vec_id, 'single_label_classification', round(list_max(l) + ln(l
 UNION ALL SELECT vec_id, 'multi_label_classification', round(list_sum(list_transform(range(64), lambda i: greatest(l[i + 1], 0.0) - l[i + 1] * ((label + i) % 2) + ln(1 + exp(-abs(l[i + 1]))))) / 64, 6) FROM v""",
     "stage_checkpoint": f"WITH {NAMES} SELECT tensor_name, CASE WHEN layer IS NULL THEN tensor_name ELSE replace(tensor_name, 'layers.' || layer || '.', 'layers.' || (layer - 17) || '.') END AS stage_name FROM nm WHERE layer IS NULL OR (layer >= 17 AND layer < 26)",
     "prompt_source": "SELECT conv_id AS request_id, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id",
+    "gated_layer": f"WITH a AS (SELECT vec_id, list_transform(range(8), lambda i: {_linear('l', 64)}) AS g, list_transform(range(8), lambda i: {_linear('l', 64, 4)}) AS u FROM ({V})), h AS (SELECT vec_id, list_transform(range(8), lambda i: g[i + 1] / (1 + exp(-g[i + 1])) * u[i + 1]) AS h FROM a) SELECT vec_id, unnest(range(4)) AS i, round(unnest(list_transform(range(4), lambda i: {_linear('h', 8)})), 6) AS x FROM h",
+    "residual_head": f"WITH a AS (SELECT vec_id, l, list_transform(range(64), lambda i: {_linear('l', 64)} + 0.5) AS g FROM ({V})), h AS (SELECT vec_id, list_transform(range(64), lambda i: l[i + 1] + g[i + 1] / (1 + exp(-g[i + 1]))) AS h FROM a) SELECT vec_id, unnest(range(4)) AS i, round(unnest(list_transform(range(4), lambda i: {_linear('h', 64, 2)})), 6) AS x FROM h",
+    "cumulative_lengths": f"WITH {WORDS}, y AS (SELECT request_id, count(*) FILTER (token_id > 3) AS length FROM x GROUP BY request_id) SELECT request_id // 100 AS batch, request_id, CAST(sum(length) OVER (PARTITION BY request_id // 100 ORDER BY request_id) - length AS BIGINT) AS first, length FROM y",
+    "token_embedding": f"WITH {WORDS}, v AS (SELECT vec_id, list_sum(l) AS s FROM ({V})) SELECT request_id, count(*) AS n, round(sum(s), 4) AS x FROM x JOIN v ON token_id = vec_id GROUP BY request_id",
+    "generation_inputs": f"WITH {WORDS}, y AS (SELECT request_id, arg_max(token_id, pos) AS token_id, count(*) FILTER (token_id > 3) AS n FROM x GROUP BY request_id) SELECT request_id, token_id, CASE WHEN token_id > 3 THEN n - 1 ELSE 1 END AS position_id FROM y",
+    "last_position": f"WITH {WORDS} SELECT request_id, arg_max(token_id, pos) AS token_id FROM x GROUP BY request_id",
+    "continuation": f"WITH {WORDS} SELECT request_id, coalesce(string_agg(CAST(token_id AS VARCHAR), ',' ORDER BY pos) FILTER (pos >= 5), '') AS ids FROM x GROUP BY request_id",
+    "pad_path": f"WITH {TREE} SELECT node_id, array_to_string(path || list_transform(range(6 - len(path)), lambda x: CAST(-2 AS BIGINT)), ',') AS path FROM n",
+    "update_inputs": f"{GREEDY}, y AS (SELECT b.request_id, acc, cand, CASE WHEN nodes[acc + 1] < 0 THEN z ELSE nodes[acc + 1] END AS node_id FROM b JOIN t USING (path_id), lastn WHERE o = 1) SELECT request_id, array_to_string([request_id, request_id + 1] || cand[1:acc + 1], ',') AS ids, acc + 8 AS new_token, CAST(list_position(v.l, list_max(v.l)) - 1 AS BIGINT) AS next FROM y, size, v WHERE v.vec_id = (y.request_id + 31 * y.node_id) % size.n",
+    "kv_allocate": "SELECT o_orderkey AS request_id, layer, kind, CAST(0 AS BIGINT) AS length, CAST(2048 AS BIGINT) AS room FROM orders, range(2) l(layer), (VALUES ('key'), ('value')) k(kind)",
+    "kv_valid": f"WITH {KV}, m AS (SELECT *, max(line) OVER (PARTITION BY request_id) AS top FROM k) SELECT request_id, line - 1 AS pos, value FROM m WHERE line < top",
+    "kv_reset": f"WITH {KV}, m AS (SELECT *, max(line) OVER (PARTITION BY request_id) AS top FROM k) SELECT request_id, line - 1 AS pos, value FROM m WHERE top < 4",
+    "role_pruning": f"WITH {NAMES}, st AS (SELECT rank, CAST(sum(k) OVER (ORDER BY rank) AS BIGINT) - k AS l, CAST(sum(k) OVER (ORDER BY rank) AS BIGINT) AS r FROM (VALUES {', '.join(f'(CAST({a} AS BIGINT), {b})' for a, b in STAGES)}) s(rank, k)) SELECT rank, tensor_name FROM nm, st WHERE (layer >= l AND layer < r) OR (tensor_name = 'model.embed_tokens.weight' AND rank = 0) OR (tensor_name IN ('model.norm.weight', 'lm_head.weight') AND rank = {len(STAGES) - 1})",
+    "queue_places": "SELECT user_id AS branch_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place FROM events",
+    "config_source": "SELECT CAST(4096 AS BIGINT) AS hidden_size, '8,8,8,8' AS stages, CAST(0.7 AS DOUBLE) AS temperature, 'typical' AS sampling",
+    "index_source": f"WITH {NAMES} SELECT tensor_name, 'part-' || length(tensor_name) AS file FROM nm",
+    "checkpoint_union": "SELECT 't.' || vec_id AS tensor_name, CAST(len(embedding) AS BIGINT) AS n FROM embeddings UNION ALL SELECT 'medusa_head.t.' || vec_id, len(embedding) + 1 FROM embeddings WHERE label = 3",
+    "mask_dump": f"WITH {TREE} SELECT node_id, anc_id FROM a",
+    "memory_figures": "SELECT CAST(sum(len(embedding) * 4) AS BIGINT) AS n_bytes FROM embeddings",
+    "answer_output": "SELECT conv_id AS request_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role || ': ' || coalesce(text, '')) AS text FROM conversations GROUP BY conv_id",
+    "stage_files": f"SELECT rank, 'temp_vicuna_7b_world_{len(STAGES)}_rank_' || rank || '/stage.bin' AS path FROM range({len(STAGES)}) r(rank)",
+    "encode_decode": "SELECT doc_id, text AS decoded FROM documents",
+    "encode_parts": f"SELECT a.conv_id, idx, CAST(1 AS BIGINT) AS n_start, {_q(T.PREFIX_PARTS[0])} || a.text || {_q(T.PREFIX_PARTS[1])} || b.text || {_q(T.PREFIX_PARTS[2])} || (idx + 1) || {_q(T.POINT_MARK)} || line AS prompt FROM conversations a JOIN (SELECT conv_id, text, unnest(range(len(s))) AS idx, unnest(s) AS line FROM (SELECT conv_id, text, string_split(text, chr(10)) AS s FROM conversations WHERE turn = 1)) b USING (conv_id) WHERE a.turn = 0",
+    "sample_token": f"""WITH {_soft(1)}, h AS (SELECT vec_id, p, {ENTROPY} AS h, {_uniform("vec_id || ',1'")} AS u FROM s),
+x AS (SELECT vec_id, u, least(0.09, exp(-h) * 0.3) AS th, unnest(range(64)) AS i, unnest(p) AS p FROM h),
+y AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x),
+w AS (SELECT vec_id, u, i, CASE WHEN before <= 0.8 THEN p ELSE 0 END AS a, CASE WHEN p < th THEN 0 ELSE p END AS b FROM y),
+c AS (SELECT vec_id, u, sum(a) OVER g AS ca, sum(b) OVER g AS cb, sum(a) OVER (PARTITION BY vec_id) AS ta, sum(b) OVER (PARTITION BY vec_id) AS tb FROM w WINDOW g AS (PARTITION BY vec_id ORDER BY i ROWS UNBOUNDED PRECEDING))
+SELECT vec_id, least(count(*) FILTER (ca <= u * ta), 63) AS nucleus, least(count(*) FILTER (cb <= u * tb), 63) AS typical FROM c GROUP BY vec_id""",
+    "accept_nucleus": CAND + STEP + f""",
+q AS (SELECT request_id, path_id, i, tok, {SOFT.format(s=1)} AS e, {_uniform("request_id || ',' || path_id || ',' || i || ',0'")} AS u FROM j),
+s AS (SELECT request_id, path_id, i, tok, u, list_transform(e, lambda x: x / list_sum(e)) AS p FROM q),
+x AS (SELECT request_id, path_id, i, tok, u, unnest(range(64)) AS k, unnest(p) AS p FROM s),
+y AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY request_id, path_id, i ORDER BY p DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x),
+kept AS (SELECT request_id, path_id, i, tok, u, k, CASE WHEN before <= 0.8 THEN p ELSE 0 END AS p FROM y),
+runs AS (SELECT request_id, path_id, i, tok, u, sum(p) OVER (PARTITION BY request_id, path_id, i ORDER BY k ROWS UNBOUNDED PRECEDING) AS run, sum(p) OVER (PARTITION BY request_id, path_id, i) AS total FROM kept),
+m AS (SELECT request_id, path_id, i, least(count(*) FILTER (run <= u * total), 63) = any_value(tok) AS ok FROM runs GROUP BY ALL),
+r AS (SELECT request_id, path_id, coalesce(min(i) FILTER (NOT ok), max(i) + 1) AS acc FROM m GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY acc DESC, path_id) AS o FROM r)
+SELECT request_id, path_id AS best, acc AS accept_length FROM b WHERE o = 1""",
 }

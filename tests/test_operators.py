@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from arborflow.functions import text as T
 from arborflow.functions import vectors as V
+from arborflow.functions.tokens import Tokenizer
 from arborflow.operators import slicing as L
 from arborflow.operators import speculate as S
 from arborflow.operators import state as K
 from arborflow.operators import tree as B
-from arborflow.operators.decoder import Acceptance, TinyDecoder, Tree, decode, decode_requests
+from arborflow.operators.decoder import Acceptance, TinyDecoder, Tree, decode, decode_requests, prefill_requests
 from arborflow.plans.catalogue import QUERIES
 from arborflow.plans.oracle import ORACLE
 
@@ -154,6 +155,46 @@ def test_stream(spark, tmp_path):
     assert got == 0 and spark.table("places").count() == events.count()
 
 
+def test_prefill_in_slices(spark):
+    rows = [(1, 0, list(range(13))), (1, 1, [5]), (2, 0, []), (3, 0, None)]
+    r = spark.createDataFrame(rows, "request_id long, branch_id long, ids array<long>")
+    got = {(x.request_id, x.branch_id): x for x in prefill_requests(r, 5).collect()}
+    model = TinyDecoder()
+    for i, b, ids in rows[:2]:
+        base, heads = model.logits(np.array(ids))
+        assert (got[i, b].n, got[i, b].token) == (len(ids), base[-1].argmax())
+        assert got[i, b].heads == np.argsort(-heads[:, -1], axis=1, kind="stable")[:, :10].tolist()
+    assert (got[2, 0].n, got[2, 0].token, got[2, 0].heads) == (0, None, None) == (got[3, 0].n, got[3, 0].token, got[3, 0].heads)
+
+
+def test_cache():
+    c = TinyDecoder().cache(room=1)
+    k = np.arange(2 * 6 * 8.0).reshape(2, 6, 8)
+    for i in range(2):
+        c.write(i, k, -k)
+    assert c.length == 0
+    c.keep(np.array([0, 2, 5]))
+    assert c.seen == 3 and np.array_equal(c.valid(1)[0], k[:, [0, 2, 5]]) and np.array_equal(c.valid(0)[1], -k[:, [0, 2, 5]])
+    c.reset()
+    assert c.length == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_tokenizer(spark, name):
+    path = f"/opt/tokenizers/{name}"
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary files here")
+    t = Tokenizer(spark, path, start=1)
+    texts = ["Plain words.", "", None, "naïve <|endoftext|> 東京", "x" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", t.encode(F.col("text")).alias("ids"), t.encode_parts(F.col("text"), F.lit("2. more")).alias("parts"))
+    got = df.select("i", "ids", "parts", t.decode(F.col("ids"), skip=(1,)).alias("back")).orderBy("i").collect()
+    assert [r.back for r in got] == texts
+    more = spark.range(1).select(t.encode(F.lit("2. more")).alias("ids")).first().ids
+    assert [r.parts for r in got if r.ids] == [r.ids + more[1:] for r in got if r.ids] and got[1].ids == [1] and got[2].ids is None
+    with pytest.raises(ValueError):
+        Tokenizer(spark, "/tmp/none.txt")
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
