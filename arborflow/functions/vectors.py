@@ -55,6 +55,14 @@ def nucleus_kept(p: Column, top_p: float) -> Column:
     return F.aggregate(order, start, step, lambda a: a["kept"])
 
 
+def nucleus_last(p: Column, top_p: float) -> Column:
+    """The last element of the nucleus in falling probability, as (x: its negative probability, i)."""
+    order = F.array_sort(F.transform(p, lambda x, i: F.struct((-x).alias("x"), i.cast("long").alias("i"))))
+    start = lambda o: F.struct(F.lit(0.0).alias("sum"), F.get(o, 0).alias("last"))
+    step = lambda a, s: F.struct((a["sum"] - s["x"]).alias("sum"), F.when(a["sum"] <= F.lit(float(top_p)), s).otherwise(a["last"]).alias("last"))
+    return let(order, lambda o: F.aggregate(o, start(o), step, lambda a: a["last"]))
+
+
 def prefix_length(mask: Column) -> Column:
     """Number of leading true elements: the sum of the running product."""
     first = F.array_position(mask, F.lit(False))

@@ -92,30 +92,39 @@ def hashed_uniform(*key: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
+def nucleus_weights(logits: Column, temperature: float, top_p: float) -> Column:
+    """Probabilities of the nucleus, in place; 0 elsewhere."""
+    if top_p >= 1:
+        return V.softmax(logits, temperature)
+    rest = lambda p: V.let(V.nucleus_last(p, top_p), lambda last: F.transform(p, lambda x, i: F.when(F.struct((-x).alias("x"), i.cast("long").alias("i")) <= last, x).otherwise(0.0)))
+    return V.let(V.softmax(logits, temperature), rest)
+
+
+def typical_weights(logits: Column, temperature: float, threshold: float, alpha: float) -> Column:
+    """Probabilities that reach the typical threshold (ties stay), in place; 0 elsewhere."""
+    rest = lambda p: V.let(V.typical_threshold(p, threshold, alpha), lambda t: F.transform(p, lambda x: F.when(x < t, 0.0).otherwise(x)))
+    return V.let(V.softmax(logits, temperature), rest)
+
+
 def nucleus_token(logits: Column, temperature: float, top_p: float, u: Column) -> Column:
     """A token drawn from the nucleus."""
-    if top_p >= 1:
-        return V.let(V.softmax(logits, temperature), lambda p: drawn(p, u))
-    rest = lambda p: V.let(V.nucleus_kept(p, top_p), lambda kept: F.transform(p, lambda x, i: F.when(F.array_contains(kept, i.cast("long")), x).otherwise(0.0)))
-    return V.let(V.let(V.softmax(logits, temperature), rest), lambda w: drawn(w, u))
+    return V.let(nucleus_weights(logits, temperature, top_p), lambda w: drawn(w, u))
 
 
 def typical_token(logits: Column, temperature: float, threshold: float, alpha: float, u: Column) -> Column:
-    """A token drawn from those whose probability reaches the typical threshold (ties stay)."""
-    rest = lambda p: V.let(V.typical_threshold(p, threshold, alpha), lambda t: F.transform(p, lambda x: F.when(x < t, 0.0).otherwise(x)))
-    return V.let(V.let(V.softmax(logits, temperature), rest), lambda w: drawn(w, u))
+    """A token drawn from those that reach the typical threshold."""
+    return V.let(typical_weights(logits, temperature, threshold, alpha), lambda w: drawn(w, u))
 
 
 def judge_sampled(candidates: DataFrame, node_logits: DataFrame, sampling: str = "nucleus", temperature: float = 0.7, top_p: float = 0.8, threshold: float = 0.09, alpha: float = 0.3, seed: int = 0) -> DataFrame:
     """A token is accepted if it is the one drawn at its place in the path (nucleus, or typical)."""
-    steps = candidates.select("request_id", "path_id", "nodes", "candidate", F.posexplode(_positions()).alias("i", "d"))
-    last = node_logits.groupBy("request_id").agg(F.max("node_id").alias("last"))
-    steps = steps.join(last, "request_id").withColumn("node_id", F.when(F.get("nodes", F.col("d")) < 0, F.col("last")).otherwise(F.get("nodes", F.col("d"))))
-    u = hashed_uniform("request_id", "path_id", "d", F.lit(seed))
-    draw = nucleus_token(F.col("logits"), temperature, top_p, u) if sampling == "nucleus" else typical_token(F.col("logits"), temperature, threshold, alpha, u)
-    rows = steps.join(node_logits, ["request_id", "node_id"]).withColumn("hit", draw == F.get("candidate", F.col("d") + 1))
-    mask = F.transform(F.array_sort(F.collect_list(F.struct("d", "hit"))), lambda s: s["hit"])
-    return rows.groupBy("request_id", "path_id", "nodes", "candidate").agg(mask.alias("mask"))
+    weights = nucleus_weights(F.col("logits"), temperature, top_p) if sampling == "nucleus" else typical_weights(F.col("logits"), temperature, threshold, alpha)
+    rows = _steps(candidates, node_logits.select("request_id", "node_id", weights.alias("value")))
+    def hit(i):
+        u = hashed_uniform("request_id", "path_id", i, F.lit(seed))
+        return V.let(F.get("values", _at(F.get("nodes", i))), lambda w: drawn(w, u)) == F.get("candidate", i + 1)
+
+    return rows.select("request_id", "path_id", "nodes", "candidate", F.transform(_positions(), hit).alias("mask"))
 
 
 def evaluate_posterior(candidates: DataFrame, node_logits: DataFrame, temperature: float = 0.7, sampling: str = "typical", fast: bool = True, top_p: float = 0.8, threshold: float = 0.09, alpha: float = 0.3, seed: int = 0) -> DataFrame:

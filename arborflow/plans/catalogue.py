@@ -377,8 +377,8 @@ def cumulative_lengths(spark, d):
 
 def token_embedding(spark, d):
     """The embedding rows of each document's tokens, added up."""
-    rows = M.embedded(_words(spark, d), _vectors(spark, d).withColumnRenamed("vec_id", "token_id"))
-    return rows.groupBy("request_id").agg(F.count("*").alias("n"), F.round(F.sum(V.total(F.col("logits"))), 4).alias("x"))
+    table = _vectors(spark, d).select(F.col("vec_id").alias("token_id"), V.total(F.col("logits")).alias("x"))
+    return M.embedded(_words(spark, d), table).groupBy("request_id").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("x"))
 
 
 def generation_inputs(spark, d):
