@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .centroids import centroid_clusters
 from .decontaminate import decontaminate
 from .line_dedup import line_dedup
 from .maxent_lm import maxent_scores
@@ -87,11 +88,33 @@ def op10_sharding(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_line_dedup, op4_toxicity, op5_decontaminate, op6_quality_rules, op7_lm_scores, op8_mixing, op9_simhash, op10_sharding)}
+def op11_centroids(spark, sf_dir):
+    out = centroid_clusters(_read(spark, sf_dir, "embeddings"), dim=64, k=8, rounds=10, scale=1024, seed=3)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", _sha256("centroid").alias("centroid_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_line_dedup, op4_toxicity, op5_decontaminate, op6_quality_rules, op7_lm_scores, op8_mixing, op9_simhash, op10_sharding, op11_centroids)}
 
 _SPACE = r"\x20\x09-\x0D"
 
+
+
+def _centroid_rounds(k: int, rounds: int) -> str:
+    """Rounds of assignment (a) and new centroids (c), one pair of tables a round."""
+    near = "SELECT vec_id, x, i, d FROM (SELECT v.vec_id, v.x, c.i, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, {c} c) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, i) = 1"
+    # the remainder is brought to 0 .. n - 1, as // cuts towards zero
+    mean = "SELECT c.i, coalesce(m.x, c.x) AS x FROM {c} c LEFT JOIN (SELECT i, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x FROM (SELECT i, j, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM (SELECT i, unnest(x) AS y, generate_subscripts(x, 1) AS j FROM {a}) GROUP BY i, j) GROUP BY i) m USING (i)"
+    steps = [f"a{r} AS MATERIALIZED ({near.format(c=f'c{r}')})" + (f",\nc{r + 1} AS MATERIALIZED ({mean.format(c=f'c{r}', a=f'a{r}')})" if r < rounds else "") for r in range(rounds + 1)]
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS i, x FROM v ORDER BY sha256('3:' || vec_id) LIMIT {k}),
+""" + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(i AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY i) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (i)"""
+
+
 ORACLE = {
+    "op11_centroids": _centroid_rounds(8, 10),
     "op1_substring_dedup": rf"""
 WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM t),
