@@ -10,6 +10,7 @@ from .line_dedup import line_dedup
 from .maxent_lm import maxent_scores
 from .mixing import Mix
 from .quality_rules import quality_rules
+from .sentencepieces import sentence_pieces
 from .sharding import shard_plan
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
@@ -93,7 +94,15 @@ def op11_centroids(spark, sf_dir):
     return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", _sha256("centroid").alias("centroid_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_line_dedup, op4_toxicity, op5_decontaminate, op6_quality_rules, op7_lm_scores, op8_mixing, op9_simhash, op10_sharding, op11_centroids)}
+def op12_sentencepieces(spark, sf_dir):
+    import public_tokenizers
+
+    out = sentence_pieces(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"), _sha256("decoded").alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_line_dedup, op4_toxicity, op5_decontaminate, op6_quality_rules, op7_lm_scores, op8_mixing, op9_simhash, op10_sharding, op11_centroids, op12_sentencepieces)}
 
 _SPACE = r"\x20\x09-\x0D"
 
