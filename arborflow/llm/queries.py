@@ -13,6 +13,7 @@ from .quality_rules import quality_rules
 from .sentencepieces import sentence_pieces
 from .sharding import shard_plan
 from .simhash import simhash_components
+from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity
 from .warc import warc_round_trip
@@ -102,11 +103,28 @@ def op12_sentencepieces(spark, sf_dir):
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"), _sha256("decoded").alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_line_dedup, op4_toxicity, op5_decontaminate, op6_quality_rules, op7_lm_scores, op8_mixing, op9_simhash, op10_sharding, op11_centroids, op12_sentencepieces)}
+def op13_spelling(spark, sf_dir):
+    return spelling_variants(_docs(spark, sf_dir), least=7, times=2, ratio=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_line_dedup, op4_toxicity, op5_decontaminate, op6_quality_rules, op7_lm_scores, op8_mixing, op9_simhash, op10_sharding, op11_centroids, op12_sentencepieces, op13_spelling)}
 
 _SPACE = r"\x20\x09-\x0D"
 
 
+#: CRC-32 by its polynomial, a table of the 256 bytes' remainders.
+_CRC = [0] * 256
+for _i in range(256):
+    _c = _i
+    for _ in range(8):
+        _c = _c >> 1 ^ 0xEDB88320 * (_c & 1)
+    _CRC[_i] = _c
+
+
+def _crc32(text: str) -> str:
+    bytes_ = f"list_transform(range(strlen({text})), lambda k: CAST('0x' || substr(hex({text}), CAST(2 * k + 1 AS INT), 2) AS BIGINT))"
+    return f"xor(4294967295, list_reduce({bytes_}, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)))"
+
 
 def _centroid_rounds(k: int, rounds: int) -> str:
     """Rounds of assignment (a) and new centroids (c), one pair of tables a round."""
@@ -123,6 +141,17 @@ FROM a{rounds} JOIN c{rounds} c USING (i)"""
 
 
 ORACLE = {
+    "op13_spelling": rf"""
+WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]{{7,}}')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS k, doc_id || ':' || run AS name FROM t GROUP BY ALL),
+h AS (SELECT run, k, {_crc32("name")} AS h FROM g, (SELECT CAST({_CRC} AS BIGINT[]) AS crc)),
+w AS MATERIALIZED (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(k) AS BIGINT) AS n FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(k) >= 2),
+d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS part FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS other, b.n AS m FROM d a JOIN d b ON a.part = b.part AND a.i = b.i AND a.word <> b.word UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.part = w.word UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.part = w.word),
+b AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, other)) AS best FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN best END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM w LEFT JOIN b USING (word)),
+r AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT r.word, f.form, step + 1 FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, arg_max(root, step) AS root, n, n_near, form_n FROM f JOIN r USING (word) GROUP BY ALL""",
     "op11_centroids": _centroid_rounds(8, 10),
     "op1_substring_dedup": rf"""
 WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+') AS w FROM documents),
