@@ -21,6 +21,7 @@ Normalisers with rules, marks as suffixes, and user symbols with blanks are refu
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import heapq
 import re
@@ -38,6 +39,8 @@ from . import common as C
 KEPT = 400_000
 #: Symbols up to which chunks are merged together in arrays.
 SHORT = 48
+#: Text bytes whose new chunks are taken together.
+PORTION = 4 << 20
 MARK = "▁"
 #: Above every rank.
 NEVER = np.int32(2**31 - 1)
@@ -377,9 +380,11 @@ def sentence_pieces(docs: DataFrame, model: str, key: str = "doc_id", column: st
 
     def f(batches):
         own = coder(shared.value)
-        for part in C.portions(batches):
+        for part in C.portions(batches, most=PORTION):
+            gc.disable()  # millions of new tuples and strings, and no cycle among them
             texts = [t or "" for t in part.column("text").to_pylist()]
             ids = own.encode(texts, check)
+            gc.enable()
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = np.concatenate([np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in ids])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
