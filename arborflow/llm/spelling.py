@@ -32,9 +32,9 @@ from .tables import remove, saved
 #: Letters of a word, after A-Z are lower-cased.
 LETTERS = r"[a-zÀ-ÿ]"
 #: Rows a shard, and words of one end from which on its words are dealt by whole halves.
-SHARD, HOT = 100_000, 50_000
+SHARD, HOT = 25_000, 10_000
 #: Longest word that is compared in a matrix, and pairs compared at once.
-WIDE, PAIRS = 64, 1 << 18
+WIDE, PAIRS = 64, 1 << 17
 ENTRY, SCAN = 1, 2
 NEAR = pa.schema([("word", pa.string()), ("n", pa.int64()), ("n_near", pa.int64()), ("best", pa.string()), ("best_n", pa.int64())])
 NEAR_DDL = "word string, n long, n_near long, best string, best_n long"
@@ -138,7 +138,7 @@ def _hits(words: _Words, entries: np.ndarray, half: int) -> tuple[np.ndarray, np
     there = np.zeros(2 * len(number), bool)
     there[group] = True
     who, hit = [], []
-    for some in np.array_split(np.arange(len(words.texts)), max(1, len(words.joined) >> 20)):
+    for some in np.array_split(np.arange(len(words.texts)), max(1, len(words.joined) >> 18)):
         if not len(some):
             continue
         # a blank is in no half, so none reaches over two words
