@@ -181,7 +181,7 @@ def event_roots(spark, d):
 
 def maximal_token_paths(spark, d):
     """Documents' words, and those of their first lines, as paths of token ids: the paths that no other one continues."""
-    ids = lambda t: F.transform(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)), lambda w: F.crc32(w.cast("binary")) % 50000)
+    ids = lambda t: F.transform(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)), lambda w: (F.crc32(w.cast("binary")) % 50000).cast("int"))
     docs = _read(spark, d, "documents")
     paths = docs.select("doc_id", ids(F.col("text")).alias("path")).union(docs.select("doc_id", ids(F.substring_index("text", "\n", 1))))
     each = paths.groupBy("path").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_same"))
