@@ -55,6 +55,12 @@ def padded_visible(mask: DataFrame, key: str) -> DataFrame:
     return mask.select(key, "pos", run.cast("long").alias("visible"))
 
 
+def causal_pad_mask(mask: Column) -> Column:
+    """For each place the places that it attends to under the causal and the pad mask, as an array of arrays of 0 and 1: a
+    place sees unmasked ones up to itself.  Quadratic in the length, as a mask is."""
+    return F.transform(mask, lambda _, i: F.transform(mask, lambda m, j: F.when((j <= i) & (m != 0), 1).otherwise(0)))
+
+
 def sliced_linear(v: Column, weights: list[list[float]], n_slices: int) -> Column:
     """weights v, as sums over n_slices slices of the inputs, each with its own columns of the weights."""
     width = -(-len(weights[0]) // n_slices)

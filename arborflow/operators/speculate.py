@@ -12,9 +12,22 @@ from ..functions import vectors as V
 from .tree import TOP_K
 
 
-def flat_candidates(scores: DataFrame) -> DataFrame:
-    """scores: (request_id, head, logits), head 0 the base model.  flat: the base's argmax, then each head's top 10."""
-    top = F.when(F.col("head") == 0, F.array(V.argmax(F.col("logits")))).otherwise(V.top_k(F.col("logits"), TOP_K))
+def base_token(logits: Column, temperature: float = 0.0, sampling: str = "typical", fast: bool = False, top_p: float = 0.8, threshold: float = 0.09, alpha: float = 0.3, u: Column | None = None) -> Column:
+    """The base model's token: the argmax at temperature 0 or if fast, else drawn at u from the nucleus or the typical set."""
+    if temperature == 0 or fast:
+        return V.argmax(logits)
+    if sampling == "typical":
+        return typical_token(logits, temperature, threshold, alpha, u)
+    if sampling == "nucleus":
+        return nucleus_token(logits, temperature, top_p, u)
+    raise ValueError(f"sampling must be typical or nucleus, not {sampling}")
+
+
+def flat_candidates(scores: DataFrame, base: Column | None = None) -> DataFrame:
+    """scores: (request_id, head, logits), head 0 the base model.  flat: the base's token (by default its argmax), then each
+    head's top 10."""
+    base = V.argmax(F.col("logits")) if base is None else base
+    top = F.when(F.col("head") == 0, F.array(base)).otherwise(V.top_k(F.col("logits"), TOP_K))
     picked = scores.select("request_id", "head", top.alias("top"))
     rows = picked.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("head", "top"))).alias("heads"))  # a row a head
     return rows.select("request_id", F.flatten(F.transform("heads", lambda s: s["top"])).alias("flat"))

@@ -10,14 +10,18 @@ from ..functions import udtfs as U
 from ..functions import vectors as V
 from ..operators import blocks as B
 from ..operators import closure as K
+from ..operators import model as M
 from ..operators import prefixes as E
 from ..operators import ranges as R
 from ..operators import scan as S
 from ..operators import slicing as L
+from ..operators import speculate as G
+from ..operators import tree as T
 from ..sources import tensors as X
 from ..streaming import reorder as Z
 from ..streaming import serving as Y
-from .catalogue import STAGES, _folder, _read
+from .catalogue import STAGES, TREE, _candidates, _folder, _node_logits, _read, _scores
+from .oracle import CAND, ENTROPY, SOFT, STEP, _soft, _uniform
 
 
 # -- tensor files
@@ -226,7 +230,49 @@ def tree_leaves(spark, d):
     return spark.sql("SELECT tree, array_join(leaf, '/') AS leaf, n_nodes FROM arborflow_tree_paths(TABLE(arborflow_nodes))")
 
 
-FUNCTIONS = (tensor_scan, tensor_checkpoint, tensor_stages, serve_events, reorder_lines, attention_blocks, product_blocks, running_total, running_by_user, url_closure, event_roots, maximal_token_paths, shipped_within, overlapping_events, outline_lateral, tree_leaves)
+# -- draws, masks and look-ups
+
+
+def candidates_sampled(spark, d):
+    """Candidates whose base token is drawn, once from the typical set and once from the nucleus."""
+    nodes, v = T.tree_nodes(spark, TREE), _scores(spark, d)
+    out = []
+    for how in ("typical", "nucleus"):
+        base = G.base_token(F.transform("logits", lambda x: x * 10), 0.7, how, u=G.hashed_uniform("request_id", F.lit(how)))
+        tokens = G.tree_candidates(G.flat_candidates(v, base), nodes)
+        c = G.cartesian_candidates(tokens, T.tree_paths(nodes))
+        out.append(c.select(F.lit(how).alias("sampling"), "request_id", "path_id", V.joined(F.col("candidate")).alias("candidate")))
+    return out[0].union(out[1])
+
+
+def accept_typical_draws(spark, d):
+    """Acceptance of the tokens that are drawn from the typical set at their places."""
+    nodes, c = _candidates(spark, d)
+    logits = _node_logits(spark, d, c.select("request_id").distinct(), nodes)
+    return G.evaluate_posterior(c, logits, sampling="typical", fast=False).select("request_id", "best", "accept_length")
+
+
+def _turn_words(spark, d):
+    """(conv_id, turn, ids): the words of each turn of a conversation, a word's length as its id."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return _read(spark, d, "conversations").select("conv_id", "turn", F.transform(words, lambda w: F.length(w)).alias("ids"))
+
+
+def pad_mask(spark, d):
+    """The mask of each place of each turn, words of up to three letters being pads."""
+    rows = _turn_words(spark, d).select("conv_id", "turn", F.transform("ids", lambda x: F.when(x > 3, 1).otherwise(0)).alias("m"))
+    rows = rows.select("conv_id", "turn", F.posexplode(M.causal_pad_mask(F.col("m"))).alias("pos", "row"))
+    return rows.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.array_join(F.col("row").cast("array<string>"), "").alias("visible"))
+
+
+def embedding_lookup(spark, d):
+    """The embedding vector of each word of each turn, in 1024ths; ids without a vector have no row."""
+    words = _turn_words(spark, d).select("conv_id", "turn", F.posexplode("ids").alias("pos", "id")).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.col("id").cast("long").alias("token_id"))
+    table = _read(spark, d, "embeddings").select(F.col("vec_id").alias("token_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024)).alias("x"))
+    return M.embedded(words, table).select("conv_id", "turn", "pos", "token_id", V.joined(F.col("x")).alias("x"))
+
+
+FUNCTIONS = (candidates_sampled, accept_typical_draws, pad_mask, embedding_lookup, tensor_scan, tensor_checkpoint, tensor_stages, serve_events, reorder_lines, attention_blocks, product_blocks, running_total, running_by_user, url_closure, event_roots, maximal_token_paths, shipped_within, overlapping_events, outline_lateral, tree_leaves)
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
 _N = "CAST(len(embedding) AS BIGINT) AS n"
@@ -236,7 +282,31 @@ _URLS = r"""p AS (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '
 q AS (SELECT list_reverse(string_split(split_part(t, '/', 1), '.')) || list_filter(string_split(substr(t, length(split_part(t, '/', 1)) + 2), '/'), lambda x: x <> '') AS p FROM p),
 u AS (SELECT DISTINCT unnest(list_transform(range(1, len(p) + 1), lambda i: p[1:i])) AS path FROM q)"""
 
+#: The drawn base token of each request by both ways, and the catalogue's candidates with it in the argmax's place.
+_BASES = f"""{_soft(10)}, h AS (SELECT vec_id, p, {ENTROPY} AS h FROM s WHERE vec_id % 6 = 0),
+x AS (SELECT vec_id // 6 AS request_id, least(0.09, exp(-h) * 0.3) AS th, unnest(range(64)) AS i, unnest(p) AS p FROM h),
+y AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY request_id ORDER BY p DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x),
+weights AS (SELECT request_id, i, 'nucleus' AS sampling, CASE WHEN before <= 0.8 THEN p ELSE 0 END AS a FROM y UNION ALL SELECT request_id, i, 'typical', CASE WHEN p < th THEN 0 ELSE p END FROM y),
+z AS (SELECT request_id, sampling, {_uniform("request_id || ',' || sampling")} AS u, sum(a) OVER (PARTITION BY request_id, sampling ORDER BY i ROWS UNBOUNDED PRECEDING) AS run, sum(a) OVER (PARTITION BY request_id, sampling) AS total FROM weights),
+base AS (SELECT request_id, sampling, CAST(least(count(*) FILTER (run <= u * total), 63) AS BIGINT) AS token FROM z GROUP BY ALL)"""
+
+_TURNS = r"""t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: CAST(length(w) AS BIGINT)) AS ids FROM conversations)"""
+
 ORACLE = {
+    "candidates_sampled": CAND.replace("v AS (", f"{_BASES},\nv AS (", 1).replace("g AS (SELECT request_id, flatten(heads) AS flat FROM f)", "g AS (SELECT sampling, f.request_id, [token] || flatten(heads)[2:] AS flat FROM f JOIN base USING (request_id))").replace("k AS (SELECT request_id, list(flat[tree_index + 1] ORDER BY node_id) AS tokens FROM g, n GROUP BY request_id)", "k AS (SELECT sampling, request_id, list(flat[tree_index + 1] ORDER BY node_id) AS tokens FROM g, n GROUP BY ALL)").replace("c AS (SELECT request_id, path_id", "c AS (SELECT sampling, request_id, path_id") + " SELECT sampling, request_id, path_id, array_to_string(cand, ',') AS candidate FROM c",
+    "accept_typical_draws": CAND + STEP + f""",
+q AS (SELECT request_id, path_id, i, tok, {SOFT.format(s=1)} AS e, {_uniform("request_id || ',' || path_id || ',' || i || ',0'")} AS u FROM j),
+s AS (SELECT request_id, path_id, i, tok, u, list_transform(e, lambda x: x / list_sum(e)) AS p FROM q),
+o AS (SELECT *, least(0.09, exp(-1 * ({ENTROPY})) * 0.3) AS th FROM s),
+x AS (SELECT request_id, path_id, i, tok, u, unnest(range(64)) AS k, unnest(list_transform(p, lambda x: CASE WHEN x < th THEN 0 ELSE x END)) AS p FROM o),
+runs AS (SELECT request_id, path_id, i, tok, u, sum(p) OVER (PARTITION BY request_id, path_id, i ORDER BY k ROWS UNBOUNDED PRECEDING) AS run, sum(p) OVER (PARTITION BY request_id, path_id, i) AS total FROM x),
+m AS (SELECT request_id, path_id, i, least(count(*) FILTER (run <= u * total), 63) = any_value(tok) AS ok FROM runs GROUP BY ALL),
+r AS (SELECT request_id, path_id, coalesce(min(i) FILTER (NOT ok), max(i) + 1) AS acc FROM m GROUP BY ALL)
+SELECT request_id, path_id AS best, CAST(acc AS BIGINT) AS accept_length FROM r QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY acc DESC, path_id) = 1""",
+    "pad_mask": f"""WITH {_TURNS}
+SELECT conv_id, turn, CAST(i AS BIGINT) AS pos, array_to_string(list_transform(range(len(ids)), lambda j: CASE WHEN j <= i AND ids[j + 1] > 3 THEN '1' ELSE '0' END), '') AS visible FROM (SELECT *, unnest(range(len(ids))) AS i FROM t)""",
+    "embedding_lookup": f"""WITH {_TURNS}, x AS (SELECT conv_id, turn, unnest(range(len(ids))) AS pos, unnest(ids) AS token_id FROM t)
+SELECT conv_id, turn, pos, token_id, array_to_string(list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 1024) AS BIGINT)), ',') AS x FROM x JOIN embeddings ON vec_id = token_id""",
     "tensor_scan": f"SELECT 't.' || vec_id AS tensor_name, label AS stage, {_N}, {_TOTAL.format('x')} FROM embeddings WHERE label IN (1, 3, 5) AND 't.' || vec_id >= 't.2' AND 't.' || vec_id < 't.7'",
     "tensor_checkpoint": f"""
 SELECT 't.' || vec_id AS tensor_name, CASE WHEN label >= 4 THEN 2 ELSE 1 END AS version, {_N}, CASE WHEN label >= 4 THEN {_TOTAL.format('x * 2').removesuffix(' AS total')} ELSE {_TOTAL.format('x').removesuffix(' AS total')} END AS total FROM embeddings
