@@ -7,15 +7,15 @@ a small Hamming limit, so here a signature has two parts:
 - chains of ``BITS`` bits.  A pair at the similarity agrees in a whole chain with probability (1 - p)**BITS, and there are
   as many disjoint chains as make a pair meet with probability ``RECALL``: 121 of 20 bits at 0.8, whatever the number of
   documents.  An entry is a key of 4 bytes, the text's name and one word of 64 bits;
-- ``CHECK`` words that filter a meeting pair: of entries that meet, the word must differ in at most p of its bits and
-  ``WORD_SLACK``; then the pairs that are left, each once, fetch the other words, for the pigeonring filter (from some
-  segment on, every run of l segments differs in at most l shares of the limit) and the whole Hamming distance, at most
-  p + ``SLACK`` of the bits.
-
-Texts that meet in a key of few are compared pair by pair, others through a frontier; a bucket sends on the spanning forest
-of its nearest pairs, so a large group of near copies costs links in proportion to its size.  The components of the pairs that pass only say
-which texts may be copies: in each one the texts' sets of different shingles are compared, and only pairs whose exact
-Jaccard similarity reaches the limit are linked.  A component's shingles are held by one task: a group of near copies of a
+- ``CHECK`` words that filter a meeting pair.  Of entries that meet in a key, the first word must differ in at most p of its
+  bits and ``WORD_SLACK``; what such pairs connect is a *group*.  A group's texts fetch the other words and are compared by
+  the pigeonring filter (from some segment on, every run of l segments differs in at most l shares of the limit) and the
+  whole Hamming distance, at most p + ``SLACK`` of the bits.
+
+Links are kept only of pairs that passed all checks, as spanning forests: a forest has the components of all pairs that
+pass, so none is lost by it, and a large group of near copies costs links in proportion to its size.  The components
+only say which texts may be copies: in each one the texts' sets of different shingles are compared, and only pairs whose
+exact Jaccard similarity reaches the limit are linked.  A component's shingles are held by one task: a group of near copies of a
 very large number of different texts needs a task with that much memory.  Equal signatures (equal words among others) are
 one node throughout.  Random pairs that meet in a key grow with the square of the documents over 2**BITS; BITS is the
 parameter for larger corpora (24 bits take 236 chains).
@@ -48,16 +48,16 @@ RECALL = 0.99
 BITS = 20
 #: Shares of differing bits allowed over the expected one: 4 standard deviations of it at a similarity of 0.8.
 SLACK, WORD_SLACK = 0.0625, 0.18
-#: Entries of a key bucket on average.
-BUCKET_ENTRIES = 2_000_000
-#: Keys with more entries are linked by a forest, others pair by pair.
-SMALL = 8
+#: Entries of a key bucket, and members of groups in a bucket, on average.
+BUCKET_ENTRIES, BUCKET_MEMBERS = 2_000_000, 500_000
+#: Keys and groups of up to so many are compared together in arrays, larger ones one by one; the components are the same.
+TOGETHER = 8
 #: Pairs that a forest compares at once.
 BLOCK = 4096
 GOLDEN = U(0x9E3779B97F4A7C15)
 SIGNED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sign", pa.binary()), ("text", pa.string())])
 SENT = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("node", pa.binary()), ("word", pa.binary())])
-PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+MEMBERS = pa.schema([("group", pa.int64()), ("node", pa.int64())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -143,16 +143,16 @@ def near(x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
     return passes.any(axis=1) & (ring[:, CHECK] <= limit)
 
 
-def _forest(word: np.ndarray, at: int, end: int, limit: int, out: list) -> None:
-    """Links of a spanning forest of one key's near pairs, through a frontier: each entry is taken up once and compared
-    with those not reached yet, several at a time where few are left."""
+def _frontier(at: int, end: int, close, out: list) -> None:
+    """Links of a spanning forest of the close pairs among at to end, through a frontier: each is taken up once and compared
+    with those not reached yet, several at a time where few are left.  close(x, y): a matrix for indices x and y."""
     left = np.arange(at, end)
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             n = min(len(queue), max(1, BLOCK // len(left)))
             x, queue = np.array(queue[:n]), queue[n:]
-            hit = np.bitwise_count(word[left][None, :] ^ word[x][:, None]) <= limit
+            hit = np.concatenate([close(x, left[i : i + 16 * BLOCK]) for i in range(0, len(left), 16 * BLOCK)], axis=1)
             got = hit.any(axis=0)
             if got.any():
                 out.append(np.stack([x[hit.argmax(axis=0)[got]], left[got]]))
@@ -160,60 +160,77 @@ def _forest(word: np.ndarray, at: int, end: int, limit: int, out: list) -> None:
                 left = left[~got]
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The links of a spanning forest of n nodes that keeps the least distances apart."""
-    order = np.lexsort((np.maximum(a, b), np.minimum(a, b), apart))
-    top, keep = list(range(n)), []
-
-    def find(x: int) -> int:
-        while top[x] != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        return x
-
-    for i, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
-        x, y = find(x), find(y)
-        if x != y:
-            top[max(x, y)] = min(x, y)
-            keep.append(i)
-    a, b = a[keep], b[keep]
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def link(limit: int):
-    """Pairs of a bucket whose keys agree and whose words differ in few bits; of those of a group, a forest of the nearest."""
+def links(key: np.ndarray, pairs, close) -> np.ndarray:
+    """Links, shape (2, n), that connect what the close pairs with equal keys connect.  key is sorted.  pairs(x, y): whether
+    they are close, for indices x and y; close: the same for all x with all y."""
+    at = C.groups(key)
+    size = np.diff(np.append(at, len(key)))
+    of = np.repeat(size, size)
+    out: list = [np.zeros((2, 0), np.int64)]
+    for lag in range(1, TOGETHER):
+        x = np.flatnonzero((key[lag:] == key[:-lag]) & (of[lag:] <= TOGETHER))
+        x = x[pairs(x, x + lag)] if len(x) else x
+        out.append(np.stack([x, x + lag]))
+    for g in np.flatnonzero(size > TOGETHER):
+        _frontier(int(at[g]), int(at[g] + size[g]), close, out)
+    return np.concatenate(out, axis=1)
+
+
+def reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index that links a - b reach from each of n."""
+    out = np.arange(n)
+    while True:
+        before = out.copy()
+        low = np.minimum(out[a], out[b])
+        for x in (a, b):
+            np.minimum.at(out, out[x], low)
+            np.minimum.at(out, x, low)
+        out = out[out]
+        if np.array_equal(out, before):
+            return out
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star for each set of n nodes that links a - b connect: its smallest node with the others."""
+    top = reached(n, a, b)
+    rest = np.flatnonzero(top != np.arange(n))
+    return top[rest], rest
+
+
+def gather(limit: int):
+    """The groups of a bucket: what entries of equal keys, whose words differ in few bits, connect.  A group's name is made
+    of its key and its smallest node."""
 
     def f(sent: pa.Table) -> pa.Table:
         key, node = C.joined(sent.column("key"), np.uint32), C.joined(sent.column("node"), np.int64)
         word = C.joined(sent.column("word"), U)
         order = np.lexsort((node, key))
         key, node, word = key[order], node[order], word[order]
-        at = C.groups(key)
-        size = np.diff(np.append(at, len(key)))
-        of = np.repeat(size, size)
-        out: list = [np.zeros((2, 0), np.int64)]
-        for lag in range(1, SMALL):
-            x = np.flatnonzero((key[lag:] == key[:-lag]) & (of[lag:] <= SMALL))
-            x = x[np.bitwise_count(word[x] ^ word[x + lag]) <= limit]
-            out.append(np.stack([x, x + lag]))
-        for g in np.flatnonzero(size > SMALL):
-            _forest(word, int(at[g]), int(at[g] + size[g]), limit, out)
-        pairs = np.concatenate(out, axis=1)
-        names, index = np.unique(node, return_inverse=True)
-        a, b = forest(len(names), *index[pairs], np.bitwise_count(word[pairs[0]] ^ word[pairs[1]]))
-        return pa.table({"a": names[a], "b": names[b]}, schema=PAIRS)
+        a, b = links(key, lambda x, y: np.bitwise_count(word[x] ^ word[y]) <= limit, lambda x, y: np.bitwise_count(word[y][None, :] ^ word[x][:, None]) <= limit)
+        top = reached(len(key), a, b)
+        some = np.flatnonzero(np.bincount(top, minlength=len(key))[top] > 1)
+        group = C.mix(C.mix(key[some].astype(U)) ^ node[top[some]].view(U))
+        return pa.table({"group": group.view(np.int64), "node": node[some]}, schema=MEMBERS)
 
     return f
 
 
 def check(limit: int):
-    """Pairs with their signatures' check words, less those that fail the pigeonring filter or the Hamming check."""
-
-    def f(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (C.joined(batch.column(c), U).reshape(batch.num_rows, CHECK) for c in ("x", "y"))
-                yield batch.select(["a", "b"]).filter(pa.array(near(x, y, limit)))
+    """Links of a bucket of groups (group, node, w: the check words): pairs of a group that pass the pigeonring filter and the
+    Hamming check, a forest of them for the bucket."""
+
+    def f(met: pa.Table) -> pa.Table:
+        group, node = met.column("group").to_numpy(), met.column("node").to_numpy()
+        words = C.joined(met.column("w"), U).reshape(len(node), CHECK)
+        order = np.lexsort((node, group))
+        group, node, words = group[order], node[order], words[order]
+        def close(x, y):
+            return near(np.repeat(words[x], len(y), axis=0), np.tile(words[y], (len(x), 1)), limit).reshape(len(x), len(y))
+
+        pairs = links(group, lambda x, y: near(words[x], words[y], limit), close)
+        names, index = np.unique(node, return_inverse=True)
+        a, b = forest(len(names), *index[pairs])
+        return pa.table({"a": names[a], "b": names[b]}, schema=EDGES)
 
     return f
 
@@ -278,10 +295,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits
     nodes = saved(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("sign").alias("sign")), "nodes")
     buckets = max(1, -(-nodes.count() * n_chains // BUCKET_ENTRIES))
     sent = nodes.select("fp", "sign").mapInArrow(send_chains(bits, n_chains, buckets), "bucket int, key binary, node binary, word binary")
-    met = saved(C.decide(sent, link(math.floor((share + WORD_SLACK) * 64)), "a long, b long").distinct(), "met")
-    words = nodes.select("fp", F.substring("sign", 1, 8 * CHECK).alias("w"))
-    pairs = met.join(words.toDF("a", "x"), "a").join(words.toDF("b", "y"), "b")
-    maybe = components(pairs.mapInArrow(check(math.floor((share + SLACK) * 64 * CHECK)), "a long, b long"))
+    met = saved(C.decide(sent, gather(math.floor((share + WORD_SLACK) * 64)), "group long, node long"), "met")
+    words = nodes.select(F.col("fp").alias("node"), F.substring("sign", 1, 8 * CHECK).alias("w"))
+    buckets = max(1, -(-met.count() // BUCKET_MEMBERS))
+    members = met.join(words, "node").select(F.pmod(F.xxhash64("group"), F.lit(buckets)).cast("int").alias("bucket"), "group", "node", "w")
+    maybe = components(C.decide(members, check(math.floor((share + SLACK) * 64 * CHECK)), "a long, b long"))
     texts = signed.join(maybe, signed.fp == maybe.node).groupBy("component", "fp").agg(F.min("text").alias("text"))
     edges = texts.groupBy("component").applyInArrow(confirm(shingle, similarity), "a long, b long")
     edges = saved(edges, "edges")
