@@ -143,7 +143,7 @@ def keep_rare(threshold: float):
 
 
 def bit_of(h: np.ndarray, k: int, n_bits: int) -> np.ndarray:
-    return (C.mix(h + U(k) * C.GOLDEN) % U(n_bits)).astype(np.int64)
+    return (C.mix(h + U(k * int(C.GOLDEN) % (1 << 64))) % U(n_bits)).astype(np.int64)
 
 
 def filter_bits(n_bits: int):
