@@ -5,11 +5,13 @@ index of non-overlapping blocks, probed with every rolling window of a block's l
 windows around a hit name their first place: the smallest document (and place in it) of equal windows.  Neighbouring
 windows with neighbouring first places make a hit, which is then extended word by word in both directions to a maximal
 repeat: each hit's words go to the document that it names, once a batch however many documents have it, and are
-compared there.  Only words of repeats confirmed in that way go.
+compared there.  The documents stay with the batch that asks: a passage in a third of all documents costs the batch of the
+first one its words once a batch.  Only words of repeats confirmed in that way go.
 
-A stretch of repeated windows is sent with each hit, ``REACH`` words to either side of the hit at most; a longer
-extension is covered by the hits of the stretch beyond.  A window that a document holds several times makes one hit, and
-its other places in the document go with it.
+A stretch of repeated windows is sent with each hit, ``REACH`` words to either side of the hit at most.  What a hit leaves
+uncovered the next one of the same alignment covers, and repeats of one alignment that touch are one; only where over
+2 * REACH words in the middle of a repeat name a still earlier document it stays in two pieces.  A window that a document
+holds several times makes one hit, and its other places in the document go with it.
 
 Nulls and empty texts have no words; a null doc_id counts as larger than all others; rows with equal doc_id do not
 repeat each other.  Candidates are found by 64-bit hashes; the words themselves decide, so a collision can only leave a
@@ -22,6 +24,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
@@ -34,12 +37,15 @@ SENT = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("fp", pa.binar
 LIVE = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("fp", pa.binary())])
 FULL = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("h", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("ids", pa.binary())])
 FIRST = pa.schema([("batch", pa.int32()), ("h", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("source", pa.binary())])
-ASKED = pa.schema([("batch", pa.int32()), ("sender", pa.int32()), ("text", pa.binary()), ("hit", pa.int32()), ("n", pa.int32()), ("first_doc", pa.int64()), ("first_at", pa.int32()), ("docs", pa.binary()), ("starts", pa.binary())])
-REPEATS = pa.schema([("batch", pa.int32()), ("first_doc", pa.int64()), ("first_at", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary())])
+#: A question to the batch of a hit's first document (text), or the asking batch's note of who has the hit (docs and starts).
+ASKED = pa.schema([("batch", pa.int32()), ("sender", pa.int32()), ("number", pa.int32()), ("text", pa.binary()), ("hit", pa.int32()), ("n", pa.int32()), ("first_doc", pa.int64()), ("first_at", pa.int32()), ("docs", pa.binary()), ("starts", pa.binary())])
+#: An answer to the batch that asked, or its note.
+REPEATS = pa.schema([("batch", pa.int32()), ("number", pa.int32()), ("first_doc", pa.int64()), ("first_at", pa.int32()), ("skip", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary())])
+REPEATS_DDL = "batch int, number int, first_doc long, first_at int, skip int, n int, h long, docs binary, starts binary"
 _REPEAT = pa.struct([("start", pa.int64()), ("first_doc", pa.int64()), ("first_start", pa.int64()), ("length", pa.int64())])
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("repeats", pa.list_(_REPEAT))])
 DDL = {"sent": "batch int, bucket int, fp binary, anchor binary, many binary", "live": "batch int, bucket int, fp binary", "full": "batch int, bucket int, h binary, doc binary, at binary, ids binary"}
-DDL |= {"first": "batch int, h binary, doc binary, at binary, source binary", "asked": "batch int, sender int, text binary, hit int, n int, first_doc long, first_at int, docs binary, starts binary"}
+DDL |= {"first": "batch int, h binary, doc binary, at binary, source binary", "asked": "batch int, sender int, number int, text binary, hit int, n int, first_doc long, first_at int, docs binary, starts binary"}
 DDL |= {"out": "doc_id long, n_words long, n_removed long, kept string, starts array<long>, ends array<long>, repeats array<struct<start:long,first_doc:long,first_start:long,length:long>>"}
 
 
@@ -213,10 +219,11 @@ def ask(window: int):
                 out.setdefault(key, []).append((int(ids[row]), 2 * a + again))
         sender = docs.column("batch")[0].as_py() if docs.num_rows else 0
         rows = {x: [] for x in ASKED.names}
-        for (batch, text, hit, n, doc, at), who in out.items():
+        for number, ((batch, text, hit, n, doc, at), who) in enumerate(out.items()):
             d, s = np.array(who, np.int64).T  # twice the start, and 1 if the document repeats windows within itself
-            for x, v in zip(ASKED.names, (batch, sender, text, hit, n, doc, at, d.tobytes(), s.astype(np.int32).tobytes()), strict=True):
-                rows[x].append(v)
+            for values in ((batch, sender, number, text, hit, n, doc, at, None, None), (sender, sender, number, None, None, None, None, None, d.tobytes(), s.astype(np.int32).tobytes())):
+                for x, v in zip(ASKED.names, values, strict=True):
+                    rows[x].append(v)
         return C.table_of(ASKED, rows)
 
     return f
@@ -249,10 +256,14 @@ def extend(window: int):
             texts, of = C.Texts(docs.column("text")), {}
             for i, d in enumerate(C.ids(docs).tolist()):
                 of.setdefault(d, []).append(i)
+            note = pc.is_valid(asked.column("docs"))
+            for number, who, starts in zip(*(asked.filter(note).column(c) for c in ("number", "docs", "starts")), strict=True):
+                for x, v in zip(REPEATS.names, (docs.column("batch")[0].as_py(), number.as_py(), None, None, None, None, None, who.as_py(), starts.as_py()), strict=True):
+                    rows[x].append(v)
             now, split = None, []
-            asked = asked.sort_by("first_doc")
+            asked = asked.filter(pc.invert(note)).sort_by("first_doc")
             for k in range(asked.num_rows):
-                sender, text, hit, n, doc, at, who, starts = (asked.column(c)[k] for c in ASKED.names[1:])
+                sender, number, text, hit, n, doc, at = (asked.column(c)[k] for c in ASKED.names[1:8])
                 if doc.as_py() != now:
                     now = doc.as_py()
                     split = [texts.text(i).split() for i in of.get(now, [])]
@@ -262,9 +273,7 @@ def extend(window: int):
                         continue
                     a, b = extended(mine, hit, other, at)
                     if b - a >= window and a <= hit and b >= hit + n.as_py() - 1 + window:
-                        h = digest(mine[a:b])
-                        starts_ = np.frombuffer(starts.as_buffer(), np.int32) + np.int32(2 * a)
-                        for x, v in zip(REPEATS.names, (sender.as_py(), now, at - hit + a, b - a, h, who.as_py(), starts_.tobytes()), strict=True):
+                        for x, v in zip(REPEATS.names, (sender.as_py(), number.as_py(), now, at - hit + a, a, b - a, digest(mine[a:b]), None, None), strict=True):
                             rows[x].append(v)
                         break
         return C.table_of(REPEATS, rows)
@@ -272,13 +281,30 @@ def extend(window: int):
     return f
 
 
+def joined(found: list[dict]) -> list[dict]:
+    """Repeats of a document in the order of their starts; those of one alignment with one document that touch are one."""
+    out: dict[tuple, list] = {}
+    for x in sorted(found, key=lambda x: x["start"]):
+        runs = out.setdefault((x["first_doc"], x["start"] - x["first_start"]), [])
+        if runs and x["start"] <= runs[-1]["start"] + runs[-1]["length"]:
+            runs[-1]["length"] = max(runs[-1]["length"], x["start"] + x["length"] - runs[-1]["start"])
+        else:
+            runs.append(dict(x))
+    return sorted((x for runs in out.values() for x in runs), key=lambda x: (x["start"], x["first_doc"], x["first_start"]))
+
+
 def cut(window: int):
     def f(docs: pa.Table, repeats: pa.Table) -> pa.Table:
         of: dict[int, set] = {}
-        for k in range(repeats.num_rows):
-            first_doc, first_at, n, h = (repeats.column(c)[k].as_py() for c in REPEATS.names[1:5])
-            for d, s in zip(np.frombuffer(repeats.column("docs")[k].as_buffer(), np.int64).tolist(), np.frombuffer(repeats.column("starts")[k].as_buffer(), np.int32).tolist(), strict=True):
-                of.setdefault(d, set()).add((s, first_doc, first_at, n, h))
+        note = pc.is_valid(repeats.column("docs"))
+        answers: dict[int, tuple] = {}
+        for number, *answer in zip(*(repeats.filter(pc.invert(note)).column(c).to_pylist() for c in REPEATS.names[1:7]), strict=True):
+            answers[number] = answer
+        for number, who, starts in zip(*(repeats.filter(note).column(c) for c in ("number", "docs", "starts")), strict=True):
+            if (answer := answers.get(number.as_py())) is not None:
+                first_doc, first_at, skip, n, h = answer
+                for d, s in zip(np.frombuffer(who.as_buffer(), np.int64).tolist(), np.frombuffer(starts.as_buffer(), np.int32).tolist(), strict=True):
+                    of.setdefault(d, set()).add((s + 2 * skip, first_doc, first_at, n, h))
         texts = C.Texts(docs.column("text"))
         rows = {x: [] for x in OUT.names}
         for i, (doc_id, d) in enumerate(zip(docs.column("doc_id").to_pylist(), C.ids(docs).tolist(), strict=True)):
@@ -295,6 +321,7 @@ def cut(window: int):
                 for j in range(len(w) - window + 1):
                     if (k := held.get(hash(tuple(w[j : j + window])))) is not None and w[j : j + window] == w[k : k + window]:
                         stay[j : j + window] = False
+            found = joined(found)
             edge = np.flatnonzero(np.diff(np.concatenate([[0], (~stay).view(np.int8), [0]]))) if found else np.zeros(0, np.int64)
             kept = b" ".join(compress(w, stay.tolist()) if found else w)
             for x, v in zip(OUT.names, (doc_id, len(w), int(len(w) - stay.sum()), kept, edge[::2], edge[1::2], found), strict=True):
@@ -319,5 +346,5 @@ def substring_dedup(docs: DataFrame, window: int = 13, text: str = "text", key:
     full = plan.answer(live, send_windows(window, block, buckets), DDL["full"])
     firsts = C.decide(full, find_first, DDL["first"])
     asked = plan.answer(firsts, ask(window), DDL["asked"])
-    repeats = plan.answer(asked, extend(window), "batch int, first_doc long, first_at int, n int, h long, docs binary, starts binary")
+    repeats = plan.answer(asked, extend(window), REPEATS_DDL)
     return plan.answer(repeats, cut(window), DDL["out"])
