@@ -165,6 +165,22 @@ def _largest(others: np.ndarray, dots: np.ndarray, n: int) -> tuple[np.ndarray,
     return np.take_along_axis(others, order, 1), np.take_along_axis(dots, order, 1)
 
 
+def _candidates(names: np.ndarray, s: np.ndarray, least: np.ndarray | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n largest entries of each row of s, equal ones by their column's name; entries below least, the n-th found so far,
+    are left out.  Rows with fewer are filled up with -inf."""
+    if s.shape[1] > n:
+        nth = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+        least = nth if least is None else np.maximum(least, nth)
+    row, column = np.nonzero(s >= least[:, None]) if least is not None else np.divmod(np.arange(s.size), max(s.shape[1], 1))
+    order = np.lexsort((names[column], -s[row, column], row))
+    row, column = row[order], column[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    row, column, rank = row[rank < n], column[rank < n], rank[rank < n]
+    others, dots = np.full((len(s), n), -1, np.int64), np.full((len(s), n), -np.inf)
+    others[row, rank], dots[row, rank] = names[column], s[row, column]
+    return others, dots
+
+
 def _multiply(n: int, slice_: int):
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -179,12 +195,7 @@ def _multiply(n: int, slice_: int):
                 y = np.frombuffer(right.column("x")[i].as_buffer()).reshape(len(names), -1)
                 for j in range(0, len(names), TILE):
                     s = sum(x[at : at + TILE, a : a + slice_] @ y[j : j + TILE, a : a + slice_].T for a in range(0, x.shape[1], slice_))
-                    some = np.broadcast_to(names[j : j + TILE], s.shape)
-                    if s.shape[1] > n:  # the n-th largest value and all that equal it
-                        least = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
-                        width = int((s >= least[:, None]).sum(axis=1).max())
-                        pick = np.argsort(-s, axis=1, kind="stable")[:, :width]  # names rise, so the first of equal ones stay
-                        some, s = np.take_along_axis(some, pick, 1), np.take_along_axis(s, pick, 1)
+                    some, s = _candidates(names[j : j + TILE], s, dots[:, -1] if dots.shape[1] == n else None, n)
                     others, dots = _largest(np.concatenate([others, some], axis=1), np.concatenate([dots, s], axis=1), n)
             parts.append((others, dots))
         # rows of blocks with fewer than n entries are filled up
