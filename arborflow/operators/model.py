@@ -1,5 +1,4 @@
-"""Attention as joins, position ids, losses and pooling.  For short sequences and tests; dense work belongs in the
-Arrow functions of decoder.py."""
+"""Attention as joins, position ids, losses and pooling, for short sequences; long ones are taken in blocks (blocks.py)."""
 
 from __future__ import annotations
 
@@ -15,14 +14,15 @@ def dot(a: Column, b: Column) -> Column:
 
 def causal_attention(q: DataFrame, k: DataFrame, size: int, key: list[str]) -> DataFrame:
     """(key, pos, out) for q: (key, pos, q) and k: (key, pos, k, v): softmax of q.k / sqrt(size) over earlier places
-    and its own, times v."""
+    and its own, times v.  A place's pairs meet in one row, so sequences are short; blocks.block_attention() takes long ones."""
     pairs = q.join(k.withColumnRenamed("pos", "k_pos"), key).where("k_pos <= pos")
-    pairs = pairs.withColumn("s", dot(F.col("q"), F.col("k")) / F.sqrt(F.lit(float(size))))
-    top = F.max("s").over(Window.partitionBy(*key, "pos"))
-    pairs = pairs.withColumn("e", F.exp(F.col("s") - top))
-    parts = pairs.select(*key, "pos", "e", F.posexplode("v").alias("d", "x"))
-    summed = parts.groupBy(*key, "pos", "d").agg((F.sum(F.col("e") * F.col("x")) / F.sum("e")).alias("o"))
-    return summed.groupBy(*key, "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "o"))), lambda s: s["o"]).alias("out"))
+    seen = F.struct((dot(F.col("q"), F.col("k")) / F.sqrt(F.lit(float(size)))).alias("s"), "v")
+    rows = pairs.groupBy(*key, "pos").agg(F.collect_list(seen).alias("seen"))
+    weighted = F.transform("seen", lambda x: F.struct(F.exp(x["s"] - F.array_max(F.col("seen.s"))).alias("e"), x["v"].alias("v")))
+    rows = rows.select(*key, "pos", weighted.alias("w"))
+    none = F.transform(F.get("w", 0)["v"], lambda _: F.lit(0.0))
+    total = F.aggregate("w", none, lambda a, x: F.zip_with(a, x["v"], lambda m, n: m + x["e"] * n))
+    return rows.select(*key, "pos", V.let(V.total(F.col("w.e")), lambda t: F.transform(total, lambda x: x / t)).alias("out"))
 
 
 def tree_visible(nodes: DataFrame, ancestors: DataFrame) -> DataFrame:
@@ -43,6 +43,16 @@ def position_ids(mask: DataFrame, key: str) -> DataFrame:
     return mask.select(key, "pos", F.when(F.col("mask") == 0, 1).otherwise(run - 1).cast("long").alias("position_id"))
 
 
+def position_rows(mask: Column) -> Column:
+    """position_ids() of a whole mask of 0 and 1, as an array of (pos, position_id): the n-th unmasked place has n, from 0,
+    and masked ones have 1.  No window and no exchange."""
+    at = F.sequence(F.lit(0), F.size(mask) - 1)
+    some = lambda keep: F.filter(at, lambda i: (F.get(mask, i) != 0) == F.lit(keep))
+    row = lambda p, n: F.struct(p.cast("long").alias("pos"), n.cast("long").alias("position_id"))
+    rows = F.concat(F.transform(some(True), lambda p, n: row(p, n)), F.transform(some(False), lambda p: row(p, F.lit(1))))
+    return F.when(F.size(mask) > 0, rows).otherwise(F.slice(rows, 1, 0))
+
+
 def unpadded(ids: Column, mask: Column) -> Column:
     """ids without the places where mask is 0."""
     return F.transform(F.filter(F.arrays_zip(ids.alias("i"), mask.alias("m")), lambda s: s["m"] != 0), lambda s: s["i"])

@@ -16,19 +16,19 @@ TREES: dict[str, list[list[int]]] = {
 DEFAULT, TOP_K = "vicuna_7b_stage2", 10
 
 
-def read_tree(path: str) -> list[list[int]]:
-    """A tree from a JSON file: a list of paths of ranks."""
-    with open(path) as f:
-        return [list(map(int, p)) for p in json.load(f)]
+def read_tree(spark: SparkSession, path: str) -> list[list[int]]:
+    """A tree from a JSON file, a list of paths of ranks, in any store that Spark reads."""
+    text = spark.read.text(path, wholetext=True).first()
+    return [list(map(int, p)) for p in json.loads(text.value)]
 
 
-def tree_named(name: str, folder: str | None = None) -> list[list[int]]:
+def tree_named(spark: SparkSession, name: str, folder: str | None = None) -> list[list[int]]:
     """A built-in tree, or the one that folder/name.json holds."""
     if name in TREES:
         return TREES[name]
     if folder is None:
         raise ValueError(f"tree {name} is not built in; name the folder with {name}.json")
-    return read_tree(f"{folder}/{name}.json")
+    return read_tree(spark, f"{folder}/{name}.json")
 
 
 def tree_nodes(spark: SparkSession, choices: list[list[int]]) -> DataFrame:

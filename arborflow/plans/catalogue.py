@@ -6,6 +6,8 @@ base model); node k of request r reads vector (r + 31 k) modulo the number of ve
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,6 +28,7 @@ from ..streaming.queue import queue_places as queue
 
 TREE = B.TREES[B.DEFAULT]
 TREE_SQL = "SELECT unnest(CAST(" + str([[]] + TREE) + " AS BIGINT[][])) AS path"
+_own: list[str] = []
 STAGES = [(0, 8), (1, 9), (2, 9), (3, 6)]
 
 
@@ -70,10 +73,14 @@ def _manifest(spark):
 
 def _folder(spark, name):
     """A new folder's name below the shared one."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top and not spark.sparkContext.master.startswith("local["):
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not top and (not master.startswith("local") or master.startswith("local-cluster")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(top or 'file://' + tempfile.mkdtemp(prefix='arborflow-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not top and not _own:  # all in one process, as in tests: a folder that goes at exit
+        _own.append(tempfile.mkdtemp(prefix="arborflow-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"{(top or 'file://' + _own[0]).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _tokenizer(spark):
@@ -353,8 +360,8 @@ def prompt_source(spark, d):
 
 
 def position_ids_from_mask(spark, d):
-    w = _words(spark, d).select("request_id", "pos", F.when(F.col("token_id") > 3, 1).otherwise(0).alias("mask"))
-    return M.position_ids(w, "request_id")
+    w = _ids(spark, d).select("request_id", F.transform("ids", lambda x: F.when(x > 3, 1).otherwise(0)).alias("mask"))
+    return w.select("request_id", F.inline(M.position_rows(F.col("mask"))))
 
 
 def _weights(rows, columns, turn=0):
