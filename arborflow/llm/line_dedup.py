@@ -42,14 +42,21 @@ def bits_of(h: np.ndarray) -> np.ndarray:
 
 
 def sparse(bits: np.ndarray) -> bytes:
-    """Sorted distinct bits of a range as the number in each block of 2**16, then their low halves."""
-    return np.bincount(bits >> 16, minlength=RANGE_BITS >> 16).astype(np.uint32).tobytes() + bits.astype(np.uint16).tobytes()
+    """Sorted distinct bits of a range: few as they are, many as the number in each block of 2**16 and then their low
+    halves; none as nothing.  So what a batch sends follows its bits, however many ranges there are."""
+    if 4 * len(bits) <= (RANGE_BITS >> 14) + 2 * len(bits):
+        return b"\0\0\0\0" + bits.astype(np.uint32).tobytes() if len(bits) else b""
+    counts = np.bincount(bits >> 16, minlength=RANGE_BITS >> 16).astype(np.uint32)
+    return b"\1\0\0\0" + counts.tobytes() + bits.astype(np.uint16).tobytes()
 
 
 def unsparse(blob) -> np.ndarray:
+    data = np.frombuffer(blob, np.uint8)
+    if not len(data) or not data[0]:
+        return data[4:].view(np.uint32)
     blocks = RANGE_BITS >> 16
-    n = np.frombuffer(blob, np.uint32, blocks)
-    return np.repeat(np.arange(blocks, dtype=np.uint32) << np.uint32(16), n) | np.frombuffer(blob, np.uint16, offset=4 * blocks)
+    n = data[4 : 4 + 4 * blocks].view(np.uint32)
+    return np.repeat(np.arange(blocks, dtype=np.uint32) << np.uint32(16), n) | data[4 + 4 * blocks :].view(np.uint16)
 
 
 class Bloom:
