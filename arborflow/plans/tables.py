@@ -3,6 +3,7 @@ its SQL.  All of them read the given tables."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from ..functions import udtfs as U
 from ..functions import vectors as V
 from ..operators import blocks as B
 from ..operators import closure as K
+from ..operators import layers as N
 from ..operators import model as M
 from ..operators import prefixes as E
 from ..operators import ranges as R
@@ -272,7 +274,47 @@ def embedding_lookup(spark, d):
     return M.embedded(words, table).select("conv_id", "turn", "pos", "token_id", V.joined(F.col("x")).alias("x"))
 
 
-FUNCTIONS = (candidates_sampled, accept_typical_draws, pad_mask, embedding_lookup, tensor_scan, tensor_checkpoint, tensor_stages, serve_events, reorder_lines, attention_blocks, product_blocks, running_total, running_by_user, url_closure, event_roots, maximal_token_paths, shipped_within, overlapping_events, outline_lateral, tree_leaves)
+# -- layers
+
+
+def _plain_weights(rows, columns, turn):
+    """Fixed weights, as the catalogue's."""
+    return ((np.arange(rows)[:, None] * 7 + np.arange(columns)[None, :] * 3 + turn) % 11 - 5) / 64.0
+
+
+def _layer(turn, hidden=64, heads=2, kv_heads=1, size=8, inner=16):
+    w = lambda r, c, k: _plain_weights(r, c, turn + k)
+    return N.Layer(w(heads * size, hidden, 0), w(kv_heads * size, hidden, 1), w(kv_heads * size, hidden, 2), w(hidden, heads * size, 3), w(inner, hidden, 4), w(inner, hidden, 5), w(hidden, inner, 6), heads, kv_heads)
+
+
+def _states(spark, d):
+    """Embeddings as hidden states of sequences of 20 places."""
+    return _read(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("key"), (F.col("vec_id") % 20).alias("pos"), V.doubles(F.col("embedding")).alias("x"))
+
+
+def _rounded(states):
+    out = states.select("key", "pos", F.posexplode("x").alias("i", "v"))
+    return out.select("key", "pos", F.col("i").cast("long").alias("i"), (F.round("v", 5) + F.lit(0.0)).alias("v"))
+
+
+def decoder_layer(spark, d):
+    """One layer: norm, projections, rotary positions, grouped heads, causal attention, gated MLP, residuals."""
+    return _rounded(N.layer_states(_states(spark, d), _layer(0)))
+
+
+def decoder_stages(spark, d):
+    """Four layers in two stages, the first stage's states written for the second, and the head's token after the last
+    place of each sequence."""
+    stages = [[_layer(0), _layer(1)], [_layer(2), _layer(3)]]
+    return N.next_tokens(N.stack(_states(spark, d), stages, _keep(spark)), _plain_weights(32, 64, 5))
+
+
+def sliced_prefill(spark, d):
+    """Two layers over sequences in three slices, each seeing the caches of those before it."""
+    return _rounded(N.sliced_prefill(_states(spark, d), [_layer(0), _layer(1)], 3, _keep(spark)))
+
+
+FUNCTIONS = (decoder_layer, decoder_stages, sliced_prefill, candidates_sampled, accept_typical_draws, pad_mask, embedding_lookup, tensor_scan, tensor_checkpoint, tensor_stages, serve_events, reorder_lines, attention_blocks, product_blocks, running_total, running_by_user, url_closure, event_roots, maximal_token_paths, shipped_within, overlapping_events, outline_lateral, tree_leaves)
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
 _N = "CAST(len(embedding) AS BIGINT) AS n"
@@ -292,7 +334,41 @@ base AS (SELECT request_id, sampling, CAST(least(count(*) FILTER (run <= u * tot
 
 _TURNS = r"""t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: CAST(length(w) AS BIGINT)) AS ids FROM conversations)"""
 
+def _layers_sql(n: int) -> str:
+    """Tables x0 (key, pos, x) to xn: states after each layer."""
+    w = lambda i, j, turn: f"((({i}) * 7 + ({j}) * 3 + {turn}) % 11 - 5) / 64.0"
+    linear = lambda rows, v, m, turn: f"list_transform(range({rows}), lambda r: list_sum(list_transform(range({m}), lambda c: {v}[c + 1] * {w('r', 'c', turn)})))"
+    normed = "list_transform({0}, lambda e: e / sqrt(list_sum(list_transform({0}, lambda f: f * f)) / 64 + 1e-6))"
+    def rope(v, at):  # of the 8 places from `at` on
+        angle = "pos * pow(10000.0, -2.0 * (i % 4) / 8)"
+        return f"list_transform(range(8), lambda i: {v}[i + {at + 1}] * cos({angle}) + (CASE WHEN i < 4 THEN -{v}[i + {at + 5}] ELSE {v}[i + {at - 3}] END) * sin({angle}))"
+
+    steps = ["x0 AS MATERIALIZED (SELECT vec_id // 20 AS key, vec_id % 20 AS pos, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"]
+    for t in range(n):
+        steps += [
+            f"h{t} AS MATERIALIZED (SELECT key, pos, x, {normed.format('x')} AS h FROM x{t})",
+            f"p{t} AS MATERIALIZED (SELECT key, pos, x, {linear(16, 'h', 64, t)} AS q, {linear(8, 'h', 64, t + 1)} AS k, {linear(8, 'h', 64, t + 2)} AS v FROM h{t})",
+            f"r{t} AS MATERIALIZED (SELECT key, pos, x, [{rope('q', 0)}, {rope('q', 8)}] AS q, {rope('k', 0)} AS k, v FROM p{t})",
+            f"e{t} AS MATERIALIZED (SELECT a.key, a.pos, head, b.v, exp(list_sum(list_transform(range(8), lambda i: a.q[head + 1][i + 1] * b.k[i + 1])) / sqrt(8.0)) AS e FROM r{t} a JOIN r{t} b ON a.key = b.key AND b.pos <= a.pos, range(2) z(head))",
+            f"o{t} AS MATERIALIZED (SELECT key, pos, list(o ORDER BY head, i) AS a FROM (SELECT key, pos, head, i, sum(e * u) / sum(e) AS o FROM (SELECT key, pos, head, e, unnest(v) AS u, unnest(range(8)) AS i FROM e{t}) GROUP BY ALL) GROUP BY key, pos)",
+            f"y{t} AS MATERIALIZED (SELECT key, pos, list_transform(range(64), lambda d: x[d + 1] + m[d + 1]) AS y FROM (SELECT key, pos, x, {linear(64, 'a', 16, t + 3)} AS m FROM x{t} JOIN o{t} USING (key, pos)))",
+            f"n{t} AS MATERIALIZED (SELECT key, pos, y, {normed.format('y')} AS h FROM y{t})",
+            f"g{t} AS MATERIALIZED (SELECT key, pos, y, {linear(16, 'h', 64, t + 4)} AS a, {linear(16, 'h', 64, t + 5)} AS b FROM n{t})",
+            f"m{t} AS MATERIALIZED (SELECT key, pos, y, list_transform(range(16), lambda i: a[i + 1] / (1 + exp(-a[i + 1])) * b[i + 1]) AS m FROM g{t})",
+            f"x{t + 1} AS MATERIALIZED (SELECT key, pos, list_transform(range(64), lambda d: y[d + 1] + z[d + 1]) AS x FROM (SELECT key, pos, y, {linear(64, 'm', 16, t + 6)} AS z FROM m{t}))",
+        ]
+    return "WITH " + ",\n".join(steps)
+
+
+_ROUNDED = "SELECT key, pos, unnest(range(64)) AS i, round(unnest(x), 5) + CAST(0 AS DOUBLE) AS v FROM {}"
+
 ORACLE = {
+    "decoder_layer": f"{_layers_sql(1)} {_ROUNDED.format('x1')}",
+    "sliced_prefill": f"{_layers_sql(2)} {_ROUNDED.format('x2')}",
+    "decoder_stages": f"""{_layers_sql(4)},
+l AS (SELECT key, pos, list_transform(x, lambda e: e / sqrt(list_sum(list_transform(x, lambda f: f * f)) / 64 + 1e-6)) AS h FROM x4 QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos DESC) = 1),
+g AS (SELECT key, pos, list_transform(range(32), lambda r: round(list_sum(list_transform(range(64), lambda c: h[c + 1] * ((r * 7 + c * 3 + 5) % 11 - 5) / 64.0)), 9)) AS z FROM l)
+SELECT key, pos, list_position(z, list_max(z)) - 1 AS token FROM g""",
     "candidates_sampled": CAND.replace("v AS (", f"{_BASES},\nv AS (", 1).replace("g AS (SELECT request_id, flatten(heads) AS flat FROM f)", "g AS (SELECT sampling, f.request_id, [token] || flatten(heads)[2:] AS flat FROM f JOIN base USING (request_id))").replace("k AS (SELECT request_id, list(flat[tree_index + 1] ORDER BY node_id) AS tokens FROM g, n GROUP BY request_id)", "k AS (SELECT sampling, request_id, list(flat[tree_index + 1] ORDER BY node_id) AS tokens FROM g, n GROUP BY ALL)").replace("c AS (SELECT request_id, path_id", "c AS (SELECT sampling, request_id, path_id") + " SELECT sampling, request_id, path_id, array_to_string(cand, ',') AS candidate FROM c",
     "accept_typical_draws": CAND + STEP + f""",
 q AS (SELECT request_id, path_id, i, tok, {SOFT.format(s=1)} AS e, {_uniform("request_id || ',' || path_id || ',' || i || ',0'")} AS u FROM j),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from arborflow.functions import udtfs as U
 from arborflow.operators import blocks as B
 from arborflow.operators import closure as K
+from arborflow.operators import layers as N
 from arborflow.operators import model as M
 from arborflow.operators import prefixes as E
 from arborflow.operators import ranges as R
@@ -387,3 +388,57 @@ def test_table_functions(spark):
     assert sorted((r.tree or "", r.leaf, r.n_nodes) for r in got.collect()) == [("", ["n", "m"], 2), ("x", ["x", "a", "b"], 3), ("x", ["x", "a", "c"], 3), ("x", ["x", "ab"], 2), ("y", ["y"], 1)]
     with pytest.raises(Exception, match="takes TABLE"):
         spark.sql("SELECT * FROM arborflow_tree_paths(TABLE(SELECT 1 AS a, 2 AS b))").collect()
+
+
+# -- layers
+
+
+def _numpy_layer(x, w):
+    """One sequence (places, hidden), in full."""
+    n, hd = len(x), w.size
+    norm = lambda a: a / np.sqrt((a * a).mean(axis=1, keepdims=True) + w.eps)
+    h, out = norm(x), []
+    freq = w.base ** (-2.0 * np.arange(hd // 2) / hd)
+    turn = np.exp(1j * np.arange(n)[:, None] * freq)
+    def rope(a):
+        z = (a[:, : hd // 2] + 1j * a[:, hd // 2 :]) * turn
+        return np.concatenate([z.real, z.imag], axis=1)
+
+    for i in range(w.heads):
+        g = i // (w.heads // w.kv_heads)
+        q, k, v = rope(h @ w.q[i * hd : (i + 1) * hd].T), rope(h @ w.k[g * hd : (g + 1) * hd].T), h @ w.v[g * hd : (g + 1) * hd].T
+        out.append(_plain_attention(q, k, v, hd))
+    y = x + np.concatenate(out, axis=1) @ w.out.T
+    h = norm(y)
+    gate = h @ w.gate.T
+    return y + (gate / (1 + np.exp(-gate)) * (h @ w.up.T)) @ w.down.T
+
+
+def test_layers_stacks_and_slices(spark):
+    rng = np.random.default_rng(4)
+    def layer(heads, kv):
+        m = lambda r, c: rng.normal(0, 0.3, (r, c))
+        return N.Layer(m(heads * 4, 6), m(kv * 4, 6), m(kv * 4, 6), m(6, heads * 4), m(5, 6), m(5, 6), m(6, 5), heads, kv)
+
+    layers = [layer(4, 2), layer(3, 1), layer(2, 2)]
+    data = {0: rng.normal(0, 1, (23, 6)), 7: rng.normal(0, 1, (1, 6)), 9: rng.normal(0, 1, (5, 6))}
+    table = [(key, i, r.tolist()) for key, x in data.items() for i, r in enumerate(x)]
+    df = spark.createDataFrame(table, "key long, pos long, x array<double>").repartition(3)
+    keep = P._keep(spark)
+    want = {}
+    for key, x in data.items():
+        for w in layers:
+            x = _numpy_layer(x, w)
+        want |= {(key, i): r for i, r in enumerate(x)}
+    same = lambda out: {(r.key, r.pos) for r in out} == set(want) and all(np.allclose(r.x, want[r.key, r.pos], rtol=1e-8, atol=1e-10) for r in out)
+    assert same(N.stack(df, [layers[:1], layers[1:]], keep, group=8).collect())
+    for n in (1, 4):  # more slices than a sequence has places, among others
+        assert same(N.sliced_prefill(df, layers, n, keep, group=4).collect())
+    nulls = df.union(spark.createDataFrame([(None, 0, [1.0] * 6)], df.schema))
+    assert N.layer_states(nulls, layers[0]).count() == 29 and N.layer_states(df.where("false"), layers[0]).count() == 0
+    head = rng.normal(0, 1, (11, 6))
+    last = {key: want[key, len(x) - 1] for key, x in data.items()}
+    got = {r.key: (r.pos, r.token) for r in N.next_tokens(N.stack(df, [layers], keep), head).collect()}
+    assert got == {key: (len(data[key]) - 1, int((head @ (v / np.sqrt((v * v).mean() + 1e-6))).argmax())) for key, v in last.items()}
+    with pytest.raises(ValueError):
+        layer(3, 2)
