@@ -314,7 +314,21 @@ def sliced_prefill(spark, d):
     return _rounded(N.sliced_prefill(_states(spark, d), [_layer(0), _layer(1)], 3, _keep(spark)))
 
 
-FUNCTIONS = (decoder_layer, decoder_stages, sliced_prefill, candidates_sampled, accept_typical_draws, pad_mask, embedding_lookup, tensor_scan, tensor_checkpoint, tensor_stages, serve_events, reorder_lines, attention_blocks, product_blocks, running_total, running_by_user, url_closure, event_roots, maximal_token_paths, shipped_within, overlapping_events, outline_lateral, tree_leaves)
+def pooled_scores(spark, d):
+    """A score head on the last word before the first pad (words of twelve letters) of each turn, the last word if it has no
+    pad: four sums of the word's embedding, in 1024ths, times fixed weights."""
+    place = M.last_nonpad(F.col("ids"), 12)
+    rows = _turn_words(spark, d).where("size(ids) > 0").select("conv_id", "turn", "ids", F.when(place < 0, F.size("ids") - 1).otherwise(place).cast("long").alias("pos"))
+    rows = rows.select("conv_id", "turn", "pos", F.get("ids", F.col("pos").cast("int")).cast("long").alias("token_id"))
+    table = _read(spark, d, "embeddings").select(F.col("vec_id").alias("token_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024)).alias("x"))
+    def score(r):
+        weighted = F.transform("x", lambda v, j: v * ((j * 3 + r * 7) % 11 - 5))
+        return F.aggregate(weighted, F.lit(0).cast("long"), lambda a, v: a + v).alias(f"score_{r}")
+
+    return M.embedded(rows, table).select("conv_id", "turn", "pos", *[score(r) for r in range(4)])
+
+
+FUNCTIONS = (pooled_scores, decoder_layer, decoder_stages, sliced_prefill, candidates_sampled, accept_typical_draws, pad_mask, embedding_lookup, tensor_scan, tensor_checkpoint, tensor_stages, serve_events, reorder_lines, attention_blocks, product_blocks, running_total, running_by_user, url_closure, event_roots, maximal_token_paths, shipped_within, overlapping_events, outline_lateral, tree_leaves)
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
 _N = "CAST(len(embedding) AS BIGINT) AS n"
@@ -379,6 +393,9 @@ runs AS (SELECT request_id, path_id, i, tok, u, sum(p) OVER (PARTITION BY reques
 m AS (SELECT request_id, path_id, i, least(count(*) FILTER (run <= u * total), 63) = any_value(tok) AS ok FROM runs GROUP BY ALL),
 r AS (SELECT request_id, path_id, coalesce(min(i) FILTER (NOT ok), max(i) + 1) AS acc FROM m GROUP BY ALL)
 SELECT request_id, path_id AS best, CAST(acc AS BIGINT) AS accept_length FROM r QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY acc DESC, path_id) = 1""",
+    "pooled_scores": f"""WITH {_TURNS}, p AS (SELECT conv_id, turn, ids, CASE WHEN list_position(ids, 12) IS NULL THEN len(ids) - 1 WHEN list_position(ids, 12) = 1 THEN len(ids) - 1 ELSE list_position(ids, 12) - 2 END AS pos FROM t WHERE len(ids) > 0),
+e AS (SELECT conv_id, turn, pos, list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 1024) AS BIGINT)) AS x FROM p JOIN embeddings ON vec_id = ids[pos + 1])
+SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos, {", ".join(f"CAST(list_sum(list_transform(range(64), lambda j: x[j + 1] * (({r} * 7 + j * 3) % 11 - 5))) AS BIGINT) AS score_{r}" for r in range(4))} FROM e""",
     "pad_mask": f"""WITH {_TURNS}
 SELECT conv_id, turn, CAST(i AS BIGINT) AS pos, array_to_string(list_transform(range(len(ids)), lambda j: CASE WHEN j <= i AND ids[j + 1] > 3 THEN '1' ELSE '0' END), '') AS visible FROM (SELECT *, unnest(range(len(ids))) AS i FROM t)""",
     "embedding_lookup": f"""WITH {_TURNS}, x AS (SELECT conv_id, turn, unnest(range(len(ids))) AS pos, unnest(ids) AS token_id FROM t)
