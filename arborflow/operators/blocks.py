@@ -168,7 +168,8 @@ def _largest(others: np.ndarray, dots: np.ndarray, n: int) -> tuple[np.ndarray,
 def _candidates(names: np.ndarray, s: np.ndarray, least: np.ndarray | None, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The n largest entries of each row of s, equal ones by their column's name; entries below least, the n-th found so far,
     are left out.  Rows with fewer are filled up with -inf."""
-    if s.shape[1] > n:
+    many = s.shape[1] > n
+    if many and (least is None or np.count_nonzero(s >= least[:, None]) > 4 * n * len(s)):  # else few are left anyway
         nth = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
         least = nth if least is None else np.maximum(least, nth)
     row, column = np.nonzero(s >= least[:, None]) if least is not None else np.divmod(np.arange(s.size), max(s.shape[1], 1))
