@@ -226,9 +226,17 @@ def accept_message(spark, d):
     return m.select("request_id", "n", V.joined(F.col("select")).alias("select"), V.joined(F.col("ids")).alias("ids"))
 
 
+#: Rows that a partition of a sorted table is to have, about: with several sorts in a stage some 100 MB of a task.
+PART_ROWS = 250_000
+
+
 def _kv(spark, d):
-    line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    return _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("request_id"), line.cast("long").alias("line"), F.col("l_partkey").alias("value"))
+    """The lines of orders in their order, dealt by order over as many partitions as keep a task's sorts small: what
+    follows groups, joins and sorts by order in these."""
+    rows = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("request_id"), "l_linenumber", F.col("l_partkey").alias("value"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))  # a count of Parquet reads footers alone
+    line = F.row_number().over(Window.partitionBy("request_id").orderBy("l_linenumber", "value"))
+    return rows.repartition(n, "request_id").select("request_id", line.cast("long").alias("line"), "value")
 
 
 def kv_append(spark, d):
