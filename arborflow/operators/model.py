@@ -143,9 +143,22 @@ def cumulative_lengths(lengths: DataFrame, batch: str, row: str) -> DataFrame:
     return lengths.select(batch, row, (F.sum("length").over(w) - F.col("length")).cast("long").alias("first"), F.col("length").cast("long").alias("length"))
 
 
+#: Ids whose vectors are sent to all tasks.
+FREQUENT = 1024
+
+
 def embedded(tokens: DataFrame, table: DataFrame) -> DataFrame:
-    """tokens (..., token_id) with the vector of table (token_id, vector); ids that it lacks go."""
-    return tokens.join(table, "token_id")
+    """tokens (..., token_id) with the vector of table (token_id, vector); ids that it lacks go.
+
+    The vectors of the FREQUENT ids that most tokens have go to all tasks, so tokens of one id need not meet in one; tokens
+    of other ids, of each less than one in FREQUENT of all, meet their vectors by a shuffle."""
+    counts = tokens.where("token_id IS NOT NULL").groupBy("token_id").agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.desc("n"), "token_id").limit(FREQUENT + 1).collect()
+    ids = [r.token_id for r in top[:FREQUENT]]
+    near = tokens.join(F.broadcast(table.where(F.col("token_id").isin(ids))), "token_id")
+    if len(top) <= FREQUENT:
+        return near
+    return near.unionByName(tokens.where(~F.col("token_id").isin(ids)).hint("merge").join(table, "token_id"))
 
 
 def next_inputs(ids: Column, mask: Column, cached: bool) -> Column:
