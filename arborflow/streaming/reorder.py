@@ -1,7 +1,7 @@
 """A reorder buffer: what arrives out of sequence is held, and leaves in sequence.
 
 Rows of a key carry a sequence number from 0 on.  A row whose turn it is leaves at once, with those behind it that are held;
-an early one waits in the key's map state.  If the watermark passes a waiting row's arrival by `patience`, the numbers that
+an early one waits in the key's state.  If the watermark passes a waiting row's arrival by `patience`, the numbers that
 are missing before it are given up, and all held rows up to it leave.  So nothing waits for ever, and no row leaves before
 one with a smaller number that came within the patience.
 
@@ -12,73 +12,51 @@ patience.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+from .buckets import Bucketed, by_bucket
 
 RELEASED = "key long, seq long, place long, skipped long, payload string"
+OUT = Row("key", "seq", "place", "skipped", "payload")
 
 
-class Reorder(StatefulProcessor):
-    """Rows (key, seq, at, payload), at in milliseconds."""
+class Reorder(Bucketed):
+    """Rows (key, seq, at, payload), at in milliseconds.  A key's state: the number whose turn is next, how many rows left
+    in sequence, and the waiting rows {seq: (at, payload)}."""
 
     def __init__(self, patience_ms: int):
         self.patience = patience_ms
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.held = handle.getMapState("held", "seq long", "at long, payload string")
-        self.turn = handle.getValueState("turn", "next long, place long, n_held long, timer long")
+    def take(self, key, state, rows, watermark):
+        next_, place, held = state or (0, 0, {})
+        late = []
+        for at, seq, payload in sorted(((r.at, r.seq, r.payload) for r in rows), key=lambda x: (x[1], x[0], x[2] is None, x[2] or "")):
+            if seq < next_ or seq in held:
+                late.append(OUT(key, seq, None, None, payload))
+            else:
+                held[seq] = at, payload
+        out, state = self.go_on(key, (next_, place, held), watermark)
+        return late + out, state
 
-    def _leave(self, key, held: dict, next_: int, place: int, watermark: int) -> tuple[list[Row], int, int]:
-        """The rows whose turn has come; takes them from held."""
+    def go_on(self, key, state, watermark):
+        """The rows whose turn has come leave."""
+        next_, place, held = state
         given_up = max((s for s, (at, _) in held.items() if at + self.patience < watermark), default=-1)
         out = []
         for s in sorted(held):
             if s != next_ and s > given_up:
                 break
-            out.append(Row(key=key, seq=s, place=place, skipped=s - next_, payload=held.pop(s)[1]))
+            out.append(OUT(key, s, place, s - next_, held.pop(s)[1]))
             next_, place = s + 1, place + 1
-        return out, next_, place
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        next_, place, n, timer = self.turn.get() or (0, 0, 0, None)
-        held = {k[0]: tuple(v) for k, v in self.held.iterator()} if n else {}
-        before = set(held)
-        for r in sorted(((r.at, r.seq, r.payload) for r in rows), key=lambda x: (x[1], x[0], x[2] is None, x[2] or "")):
-            at, seq, payload = r
-            if seq < next_ or seq in held:
-                yield Row(key=key[0], seq=seq, place=None, skipped=None, payload=payload)
-            else:
-                held[seq] = at, payload
-        yield from self._go_on(key[0], held, before, next_, place, timer, timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        next_, place, n, _ = self.turn.get()
-        held = {k[0]: tuple(v) for k, v in self.held.iterator()} if n else {}
-        yield from self._go_on(key[0], held, set(held), next_, place, None, timerValues)
-
-    def _go_on(self, key, held, before, next_, place, timer, timerValues) -> Iterator[Row]:
-        out, next_, place = self._leave(key, held, next_, place, timerValues.getCurrentWatermarkInMs())
-        yield from out
-        for s in before - set(held):
-            self.held.removeKey((s,))
-        for s in set(held) - before:
-            self.held.updateValue((s,), held[s])
-        at = min(a for a, _ in held.values()) + self.patience + 1 if held else None
-        if timer is not None and timer != at:
-            self.handle.deleteTimer(timer)
-        if at is not None and at != timer:
-            self.handle.registerTimer(at)
-        self.turn.update((next_, place, len(held), at))
+        return out, (next_, place, held)
 
-    def close(self) -> None:
-        pass
+    def due(self, state, watermark):
+        held = state[2]
+        return min(at for at, _ in held.values()) + self.patience + 1 if held else None
 
 
 def in_sequence(rows: DataFrame, patience_seconds: int, delay: str = "0 seconds") -> DataFrame:
     """(key, seq, place, skipped, payload) of a stream of (key, seq, ts, payload), seq from 0 on."""
     some = rows.withWatermark("ts", delay).select("key", "seq", F.unix_millis("ts").alias("at"), "payload", "ts")
-    return some.groupBy("key").transformWithState(Reorder(patience_seconds * 1000), RELEASED, "Append", "EventTime")
+    return by_bucket(some, Reorder(patience_seconds * 1000), RELEASED)

@@ -3,9 +3,9 @@
 A key (a user) sends points; those that come within `gap` of each other form a *session* of at most `room` points, as a cache
 has a fixed number of places.  When a session is over, because a later point came after the gap, because it is full, or
 because the watermark has passed its end, its points are served in turn: one step each, and a point with steps left goes
-back to the end of the queue.  State: the waiting points (a list), the points being served (a list, in the order of the
-queue), how many points of a kind the key has had (a map), and counters (a value).  A timer ends a session without further
-points, and then serves `SLICE` steps at each call, so no call is long.
+back to the end of the queue.  State of a key: the waiting points, the points being served in the order of the queue, how
+many points of a kind the key has had, and counters; keys are held by buckets (see `buckets`).  A timer ends a session without
+further points, and then serves `SLICE` steps of a key at each call.
 
 Points of a key are taken by (time, id); what a micro-batch holds does not matter as long as no point is later than the
 watermark's delay.  Later ones are dropped, as by any watermark.  A key's state is bounded by `room`; a key's work is one
@@ -14,39 +14,28 @@ task's, as its queue is one sequence.  Null keys are a key; rows without time ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from contextlib import contextmanager
-from datetime import timezone
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+from .buckets import Bucketed, by_bucket
 
 #: Steps that a timer's call serves.
 SLICE = 64
 SERVED = "key long, session long, id long, seat long, nth_of_kind long, steps long, finish_step long"
+OUT = Row("key", "session", "id", "seat", "nth_of_kind", "steps", "finish_step")
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _millis(ts) -> int:
-    return round((ts if ts.tzinfo else ts.replace(tzinfo=timezone.utc)).timestamp() * 1000)
-
-
-class Serving(StatefulProcessor):
-    """Rows (key, id, at, kind, steps), at in milliseconds."""
+class Serving(Bucketed):
+    """Rows (key, id, at, kind, steps), at in milliseconds.  A key's state: the last point's time, the waiting points (id,
+    seat, nth, steps), the queue being served (session, id, seat, nth, steps, left), the step it is at, and counts of kinds."""
 
     def __init__(self, gap_ms: int, room: int, steps: int = SLICE):
         self.gap, self.room, self.most = gap_ms, room, steps
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "id long, at long, seat long, nth long, steps long")
-        self.queue = handle.getListState("queue", "session long, id long, seat long, nth long, steps long, left long")
-        self.kinds = handle.getMapState("kinds", "kind string", "n long")
-        # the last point's time, the waiting points, the timer that is set, and the step that the session served is at
-        self.mark = handle.getValueState("mark", "last long, n long, timer long, step long")
-
     def _serve(self, key, queue: list, step: int, most: int | None) -> tuple[list, list, int]:
         """Up to `most` steps: the rows of points that finish, the queue after them, and the number of the last step."""
         out, at, done = [], 0, 0
@@ -55,78 +44,41 @@ class Serving(StatefulProcessor):
             session, i, seat, nth, steps, left = queue[at]
             step, done, at = step + 1, done + 1, at + 1
             if left == 1:
-                out.append(Row(key=key, session=session, id=i, seat=seat, nth_of_kind=nth, steps=steps, finish_step=step))
+                out.append(OUT(key, session, i, seat, nth, steps, step))
             else:
                 queue.append((session, i, seat, nth, steps, left - 1))
         return out, queue[at:], step
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = sorted((r.at, r.id, r.kind or "", r.steps) for r in rows)
-        last, n, timer, step = self.mark.get() or (None, 0, None, 0)
-        waiting = [tuple(x) for x in self.waiting.get()] if n else []
-        queue = [tuple(x) for x in self.queue.get()] if self.queue.exists() else []
-        had, before = n, len(queue)
-        counts: dict[str, int] = {}
-        for at, i, kind, steps in new:
+    def take(self, key, state, rows, watermark):
+        last, waiting, queue, step, counts = state or (None, [], [], 0, {})
+        out = []
+        for at, i, kind, steps in sorted((r.at, r.id, r.kind or "", r.steps) for r in rows):
             if waiting and (at - last > self.gap or len(waiting) == self.room):
                 # the session before it goes first; its last steps come in one call, as its end is in the past
-                out, _, _ = self._serve(key[0], queue, step, None)
-                yield from out
-                queue, step = self._seated(waiting), 0
-                waiting, had = [], -1
-            if kind not in counts:
-                counts[kind] = self.kinds.getValue((kind,))[0] if self.kinds.containsKey((kind,)) else 0
-            counts[kind] += 1
-            waiting.append((i, at, len(waiting), counts[kind], steps))
+                out += self._serve(key, queue, step, None)[0]
+                queue, step, waiting = self._seated(waiting), 0, []
+            counts[kind] = counts.get(kind, 0) + 1
+            waiting.append((i, len(waiting), counts[kind], steps))
             last = at
-        out, queue, step = self._serve(key[0], queue, step, self.most)
-        yield from out
-        if had < 0:
-            self.waiting.put(waiting)
-        else:
-            self.waiting.appendList(waiting[had:])
-        if queue:
-            self.queue.put(queue)
-        elif before:
-            self.queue.clear()
-        for kind, c in counts.items():
-            self.kinds.updateValue((kind,), (c,))
-        self._set(timerValues, last, len(waiting), timer, step, bool(queue))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        last, n, _, step = self.mark.get()
-        queue = [tuple(x) for x in self.queue.get()] if self.queue.exists() else []
-        if not queue and n and timerValues.getCurrentWatermarkInMs() > last + self.gap:
-            queue, step, n = self._seated([tuple(x) for x in self.waiting.get()]), 0, 0
-            self.waiting.clear()
-        out, queue, step = self._serve(key[0], queue, step, self.most)
-        yield from out
-        if queue:
-            self.queue.put(queue)
-        else:
-            self.queue.clear()
-        self._set(timerValues, last, n, None, step, bool(queue))
+        more, queue, step = self._serve(key, queue, step, self.most)
+        return out + more, (last, waiting, queue, step, counts)
+
+    def go_on(self, key, state, watermark):
+        last, waiting, queue, step, counts = state
+        if not queue and waiting and watermark > last + self.gap:
+            queue, step, waiting = self._seated(waiting), 0, []
+        out, queue, step = self._serve(key, queue, step, self.most)
+        return out, (last, waiting, queue, step, counts)
 
     @staticmethod
     def _seated(waiting: list) -> list:
         """A session's points as its queue; a session has the id of its first point."""
-        return [(waiting[0][0], i, seat, nth, steps, steps) for i, _, seat, nth, steps in waiting]
-
-    def _set(self, timerValues, last, n, timer, step, serving: bool) -> None:
-        """One timer: at once while points are served, else at the session's end, if points wait."""
-        at = None
-        if serving:
-            at = timerValues.getCurrentWatermarkInMs() + 1
-        elif n:
-            at = last + self.gap + 1
-        if timer is not None and timer != at:
-            self.handle.deleteTimer(timer)
-        if at is not None and timer != at:
-            self.handle.registerTimer(at)
-        self.mark.update((last, n, at, step))
+        return [(waiting[0][0], i, seat, nth, steps, steps) for i, seat, nth, steps in waiting]
 
-    def close(self) -> None:
-        pass
+    def due(self, state, watermark):
+        """At the next call while points are served, else at the session's end, if points wait."""
+        last, waiting, queue, _, _ = state
+        return watermark if queue else last + self.gap + 1 if waiting else None
 
 
 def serve_points(points: DataFrame, gap_seconds: int, room: int, delay: str = "0 seconds", steps: int = SLICE) -> DataFrame:
@@ -134,7 +86,7 @@ def serve_points(points: DataFrame, gap_seconds: int, room: int, delay: str = "0
     least 1; null kinds are the kind ""."""
     rows = points.withWatermark("ts", delay)
     rows = rows.select("key", "id", F.unix_millis("ts").alias("at"), "kind", "steps", "ts")
-    return rows.groupBy("key").transformWithState(Serving(gap_seconds * 1000, room, steps), SERVED, "Append", "EventTime")
+    return by_bucket(rows, Serving(gap_seconds * 1000, room, steps), SERVED)
 
 
 @contextmanager
