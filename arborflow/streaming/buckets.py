@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-BUCKETS = 4096
+BUCKETS = 1024
 
 
 def bucket(key: str, n: int = BUCKETS) -> Column:
