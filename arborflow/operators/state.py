@@ -40,10 +40,11 @@ def reset(state: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
 
 
 def reorder(state: DataFrame, beams: DataFrame, key: str = "beam") -> DataFrame:
-    """beams: (beam, source): each beam takes the rows of its source."""
+    """beams: (beam, source), a row a beam, sent to all tasks, as a shuffle by beam would leave a task for each; each beam
+    takes the rows of its source."""
     taken = beams.select(F.col(key).alias("_new"), F.col("source").alias(key))
     rest = [c for c in state.columns if c != key]
-    return state.join(taken, key).select(F.col("_new").alias(key), *rest)
+    return state.join(F.broadcast(taken), key).select(F.col("_new").alias(key), *rest)
 
 
 def round_robin(branches: DataFrame, steps: int, key: str = "request_id") -> DataFrame:

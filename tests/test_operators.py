@@ -244,6 +244,7 @@ def test_partitions_of_lines_grow_with_them(spark, name, monkeypatch):
     n = -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 50)
     plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
     by_order = [x for x in plan.splitlines() if "Exchange hashpartitioning(request_id" in x]
+    assert "hashpartitioning(beam" not in plan
     assert by_order and all(f", {n}), REPARTITION_BY_NUM" in x for x in by_order)
 
 
